@@ -1,4 +1,550 @@
-"""Every registered query with its SQL."""
+"""Every registered query of the biosignal operators, with the SQL that gives the same rows where SQL can.
+
+Hash-ordered picks (sampling) have no SQL of their own: their queries return
+exact counts, which have; the picks are tested for their properties.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulseloom.functions import arrays as A
+from pulseloom.functions import signal as V
+from pulseloom.functions import text as X
+from pulseloom.operators import alerts as L
+from pulseloom.operators import audit as U
+from pulseloom.operators import catalog as C
+from pulseloom.operators import risk as R
+from pulseloom.operators import sampling as S
+from pulseloom.operators import sweep as M
+from pulseloom.plans.views import oracle, view
+from pulseloom.sources import text as T
+from pulseloom.streaming import risk as G
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+KEYS = ["rec", "subject"]
+SETTINGS = R.RiskSettings()
+
+
+def query(sql: str | None = None, *views: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = oracle(sql, *views) if views else sql
+        return f
+
+    return register
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+# ---- risk layer ------------------------------------------------------------
+
+_FEATURES = """
+sm AS (SELECT *, avg(prob) OVER (PARTITION BY rec ORDER BY win_idx ROWS 19 PRECEDING) AS prob_sm,
+  CASE WHEN win_idx >= 49 THEN median(delta) OVER m END AS delta_sm, CASE WHEN win_idx >= 49 THEN median(ratio) OVER m END AS ratio_sm,
+  CASE WHEN win_idx >= 49 THEN median(centroid) OVER m END AS centroid_sm
+  FROM fx_scores WINDOW m AS (PARTITION BY rec ORDER BY win_idx ROWS 199 PRECEDING)),
+nm AS (SELECT *, (delta_sm - avg(delta_sm) OVER p) / (stddev_samp(delta_sm) OVER p + 1e-6) AS delta_n,
+  (ratio_sm - avg(ratio_sm) OVER p) / (stddev_samp(ratio_sm) OVER p + 1e-6) AS ratio_n,
+  (centroid_sm - avg(centroid_sm) OVER p) / (stddev_samp(centroid_sm) OVER p + 1e-6) AS centroid_n FROM sm WINDOW p AS (PARTITION BY rec)),
+rk AS (SELECT *, CASE WHEN delta_n IS NOT NULL THEN least(greatest(0.4*prob_sm + 0.3*greatest(ratio_n, 0) + 0.2*greatest(-delta_n, 0) + 0.1*greatest(centroid_n, 0), 0), 1) END AS risk FROM nm),
+st AS (SELECT *, risk - lag(risk) OVER w AS step FROM rk WINDOW w AS (PARTITION BY rec ORDER BY win_idx)),
+tf AS (SELECT *,
+  CASE WHEN risk IS NOT NULL AND NOT (win_idx >= 120 AND lag(risk, 120) OVER w IS NULL) THEN sum(coalesce(risk, 0)) OVER (PARTITION BY rec ORDER BY win_idx ROWS 119 PRECEDING) / count(*) OVER (PARTITION BY rec ORDER BY win_idx ROWS 119 PRECEDING) END AS fp_short,
+  CASE WHEN risk IS NOT NULL AND NOT (win_idx >= 600 AND lag(risk, 600) OVER w IS NULL) THEN sum(coalesce(risk, 0)) OVER (PARTITION BY rec ORDER BY win_idx ROWS 599 PRECEDING) / count(*) OVER (PARTITION BY rec ORDER BY win_idx ROWS 599 PRECEDING) END AS fp_long,
+  CASE WHEN count(step) OVER (PARTITION BY rec ORDER BY win_idx ROWS 19 PRECEDING) >= 20 THEN avg(step) OVER (PARTITION BY rec ORDER BY win_idx ROWS 19 PRECEDING) END AS trend,
+  CASE WHEN count(step) OVER (PARTITION BY rec ORDER BY win_idx ROWS 99 PRECEDING) >= 100 THEN avg(step) OVER (PARTITION BY rec ORDER BY win_idx ROWS 99 PRECEDING) END AS trend_long,
+  CASE WHEN count(risk) OVER z >= 200 THEN (risk - avg(risk) OVER z) / (stddev_samp(risk) OVER z + 1e-6) END AS z,
+  CASE WHEN count(risk) OVER (PARTITION BY rec ORDER BY win_idx ROWS 99 PRECEDING) >= 100 THEN risk - avg(risk) OVER (PARTITION BY rec ORDER BY win_idx ROWS 99 PRECEDING) END AS peakness
+  FROM st WINDOW w AS (PARTITION BY rec ORDER BY win_idx), z AS (PARTITION BY rec ORDER BY win_idx ROWS 199 PRECEDING)),
+cd AS (SELECT *, coalesce(fp_short > 0.12 AND fp_long > 0.35 AND trend > 0.001 AND z > 1.2, false) AS candidate FROM tf)"""
+_ALERTS = (
+    _FEATURES
+    + """,
+fo AS (SELECT rec, min(onset_s) AS o FROM fx_seizures GROUP BY rec),
+ca AS (SELECT cd.rec, cd.subject, win_idx, time FROM cd JOIN fo USING (rec) WHERE candidate AND o - time <= 600),
+al AS (SELECT rec, min(win_idx) AS win_idx FROM ca WHERE win_idx > 0 GROUP BY rec
+       UNION ALL SELECT rec, n FROM (SELECT al.rec, (SELECT min(c.win_idx) FROM ca c WHERE c.rec = al.rec AND c.win_idx > al.win_idx + 300) AS n FROM al) WHERE n IS NOT NULL),
+alerts AS (SELECT ca.* FROM ca JOIN al USING (rec, win_idx))"""
+)
+_METRICS = (
+    _ALERTS
+    + """,
+ew AS (SELECT s.rec, s.subject, s.onset_s, s.end_s, max(a.time) AS last_alert FROM fx_seizures s LEFT JOIN alerts a ON a.rec = s.rec AND a.time < s.onset_s GROUP BY ALL),
+fa AS (SELECT * FROM alerts a WHERE NOT EXISTS (SELECT 1 FROM fx_seizures s WHERE s.rec = a.rec AND a.time BETWEEN s.onset_s - 60 AND s.end_s)),
+fm AS (SELECT h.rec, h.subject, e.sensitivity, coalesce(e.ewt, 0) AS ewt, CASE WHEN hours > 0 THEN coalesce(f.n, 0) / hours ELSE 0 END AS fa_hr, coalesce(e.n, 0) AS n_seizures
+  FROM (SELECT rec, subject, max_by(time, win_idx) / 3600 AS hours FROM fx_scores GROUP BY rec, subject) h
+  LEFT JOIN (SELECT rec, avg(CASE WHEN last_alert IS NOT NULL THEN 1.0 ELSE 0.0 END) AS sensitivity, avg(onset_s - last_alert) AS ewt, count(*) AS n FROM ew GROUP BY rec) e USING (rec)
+  LEFT JOIN (SELECT rec, count(*) AS n FROM fa GROUP BY rec) f USING (rec))"""
+)
+
+
+def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.risk_frame(view(spark, sf_dir, "fx_scores"), KEYS)
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.cooldown_alerts(_risk(spark, sf_dir), view(spark, sf_dir, "fx_seizures"), KEYS)
+
+
+_RISK_COLUMNS = ["prob_sm", "delta_n", "ratio_n", "centroid_n", "risk", "fp_short", "fp_long", "trend", "trend_long", "z", "peakness"]
+
+
+@query(f"WITH {_FEATURES.strip()} SELECT rec, win_idx, {', '.join(f'round({c}, 6) AS {c}' for c in _RISK_COLUMNS)}, candidate FROM cd", "fx_scores")
+def risk_layer(spark, sf_dir):
+    return rounded(_risk(spark, sf_dir).select("rec", "win_idx", *_RISK_COLUMNS, "candidate"), *_RISK_COLUMNS)
+
+
+@query(f"WITH {_FEATURES.strip()} SELECT rec, win_idx, round(risk, 6) AS risk, CASE WHEN risk < 0.3 THEN 'Low' WHEN risk < 0.6 THEN 'Medium' WHEN risk IS NOT NULL THEN 'High' END AS zone, CASE WHEN risk IS NOT NULL THEN CAST(least(greatest(floor(risk * 10) + 1, 1), 10) AS BIGINT) END AS level, round(CASE WHEN risk IS NOT NULL THEN least(greatest((risk - min(risk) OVER (PARTITION BY rec)) / (max(risk) OVER (PARTITION BY rec) - min(risk) OVER (PARTITION BY rec)), 0), 1) END, 6) AS stretched, round(CASE WHEN risk IS NOT NULL THEN least(greatest(risk, 0), 0.8) / 0.8 END, 6) AS clipped FROM cd", "fx_scores")
+def risk_zones(spark, sf_dir):
+    from pyspark.sql import Window
+
+    r = F.col("risk")
+    df = _risk(spark, sf_dir).select("rec", "win_idx", "risk", R.risk_zone(r).alias("zone"), R.risk_level(r).cast("long").alias("level"), R.minmax_or_half(r, Window.partitionBy("rec")).alias("stretched"), R.clip_stretch(r).alias("clipped"))
+    return rounded(df, "risk", "stretched", "clipped")
+
+
+@query(f"WITH {_FEATURES.strip()}, b AS (SELECT *, CASE WHEN count(risk) OVER w >= 100 THEN median(risk) OVER w END AS baseline FROM cd WINDOW w AS (PARTITION BY rec ORDER BY win_idx ROWS 599 PRECEDING)) SELECT rec, win_idx, round(baseline, 6) AS baseline, round(CASE WHEN risk IS NOT NULL AND baseline IS NOT NULL THEN greatest(risk - baseline, 0) END, 6) AS rel_risk FROM b", "fx_scores")
+def relative_risk(spark, sf_dir):
+    return rounded(R.relative_risk(_risk(spark, sf_dir), KEYS).select("rec", "win_idx", "baseline", "rel_risk"), "baseline", "rel_risk")
+
+
+@query(f"WITH RECURSIVE {_ALERTS.strip()} SELECT rec, subject, win_idx, time FROM alerts", "fx_scores", "fx_seizures")
+def cooldown_alerts(spark, sf_dir):
+    return _alerts(spark, sf_dir).select("rec", "subject", "win_idx", "time")
+
+
+@query(f"WITH RECURSIVE {_METRICS.strip()} SELECT s.rec, s.subject, s.onset_s, s.end_s, last_alert, round(s.onset_s - last_alert, 6) AS ewt, last_alert IS NOT NULL AS detected FROM fx_seizures s JOIN ew USING (rec, onset_s, end_s)", "fx_scores", "fx_seizures")
+def early_warning(spark, sf_dir):
+    return rounded(L.early_warning(_alerts(spark, sf_dir), view(spark, sf_dir, "fx_seizures"), KEYS), "ewt").select("rec", "subject", "onset_s", "end_s", "last_alert", "ewt", "detected")
+
+
+@query(f"WITH RECURSIVE {_METRICS.strip()} SELECT rec, win_idx, time FROM fa", "fx_scores", "fx_seizures")
+def false_alarms(spark, sf_dir):
+    return L.false_alarms(_alerts(spark, sf_dir), view(spark, sf_dir, "fx_seizures"), KEYS).select("rec", "win_idx", "time")
+
+
+def _files(spark, sf_dir):
+    scores = view(spark, sf_dir, "fx_scores")
+    return L.file_alert_metrics(scores, _alerts(spark, sf_dir), view(spark, sf_dir, "fx_seizures"), KEYS)
+
+
+@query(f"WITH RECURSIVE {_METRICS.strip()} SELECT rec, subject, round(sensitivity, 6) AS sensitivity, round(ewt, 6) AS ewt, round(fa_hr, 6) AS fa_hr, n_seizures FROM fm", "fx_scores", "fx_seizures")
+def file_alert_metrics(spark, sf_dir):
+    return rounded(_files(spark, sf_dir), "sensitivity", "ewt", "fa_hr").select("rec", "subject", "sensitivity", "ewt", "fa_hr", "n_seizures")
+
+
+@query(f"WITH RECURSIVE {_METRICS.strip()} SELECT subject, round(coalesce(avg(sensitivity), 0), 6) AS sensitivity, round(coalesce(avg(CASE WHEN ewt > 0 THEN ewt END), 0), 6) AS ewt, round(avg(fa_hr), 6) AS fa_hr FROM fm GROUP BY subject", "fx_scores", "fx_seizures")
+def subject_alert_summary(spark, sf_dir):
+    return rounded(L.subject_alert_summary(_files(spark, sf_dir)), "sensitivity", "ewt", "fa_hr")
+
+
+@query(f"WITH RECURSIVE {_METRICS.strip()} SELECT rec, round(ewt, 6) AS ewt FROM fm WHERE n_seizures > 0 AND ewt > 0 ORDER BY fm.ewt DESC, rec LIMIT 1", "fx_scores", "fx_seizures")
+def best_file(spark, sf_dir):
+    return rounded(L.best_file(_files(spark, sf_dir), KEYS).select("rec", "ewt"), "ewt")
+
+
+@query(f"""WITH RECURSIVE {_METRICS.strip()}, sg AS (SELECT s.subject, s.rec, s.onset_s, count(*) AS n, count(*) FILTER (c.time < s.onset_s) AS b, count(*) FILTER (c.time >= s.onset_s) AS a, count(al.win_idx) AS n_alerts, min(CASE WHEN al.win_idx IS NOT NULL THEN c.time END) AS f
+  FROM (SELECT DISTINCT rec, subject, onset_s FROM fx_seizures) s JOIN cd c ON c.rec = s.rec AND c.time BETWEEN s.onset_s - 600 AND s.onset_s + 60 LEFT JOIN alerts al ON al.rec = c.rec AND al.win_idx = c.win_idx GROUP BY ALL)
+SELECT subject, rec, onset_s, onset_s - f AS ewt, n_alerts FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY onset_s - f + 0.1 * n_alerts DESC, rec, onset_s) AS r FROM sg WHERE n >= 200 AND b >= 100 AND a >= 20 AND onset_s - f >= 30) WHERE r = 1""", "fx_scores", "fx_seizures")
+def best_segment(spark, sf_dir):
+    risk = _risk(spark, sf_dir)
+    seizures = view(spark, sf_dir, "fx_seizures")
+    best = L.best_segment(risk, R.cooldown_alerts(risk, seizures, KEYS), seizures, KEYS)
+    return L.rank_subjects_by_score(best).select("subject", "rec", "onset_s", "ewt", "n_alerts")
+
+
+@query("SELECT c.rec, c.win_idx, c.time - 1 AS t_start_s, CAST(max(CASE WHEN s.rec IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS label FROM fx_scores c LEFT JOIN fx_seizures s ON s.rec = c.rec AND c.time + 1 >= s.onset_s AND c.time - 1 <= s.end_s GROUP BY c.rec, c.win_idx, c.time", "fx_scores", "fx_seizures")
+def label_windows(spark, sf_dir):
+    w = view(spark, sf_dir, "fx_scores").select("rec", "win_idx", (F.col("time") - 1).alias("t_start_s"), (F.col("time") + 1).alias("t_end_s"))
+    return L.label_windows(w, view(spark, sf_dir, "fx_seizures"), ["rec"]).select("rec", "win_idx", "t_start_s", "label")
+
+
+@query("SELECT c.rec, c.win_idx, s.onset_s, c.time - s.onset_s AS aligned FROM fx_scores c JOIN (SELECT DISTINCT rec, onset_s FROM fx_seizures) s ON s.rec = c.rec AND c.time BETWEEN s.onset_s - 600 AND s.onset_s + 60", "fx_scores", "fx_seizures")
+def align_to_onset(spark, sf_dir):
+    return L.align_to_onset(view(spark, sf_dir, "fx_scores"), view(spark, sf_dir, "fx_seizures"), ["rec"]).select("rec", "win_idx", "onset_s", "aligned")
+
+
+# ---- audit and catalogue -----------------------------------------------------
+
+_QUALITY = "CASE ann_id % 7 WHEN 0 THEN 'poor' WHEN 1 THEN 'usable' WHEN 2 THEN 'recovered' WHEN 3 THEN 'mains' ELSE 'clean' END"
+_AUDIT = f"""
+pv AS (SELECT *, lag(onset_s + duration_s) OVER (PARTITION BY subject, run ORDER BY onset_s, ann_id) AS prev_end FROM fx_annot),
+ld AS (SELECT *, CASE WHEN prev_end IS NULL THEN onset_s ELSE onset_s - prev_end END AS since_prev_s, CASE WHEN prev_end IS NULL THEN '>= (from run start)' ELSE 'same run' END AS since_prev_basis FROM pv),
+l2 AS (SELECT *, CASE WHEN since_prev_s >= 1800 THEN 'yes' WHEN prev_end IS NULL THEN 'unknown' ELSE 'no' END AS lead_seizure, onset_s + duration_s <= 39002 AS in_recording, onset_s >= 240 AND (prev_end IS NULL OR onset_s - prev_end >= 240) AS preictal_ok FROM ld),
+au AS (SELECT *, CASE WHEN NOT (in_recording AND preictal_ok) THEN 'n/a' WHEN ann_id % 11 = 0 THEN 'no_ecg' ELSE {_QUALITY} END AS ecg_verdict, CASE WHEN in_recording AND preictal_ok AND ann_id % 11 <> 0 THEN (ann_id % 50) / CAST(50.0 AS DOUBLE) END AS eeg_clean FROM l2),
+us AS (SELECT *, coalesce(in_recording AND preictal_ok AND ecg_verdict IN ('clean', 'usable', 'recovered') AND eeg_clean >= 0.75, false) AS usable FROM au)"""
+
+
+def _audit(spark, sf_dir):
+    a = U.lead_labels(U.gap_from_previous(view(spark, sf_dir, "fx_annot")))
+    a = a.withColumn("in_recording", U.in_recording(F.col("onset_s"), F.col("duration_s"), F.lit(39000.0))).withColumn("preictal_ok", F.col("preictal_ok_run"))
+    quality = a.where("ann_id % 11 <> 0").select("ann_id", F.expr(_QUALITY).alias("ecg_verdict"), F.expr("(ann_id % 50) / 50.0D").alias("eeg_clean"))
+    return U.audit_quality_join(a, quality)
+
+
+@query(f"WITH {_AUDIT.strip()} SELECT ann_id, since_prev_s, since_prev_basis, lead_seizure, in_recording, preictal_ok, ecg_verdict, eeg_clean, usable, usable AND lead_seizure = 'yes' AS usable_lead FROM us", "fx_annot")
+def seizure_audit(spark, sf_dir):
+    return _audit(spark, sf_dir).select("ann_id", "since_prev_s", "since_prev_basis", "lead_seizure", "in_recording", "preictal_ok", "ecg_verdict", "eeg_clean", "usable", "usable_lead")
+
+
+@query(f"WITH {_AUDIT.strip()} SELECT ann_id, CASE WHEN NOT in_recording THEN 'outside recording' WHEN NOT preictal_ok THEN 'no clean pre-ictal' ELSE nullif(concat_ws(', ', CASE WHEN ecg_verdict NOT IN ('clean','usable','recovered') THEN 'ECG ' || ecg_verdict END, CASE WHEN eeg_clean < 0.75 THEN 'EEG only ' || CAST(round_even(eeg_clean * 100, 0) AS INTEGER) || '% clean' END), '') END AS skip_reason FROM us", "fx_annot")
+def skip_reasons(spark, sf_dir):
+    return _audit(spark, sf_dir).select("ann_id", "skip_reason")
+
+
+@query(f"WITH {_AUDIT.strip()} SELECT subject, count(*) AS seizures, count(*) FILTER (in_recording AND preictal_ok) AS checked, count(*) FILTER (usable) AS usable, count(*) FILTER (usable AND lead_seizure = 'yes') AS usable_lead, count(*) FILTER (eeg_clean >= 0.75) AS eeg_ok, count(*) FILTER (lead_seizure = 'yes') AS lead_yes, count(*) FILTER (lead_seizure = 'no') AS lead_no, count(*) FILTER (lead_seizure = 'unknown') AS lead_unknown, round(100.0 * count(*) FILTER (usable) / count(*), 6) AS usable_pct, CAST(grouping(subject) AS INTEGER) AS is_total FROM us GROUP BY ROLLUP (subject)", "fx_annot")
+def audit_rollup(spark, sf_dir):
+    return U.audit_rollup(_audit(spark, sf_dir))
+
+
+@query(f"WITH {_AUDIT.strip()} SELECT ecg_verdict, count(*) AS n FROM us WHERE in_recording AND preictal_ok GROUP BY 1", "fx_annot")
+def verdict_counts(spark, sf_dir):
+    return U.verdict_counts(_audit(spark, sf_dir))
+
+
+_CLOCK = "CAST(DATE '2015-01-01' + CAST(run AS INTEGER) * 3 + CASE WHEN subject = 'sub-003' THEN 0 ELSE CAST(right(subject, 3) AS INTEGER) END AS TIMESTAMP)"
+
+
+@query(f"""WITH s AS (SELECT *, CASE WHEN subject < 'sub-015' THEN {_CLOCK} END AS start_ts FROM fx_annot),
+b AS (SELECT subject, count(start_ts) = count(*) AND count(DISTINCT start_ts) = count(*) AND coalesce(max(year(start_ts)) > 2000, false) AS use_clock FROM (SELECT DISTINCT subject, run, start_ts FROM s) GROUP BY subject),
+o AS (SELECT s.*, use_clock, CASE WHEN use_clock THEN epoch_us(start_ts) / 1e6 + onset_s END AS abs_on, lag(onset_s + duration_s) OVER (PARTITION BY s.subject, run ORDER BY onset_s, ann_id) AS pr FROM s JOIN b USING (subject)),
+q AS (SELECT *, lag(abs_on + duration_s) OVER (PARTITION BY subject ORDER BY abs_on, ann_id) AS pa FROM o)
+SELECT ann_id, since_prev_s, since_prev_basis, CASE WHEN since_prev_basis = 'first seizure' OR since_prev_s >= 1800 THEN 'yes' WHEN since_prev_basis LIKE '>=%' THEN 'unknown' ELSE 'no' END AS lead_seizure FROM (
+SELECT ann_id, CASE WHEN use_clock THEN round(abs_on - pa, 3) WHEN pr IS NOT NULL THEN onset_s - pr ELSE onset_s END AS since_prev_s, CASE WHEN use_clock AND pa IS NULL THEN 'first seizure' WHEN use_clock THEN 'EDF clock' WHEN pr IS NOT NULL THEN 'same run' ELSE '>= (from run start)' END AS since_prev_basis FROM q)""", "fx_annot")
+def lead_labels_by_clock(spark, sf_dir):
+    start = F.expr("CAST(date_add(DATE '2015-01-01', CAST(run AS INT) * 3 + CASE WHEN subject = 'sub-003' THEN 0 ELSE CAST(right(subject, 3) AS INT) END) AS timestamp_ntz)")
+    s = view(spark, sf_dir, "fx_annot").withColumn("start_ts", F.when(F.col("subject") < "sub-015", start))
+    basis = U.timing_basis(s.select("subject", "run", "start_ts").distinct())
+    out = U.lead_labels(s, basis)
+    since = F.when(F.col("since_prev_basis") == "EDF clock", F.round("since_prev_s", 3)).otherwise(F.col("since_prev_s"))
+    return out.select("ann_id", since.alias("since_prev_s"), "since_prev_basis", "lead_seizure")
+
+
+@query(f"""WITH {_AUDIT.strip()}, r AS (SELECT DISTINCT subject, run, (run * 1.2345 + CAST(right(subject, 3) AS INTEGER)) AS h, run % 3 <> 0 AS has_ecg FROM fx_annot)
+SELECT (SELECT count(DISTINCT subject) FROM r) AS subjects, (SELECT count(*) FROM r) AS recordings, (SELECT count(*) FROM r WHERE has_ecg) AS with_ecg, (SELECT round(CAST(sum(round_even(CAST(h AS DOUBLE), 2)) AS DOUBLE), 6) FROM r) AS hours, count(*) AS seizures, count(*) FILTER (preictal_ok) AS preictal_ok, count(*) FILTER (preictal_ok AND run % 3 <> 0) AS preictal_ok_ecg FROM us""", "fx_annot")
+def catalog_totals(spark, sf_dir):
+    a = _audit(spark, sf_dir).withColumn("has_ecg", F.expr("run % 3 <> 0"))
+    r = a.select("subject", "run", "has_ecg").distinct().withColumn("duration_h", F.expr("run * 1.2345D + CAST(right(subject, 3) AS INT)"))
+    return C.catalog_totals(r, a)
+
+
+@query("WITH p AS (SELECT unnest(CASE WHEN localization IN ('', 'n/a', 'un') THEN ['unclear'] ELSE string_split(localization, '_') END) AS p FROM fx_annot) SELECT CASE p WHEN 'front' THEN 'frontal' WHEN 'temp' THEN 'temporal' WHEN 'cen' THEN 'central' WHEN 'par' THEN 'parietal' ELSE p END AS category, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM fx_annot), 6) AS pct FROM p GROUP BY 1", "fx_annot")
+def lobe_distribution(spark, sf_dir):
+    return C.category_distribution(view(spark, sf_dir, "fx_annot"), C.lobes_or_unclear(F.col("localization")))
+
+
+_DOM = "d AS (SELECT subject, CASE WHEN localization IN ('', 'n/a', 'un') THEN 'unclear' ELSE string_split(localization, '_')[1] END AS v, count(*) AS n, min(struct_pack(a := run, b := onset_s, c := ann_id)) AS o FROM fx_annot GROUP BY 1, 2), dm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY n DESC, o) AS r FROM d) WHERE r = 1)"
+_LOBE_NAME = "CASE v WHEN 'front' THEN 'frontal' WHEN 'temp' THEN 'temporal' WHEN 'cen' THEN 'central' WHEN 'par' THEN 'parietal' ELSE v END"
+
+
+def _dominant(spark, sf_dir):
+    a = view(spark, sf_dir, "fx_annot")
+    return C.dominant(a, F.element_at(C.lobes_or_unclear(F.col("localization")), 1), ["run", "onset_s", "ann_id"])
+
+
+@query(f"WITH {_DOM} SELECT subject, {_LOBE_NAME} AS dominant, n FROM dm", "fx_annot")
+def dominant_lobe(spark, sf_dir):
+    return _dominant(spark, sf_dir)
+
+
+@query(f"WITH {_DOM}, rk AS (SELECT dm.subject, {_LOBE_NAME} AS lobe, t.n FROM dm JOIN (SELECT subject, count(*) AS n FROM fx_annot GROUP BY 1) t USING (subject)), q AS (SELECT *, row_number() OVER (PARTITION BY lobe ORDER BY n DESC, subject) = 1 AND lobe <> 'unclear' AND n >= 3 AS is_pick FROM rk) SELECT subject, lobe, n, is_pick FROM q ORDER BY is_pick DESC, n DESC, subject LIMIT 4", "fx_annot")
+def pilot_subjects(spark, sf_dir):
+    n = view(spark, sf_dir, "fx_annot").groupBy("subject").agg(F.count("*").alias("n"))
+    return C.pilot_subjects(_dominant(spark, sf_dir).drop("n").withColumnRenamed("dominant", "lobe").join(n, "subject"))
+
+
+@query("SELECT lateralization, count(*) AS n FROM fx_annot GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2", "fx_annot")
+def top_sides(spark, sf_dir):
+    a = view(spark, sf_dir, "fx_annot").select(X.side_token(F.col("lateralization")).alias("lateralization"))
+    return a.groupBy("lateralization").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lateralization").limit(2)
+
+
+_RUNS = "(SELECT DISTINCT subject, run, 40000.0 AS duration_s FROM fx_annot)"
+_FREE = f"SELECT g.subject, g.run, g.t FROM (SELECT subject, run, unnest(range(300, 39461, 60)) AS t FROM {_RUNS}) g WHERE NOT EXISTS (SELECT 1 FROM fx_annot s WHERE s.subject = g.subject AND s.run = g.run AND NOT (g.t + 240 <= s.onset_s - 1800 OR g.t >= s.onset_s + s.duration_s + 1800))"
+
+
+def _free(spark, sf_dir):
+    a = view(spark, sf_dir, "fx_annot")
+    return C.interictal_candidates(a.select("subject", "run", F.lit(40000.0).alias("duration_s")).distinct(), a)
+
+
+@query(_FREE, "fx_annot")
+def interictal_candidates(spark, sf_dir):
+    return _free(spark, sf_dir).select("subject", "run", "t")
+
+
+@query()
+def interictal_picks(spark, sf_dir):
+    need = view(spark, sf_dir, "fx_annot").groupBy("subject").agg(F.bround(F.count("*") * 0.2, 0).cast("int").alias("need"))
+    return C.pick_interictal(_free(spark, sf_dir), need, seed=7)
+
+
+_SEGMENTS = f"{_AUDIT.strip()}, rq AS (SELECT us.*, 'preictal' AS kind, onset_s - 240 AS t0_s, CAST(240 AS DOUBLE) AS dur_s FROM us WHERE usable UNION ALL SELECT us.*, 'ictal', onset_s, duration_s FROM us WHERE usable)"
+
+
+def _requests(spark, sf_dir):
+    a = _audit(spark, sf_dir).where("usable")
+    return C.segment_requests(a).withColumn("segment_id", C.segment_id(F.col("subject"), F.col("run"), F.col("kind"), F.col("t0_s")))
+
+
+@query(f"WITH {_SEGMENTS}, ix AS (SELECT subject, run, kind, t0_s, dur_s FROM rq UNION ALL SELECT subject, run, 'interictal', CAST(t AS DOUBLE), CAST(240 AS DOUBLE) FROM ({_FREE})) SELECT subject || '_run-' || lpad(CAST(run AS VARCHAR), 2, '0') || '_' || kind || '_' || CAST(CAST(round_even(t0_s, 0) AS BIGINT) AS VARCHAR) AS segment_id, kind, t0_s, dur_s, CASE WHEN kind = 'preictal' THEN 'preictal_eval' WHEN subject IN ('sub-001', 'sub-002') THEN 'testing' ELSE 'training' END AS split, CASE kind WHEN 'ictal' THEN 'seizure' WHEN 'interictal' THEN 'non_seizure' ELSE kind END AS label FROM ix", "fx_annot")
+def segment_index(spark, sf_dir):
+    free = _free(spark, sf_dir).select("subject", "run", F.lit("interictal").alias("kind"), F.col("t").cast("double").alias("t0_s"), F.lit(240.0).alias("dur_s"))
+    ix = C.segment_index(_requests(spark, sf_dir).select("subject", "run", "kind", "t0_s", "dur_s"), free)
+    k, s = F.col("kind"), F.col("subject")
+    return ix.select(C.segment_id(s, F.col("run"), k, F.col("t0_s")).alias("segment_id"), "kind", "t0_s", "dur_s", C.assign_split(k, s, ["sub-001", "sub-002"]).alias("split"), C.segment_label(k).alias("label"))
+
+
+@query(f"WITH {_SEGMENTS} SELECT split, label, count(*) AS n FROM (SELECT CASE WHEN kind = 'preictal' THEN 'preictal_eval' WHEN subject IN ('sub-001', 'sub-002') THEN 'testing' ELSE 'training' END AS split, CASE kind WHEN 'ictal' THEN 'seizure' ELSE kind END AS label FROM rq r WHERE EXISTS (SELECT 1 FROM rq l WHERE l.kind = 'preictal' AND l.lead_seizure = 'yes' AND l.subject = r.subject AND l.run = r.run AND l.onset_s = r.onset_s)) GROUP BY 1, 2", "fx_annot")
+def lead_export_counts(spark, sf_dir):
+    seg = _requests(spark, sf_dir).withColumnRenamed("onset_s", "seizure_onset_s")
+    k = F.col("kind")
+    seg = C.lead_only(seg).select(C.assign_split(k, F.col("subject"), ["sub-001", "sub-002"]).alias("split"), C.segment_label(k).alias("label"))
+    return C.export_counts(seg)
+
+
+@query("SELECT key, size, subject, modality FROM fx_remote r WHERE NOT EXISTS (SELECT 1 FROM fx_local l WHERE l.key = r.key AND l.size = r.size)", "fx_remote", "fx_local")
+def missing_objects(spark, sf_dir):
+    return C.missing_objects(view(spark, sf_dir, "fx_remote"), view(spark, sf_dir, "fx_local")).select("key", "size", "subject", "modality")
+
+
+@query("WITH h AS (SELECT r.*, EXISTS (SELECT 1 FROM fx_local l WHERE l.key = r.key AND l.size = r.size) AS there FROM fx_remote r), p AS (SELECT subject, modality, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(CASE WHEN there THEN size ELSE 0 END) AS BIGINT) AS have, CAST(sum(CASE WHEN there THEN 0 ELSE size END) AS BIGINT) AS remaining FROM h GROUP BY ROLLUP (subject, modality)) SELECT *, CASE WHEN bytes < 1024 THEN format('{:d} B', bytes) WHEN bytes < 1048576 THEN format('{:.1f} KB', bytes / 1024.0::DOUBLE) WHEN bytes < 1073741824 THEN format('{:.1f} MB', bytes / 1048576.0::DOUBLE) ELSE format('{:.1f} GB', bytes / 1073741824.0::DOUBLE) END AS shown, 100000000 - remaining >= 1000000 AS fits FROM p", "fx_remote", "fx_local")
+def sync_plan(spark, sf_dir):
+    p = C.sync_plan(view(spark, sf_dir, "fx_remote"), view(spark, sf_dir, "fx_local"))
+    return p.withColumn("shown", X.human_bytes(F.col("bytes"))).withColumn("fits", C.fits(F.col("remaining"), 100_000_000, 1_000_000))
+
+
+@query("SELECT r.subject, r.modality FROM (SELECT DISTINCT subject, m.modality FROM fx_remote CROSS JOIN (SELECT DISTINCT modality FROM fx_remote) m) r WHERE NOT EXISTS (SELECT 1 FROM fx_local l JOIN fx_remote q USING (key) WHERE q.subject = r.subject AND q.modality = r.modality)", "fx_remote", "fx_local")
+def empty_groups(spark, sf_dir):
+    remote, local = view(spark, sf_dir, "fx_remote"), view(spark, sf_dir, "fx_local")
+    asked = remote.select("subject").distinct().crossJoin(remote.select("modality").distinct())  # the requested subjects by modalities
+    return C.empty_groups(asked, remote.join(local.select("key"), "key"))
+
+
+@query("WITH b AS (SELECT *, sum(CASE WHEN line LIKE '%File Name:%' THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line_no) AS block FROM fx_lines), p AS (SELECT doc, block, max(CASE WHEN line LIKE 'File Name:%' THEN trim(substr(line, 11)) END) AS file, max(CASE WHEN line LIKE '%Start Time:%' THEN CAST(regexp_extract(line, '(\\d+)', 1) AS INTEGER) END) AS start_s, max(CASE WHEN line LIKE '%End Time:%' THEN CAST(regexp_extract(line, '(\\d+)', 1) AS INTEGER) END) AS end_s FROM b GROUP BY 1, 2) SELECT doc, file, start_s, end_s FROM p WHERE start_s IS NOT NULL AND end_s IS NOT NULL", "fx_lines")
+def summary_seizures(spark, sf_dir):
+    return T.summary_seizures(view(spark, sf_dir, "fx_lines"))
+
+
+@query("WITH n AS (SELECT doc, line, row_number() OVER (PARTITION BY doc ORDER BY line_no) - 1 AS k FROM fx_lines) SELECT doc, CAST(k AS INTEGER) AS line_no, line FROM n WHERE NOT (k = 1 AND lower(line) LIKE '%start%') UNION ALL SELECT DISTINCT doc, -1, 'ch1,ch2' FROM fx_lines", "fx_lines")
+def repaired_headers(spark, sf_dir):
+    from pyspark.sql import Window
+
+    n = view(spark, sf_dir, "fx_lines").withColumn("line_no", (F.row_number().over(Window.partitionBy("doc").orderBy("line_no")) - 1).cast("int"))
+    return T.repair_header(n, "ch1,ch2", marker="start").select("doc", "line_no", "line")
+
+
+_NAMES = "SELECT 'sub-' || (o_orderkey % 9) AS subject, 'Rec_' || (o_custkey % 60) || '.EDF' AS file FROM orders WHERE o_orderkey % 50 = 0"
+
+
+@query(f"WITH l AS ({_NAMES}), f AS (SELECT DISTINCT 'sub-' || (o_orderkey % 9) AS subject, 'rec_' || (o_custkey % 60) || '.edf' AS file FROM orders WHERE o_orderkey % 70 = 0) SELECT l.subject, l.file, coalesce(n, 0) > 1 AS ambiguous FROM l LEFT JOIN (SELECT subject, count(*) AS n FROM f GROUP BY 1) USING (subject) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.subject = l.subject AND lower(f.file) = lower(l.file))")
+def unmatched_names(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    name = lambda form: [F.concat(F.lit("sub-"), F.col("o_orderkey") % 9).alias("subject"), F.format_string(form, F.col("o_custkey") % 60).alias("file")]
+    return C.unmatched_names(o.where("o_orderkey % 50 = 0").select(*name("Rec_%d.EDF")), o.where("o_orderkey % 70 = 0").select(*name("rec_%d.edf")).distinct())
+
+
+@query("WITH e AS (SELECT DISTINCT 'ds/sub-' || (c_custkey % 40) || '/ses-01/eeg/run-' || (c_custkey % 5) || '_events.tsv' AS path FROM customer), f AS (SELECT DISTINCT 'ds/sub-' || (c_custkey % 40) || '/ses-01/ecg/run-' || (c_custkey % 5) || '_ecg.edf' AS path FROM customer WHERE c_custkey % 3 = 0) SELECT path, replace(path, '_events.tsv', '') IN (SELECT replace(replace(path, '/ecg/', '/eeg/'), '_ecg.edf', '') FROM f) AS has_ecg, split_part(path, '/', 2) AS subject, CAST(regexp_extract(path, 'run-(\\d+)', 1) AS INTEGER) AS run FROM e")
+def ecg_flags(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    path = lambda mod, tail: F.format_string(f"ds/sub-%d/ses-01/{mod}/run-%d_{tail}", F.col("c_custkey") % 40, F.col("c_custkey") % 5).alias("path")
+    out = C.flag_ecg(c.select(path("eeg", "events.tsv")).distinct(), c.where("c_custkey % 3 = 0").select(path("ecg", "ecg.edf")))
+    return out.select("path", "has_ecg", X.subject_of(F.substring_index("path", "ds/", -1)).alias("subject"), X.run_of(F.col("path")).alias("run"))
+
+
+# ---- windows, arrays, scores ----------------------------------------------------
+
+
+@query("WITH r AS (SELECT c_custkey AS rec, c_custkey * 7 AS n_samples FROM customer) SELECT rec, 'inclusive' AS mode, CASE WHEN n_samples >= 512 THEN (n_samples - 512) // 128 + 1 ELSE 0 END AS n, CASE WHEN n_samples >= 512 THEN ((n_samples - 512) // 128 * 128 + 256) / CAST(256 AS DOUBLE) END AS last_mid FROM r WHERE n_samples >= 512 UNION ALL SELECT rec, 'exclusive', (n_samples - 513) // 128 + 1, ((n_samples - 513) // 128 * 128 + 256) / CAST(256 AS DOUBLE) FROM r WHERE n_samples > 512")
+def window_grids(spark, sf_dir):
+    r = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("rec"), (F.col("c_custkey") * 7).alias("n_samples"), F.lit(256.0).alias("fs"))
+    grid = lambda inc, name: A.sliding_windows(r, 512, 128, inc).groupBy("rec").agg(F.lit(name).alias("mode"), F.count("*").alias("n"), F.max("t_mid_s").alias("last_mid"))
+    return grid(True, "inclusive").unionByName(grid(False, "exclusive")).select("rec", "mode", "n", "last_mid")
+
+
+@query("WITH r AS (SELECT c_custkey AS rec, (c_custkey % 97) * CAST(0.9 AS DOUBLE) AS duration_s FROM customer) SELECT rec, CAST(floor(duration_s / 2) AS BIGINT) AS n_win, CAST(floor(duration_s / 2) * 2 * 256 AS BIGINT) AS last_sample FROM r WHERE floor(duration_s / 2) > 0")
+def audit_grids(spark, sf_dir):
+    r = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("rec"), ((F.col("c_custkey") % 97) * 0.9).alias("duration_s"), F.lit(256.0).alias("fs"))
+    return A.tumbling_windows(r).groupBy("rec").agg(F.count("*").alias("n_win"), F.max("to_sample").alias("last_sample"))
+
+
+@query("WITH x AS (SELECT vec_id, unnest([round(CAST(v AS DOUBLE) * 50, 0) for v in embedding]) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), l AS (SELECT *, lag(v) OVER (PARTITION BY vec_id ORDER BY i) AS p FROM x) SELECT vec_id, CAST(count(*) AS INTEGER) AS n, min(v) AS min, max(v) AS max, round(stddev_pop(v), 6) AS std, max(v) - min(v) AS p2p, round(avg(v), 6) AS mean, round(avg(CASE WHEN v = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_share, round(sum(CASE WHEN v = p THEN 1.0 ELSE 0.0 END) / (count(*) - 1), 6) AS repeat_share, round(avg(CASE WHEN v >= 19.6 OR v <= -19.6 THEN 1.0 ELSE 0.0 END), 6) AS rails FROM l GROUP BY vec_id")
+def signal_statistics(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    x = e.select("vec_id", F.transform("embedding", lambda v: F.round(v.cast("double") * 50, 0) + F.lit(0.0)).alias("x"))
+    out = x.select("vec_id", A.signal_stats(F.col("x")).alias("s"), A.rail_fraction(F.col("x"), F.lit(-20.0), F.lit(20.0)).alias("rails")).select("vec_id", "s.*", "rails")
+    return rounded(out, "std", "mean", "zero_share", "repeat_share", "rails")
+
+
+@query("WITH x AS (SELECT vec_id, [round(CAST(v AS DOUBLE) * 50, 0) for v in embedding] AS x FROM embeddings), u AS (SELECT vec_id, x, list_sort(list_distinct(x)) AS u FROM x), g AS (SELECT vec_id, x, u, (SELECT min(a.v - a.p) FROM (SELECT v, lag(v) OVER (ORDER BY v) AS p FROM (SELECT unnest(u) AS v)) a) AS step, (SELECT sum(CASE WHEN b.v = b.p THEN 1.0 ELSE 0.0 END) / (count(*) - 1) FROM (SELECT v, lag(v) OVER (ORDER BY i) AS p FROM (SELECT unnest(x) AS v, generate_subscripts(x, 1) AS i)) b) AS rep FROM u) SELECT vec_id, step, round((list_max(x) - list_min(x)) / step, 6) AS levels, round(CASE WHEN rep > 0.05 THEN 256 * (1 - rep) ELSE 256 END, 6) AS rate FROM g")
+def sampling_quality(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    x = e.select("vec_id", F.transform("embedding", lambda v: F.round(v.cast("double") * 50, 0) + F.lit(0.0)).alias("x"))
+    c = F.col("x")
+    return rounded(x.select("vec_id", A.quantisation_step(c).alias("step"), A.quantisation_levels(c).alias("levels"), A.effective_rate(c, F.lit(256.0), 0.05).alias("rate")), "levels", "rate")
+
+
+_PRED = "SELECT vec_id, subject, segment_id, label, CASE WHEN features[1] + features[2] > 0 THEN 1 ELSE 0 END AS predicted, vec_id % 3 AS seed FROM fx_features"
+
+
+def _predicted(spark, sf_dir):
+    f = view(spark, sf_dir, "fx_features")
+    hit = F.element_at("features", 1) + F.element_at("features", 2) > 0
+    return f.select("vec_id", "subject", "segment_id", "label", hit.cast("int").alias("predicted"), (F.col("vec_id") % 3).alias("seed"))
+
+
+@query(f"WITH p AS ({_PRED}), s AS (SELECT subject, seed, 100.0 * avg(CASE WHEN label = predicted THEN 1.0 ELSE 0.0 END) AS accuracy, 100.0 * avg(CASE WHEN label = 1 THEN CASE WHEN predicted = 1 THEN 1.0 ELSE 0.0 END END) AS recall_1, 100.0 * avg(CASE WHEN label = 0 THEN CASE WHEN predicted = 0 THEN 1.0 ELSE 0.0 END END) AS recall_0, count(*) AS n FROM p GROUP BY 1, 2) SELECT subject, seed, round(accuracy, 6) AS accuracy, round(recall_1, 6) AS recall_1, round(recall_0, 6) AS recall_0, n, round((recall_1 + recall_0) / 2, 6) AS balanced FROM s", "fx_features")
+def binary_scores(spark, sf_dir):
+    return rounded(A.binary_scores(_predicted(spark, sf_dir), ["subject", "seed"]), "accuracy", "recall_1", "recall_0", "balanced")
+
+
+@query(f"WITH p AS ({_PRED}), g AS (SELECT subject, segment_id, avg(predicted) AS share FROM p WHERE label = 1 GROUP BY 1, 2) SELECT subject, count(*) FILTER (share >= 0.5) AS detected, count(*) AS total FROM g GROUP BY 1", "fx_features")
+def event_detection(spark, sf_dir):
+    return A.event_detection(_predicted(spark, sf_dir), ["subject"])
+
+
+@query(f"WITH p AS ({_PRED}), s AS (SELECT subject, seed, 100.0 * avg(CASE WHEN label = predicted THEN 1.0 ELSE 0.0 END) AS a FROM p GROUP BY 1, 2) SELECT subject, round(avg(a), 6) AS mean, round(stddev_pop(a), 6) AS std, count(*) AS n FROM s GROUP BY 1", "fx_features")
+def stage_summary(spark, sf_dir):
+    return rounded(A.stage_summary(A.binary_scores(_predicted(spark, sf_dir), ["subject", "seed"]), ["subject"], "accuracy"), "mean", "std")
+
+
+@query("SELECT subject, label, count(*) AS windows, round(count(*) * 0.5 / 60, 6) AS minutes, count(DISTINCT segment_id) AS segments FROM fx_features GROUP BY 1, 2", "fx_features")
+def class_counts(spark, sf_dir):
+    return rounded(A.class_counts(view(spark, sf_dir, "fx_features"), ["subject"]), "minutes")
+
+
+_STATS = "x AS (SELECT vec_id, subject, label, CAST(unnest(features) AS DOUBLE) AS v, generate_subscripts(features, 1) AS i FROM fx_features), st AS (SELECT subject, i, avg(v) AS mean, stddev_pop(v) + 1e-8 AS spread FROM x WHERE label = 0 GROUP BY 1, 2)"
+
+
+@query(f"WITH {_STATS} SELECT subject, CAST(i - 1 AS INTEGER) AS i, round(mean, 6) AS mean, round(spread, 6) AS spread FROM st", "fx_features")
+def feature_statistics(spark, sf_dir):
+    s = S.feature_stats(view(spark, sf_dir, "fx_features").where("label = 0"), ["subject"])
+    return rounded(s.select("subject", F.posexplode(F.arrays_zip("mean", "spread")).alias("i", "s")).select("subject", "i", "s.mean", "s.spread"), "mean", "spread")
+
+
+@query(f"WITH {_STATS} SELECT vec_id, round(sum((v - mean) / spread), 4) AS total, round(max((v - mean) / spread), 4) AS top FROM x JOIN st USING (subject, i) GROUP BY 1", "fx_features")
+def calibrated_features(spark, sf_dir):
+    c = S.calibrate(view(spark, sf_dir, "fx_features"))
+    return c.select("vec_id", F.round(F.aggregate("features", F.lit(0.0), lambda a, v: a + v), 4).alias("total"), F.round(F.array_max("features"), 4).alias("top"))
+
+
+_SPLIT = "sz AS (SELECT DISTINCT subject, segment_id, run, t_start_s FROM fx_features WHERE label = 1), rk AS (SELECT *, count(*) OVER (PARTITION BY subject) AS n, row_number() OVER (PARTITION BY subject ORDER BY run, t_start_s, segment_id) - 1 AS i FROM sz), ct AS (SELECT subject, run AS cr, t_start_s AS ctt FROM rk WHERE i = greatest(1, CAST(round_even(n * CAST(0.33 AS DOUBLE), 0) AS INTEGER)) AND i < n), sp AS (SELECT f.*, CASE WHEN run < cr OR (run = cr AND t_start_s < ctt) THEN 'EARLY' ELSE 'LATER' END AS period FROM fx_features f JOIN ct USING (subject))"
+
+
+@query(f"WITH {_SPLIT} SELECT vec_id, period FROM sp", "fx_features")
+def time_split(spark, sf_dir):
+    return S.time_split(view(spark, sf_dir, "fx_features")).select("vec_id", "period")
+
+
+@query(f"WITH {_SPLIT}, g AS (SELECT subject, count(*) FILTER (period = 'EARLY' AND label = 0) AS early_normal, count(*) FILTER (period = 'EARLY' AND label = 1) AS early_seizure, count(*) FILTER (period = 'LATER' AND label = 0) AS later_normal, count(*) FILTER (period = 'LATER' AND label = 1) AS later_seizure FROM sp GROUP BY 1) SELECT *, early_normal > 0 AND later_normal > 0 AND later_seizure > 0 AS ok FROM g", "fx_features")
+def split_guard(spark, sf_dir):
+    return S.split_guard(S.time_split(view(spark, sf_dir, "fx_features")))
+
+
+@query("WITH n AS (SELECT label, count(*) AS c FROM fx_features GROUP BY 1), m AS (SELECT min(c) AS m, max(CASE WHEN label = 1 THEN c END) AS p FROM n) SELECT 'balanced' AS method, label, m AS n FROM n, m UNION ALL SELECT 'downsampled', label, CASE WHEN label = 1 THEN c ELSE least(c, p) END FROM n, m UNION ALL SELECT 'validation', NULL, (SELECT count(*) // 5 FROM fx_features) UNION ALL SELECT 'drawn', label, c * 2 + 1 FROM n", "fx_features")
+def sampling_counts(spark, sf_dir):
+    f = view(spark, sf_dir, "fx_features").select("vec_id", "label")
+    count = lambda d, m: d.groupBy("label").agg(F.count("*").alias("n")).select(F.lit(m).alias("method"), "label", "n")
+    val = S.holdout_fraction(f, ["vec_id"]).where("fold = 'validation'").agg(F.count("*").alias("n")).select(F.lit("validation").alias("method"), F.lit(None).cast("int").alias("label"), "n")
+    drawn = S.sample_with_replacement(f, ["label"], f.groupBy("label").agg((F.count("*") * 2 + 1).alias("draws")), ["vec_id"])
+    return count(S.balance_classes(f, "label", ["vec_id"]), "balanced").unionByName(count(S.downsample_majority(f, "label", ["vec_id"]), "downsampled")).unionByName(val).unionByName(count(drawn, "drawn"))
+
+
+@query("WITH n AS (SELECT label, count(*) AS c FROM fx_features WHERE subject <> 'sub-1' GROUP BY 1) SELECT label, c + CAST(floor(c * 0.5 / 0.5) AS BIGINT) AS n FROM n", "fx_features")
+def mixed_counts(spark, sf_dir):
+    others, own = S.subject_holdout(view(spark, sf_dir, "fx_features"), "sub-1")
+    return S.mix_personal(others, own, ["vec_id"]).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query()
+def stage_sweep(spark, sf_dir):
+    # In one run, so that the view's subjects have normal windows before the cut.
+    f = view(spark, sf_dir, "fx_features").withColumn("features", F.slice("features", 1, 16)).withColumn("run", F.lit(0))
+    pred = M.stage_sweep(f, ["sub-0", "sub-1"], [1, 2], epochs=5)
+    by = ["patient", "stage", "seed"]
+    return A.binary_scores(pred, by).join(A.event_detection(pred, by), by)
+
+
+# ---- signals --------------------------------------------------------------------
+
+
+def _signals(spark, sf_dir, size: int = 512):
+    """Value series of the recordings in chunks, as signals at 64 Hz."""
+    s = view(spark, sf_dir, "fx_scores").withColumn("chunk", F.floor(F.col("win_idx") / size))
+    per = s.groupBy("rec", "chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("win_idx", "value"))), lambda x: x["value"]).alias("x"))
+    return per.withColumn("fs", F.lit(64.0))
+
+
+@query()
+def spectral_windows(spark, sf_dir):
+    s = _signals(spark, sf_dir).select("rec", "chunk", V.welch_bands("x", "fs").alias("b"), V.dominant_frequency("x", "fs").alias("d"))
+    return s.select("rec", "chunk", "b.*", "d.*")
+
+
+@query()
+def cardiac_verdicts(spark, sf_dir):
+    s = _signals(spark, sf_dir, 2048).withColumn("m", V.ecg_measures("x", "fs", F.lit(-1000.0), F.lit(1000.0)))
+    return s.select("rec", "chunk", V.ecg_verdict(F.col("m")).alias("verdict"), "m.bpm", "m.cv", "m.mains")
+
+
+@query()
+def eeg_window_quality(spark, sf_dir):
+    flags = V.eeg_window_flags(limit=200.0)
+    s = _signals(spark, sf_dir).select("rec", "chunk", F.posexplode(flags("x", "fs", F.lit(8.0))).alias("win", "bad"))
+    long = s.select(F.concat_ws("-", "rec", "chunk").alias("id"), "win", F.lit("value").alias("channel"), "bad")
+    return U.eeg_clean_fraction(long)
+
+
+@query()
+def window_feature_rows(spark, sf_dir):
+    s = _signals(spark, sf_dir).withColumn("eeg", F.array("x", F.reverse("x")))
+    rows = s.select("rec", "chunk", F.posexplode(V.window_features(256, 64)("eeg")).alias("win", "features"))
+    return rows.select("rec", "chunk", "win", F.size("features").alias("n"), F.round(F.element_at("features", 1), 6).alias("rms"), F.round(F.aggregate("features", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+
+
+@query()
+def risk_curves(spark, sf_dir):
+    near = L.align_to_onset(_risk(spark, sf_dir), view(spark, sf_dir, "fx_seizures"), KEYS)
+    curves = V.resample_risk(near, ["rec", "onset_s"])
+    return curves.select("rec", "onset_s", F.size("curve").alias("n"), F.round(F.array_max("curve"), 6).alias("peak"))
+
+
+# ---- streaming ------------------------------------------------------------------
+
+
+@query("SELECT user_id % 4 AS rec, CAST(w AS TIMESTAMP) AS start, count(*) AS n, round(avg(value), 6) AS mean, round(max(value) - min(value), 6) AS p2p FROM (SELECT user_id, value, unnest([time_bucket(INTERVAL '30 minutes', ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL '30 minutes', ts, TIMESTAMP '1970-01-01') - INTERVAL '30 minutes']) AS w FROM events) GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 4).alias("rec"), "ts", "value")
+    return rounded(G.stream_windows(e, "1 hour", "30 minutes").select("rec", "start", "n", "mean", "p2p"), "mean", "p2p")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared one (`spark.checkpoint.dir`); a temporary folder only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="pulseloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query()
+def streamed_risk(spark, sf_dir):
+    """The recordings replayed as a stream of files; risk and alerts as the stream emits them."""
+    scores, src, out = view(spark, sf_dir, "fx_scores"), scratch(spark, "replay"), scratch(spark, "risk")
+    ts = F.timestamp_seconds(F.col("time"))
+    rows = scores.select("rec", "win_idx", "time", "prob", "delta", "ratio", "centroid", ts.alias("ts"))
+    for part in range(4):  # four files, in the order of time
+        rows.where(F.col("win_idx") >= part * 700).where((F.lit(part == 3)) | (F.col("win_idx") < (part + 1) * 700)).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = G.stream_risk(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(out)
