@@ -18,6 +18,7 @@ bounded by the block size, and a frequent key has one row per block.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -90,7 +91,7 @@ def stream_keys(bodies: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray
     return key[inside].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _slices(words_of, flags, most: int = 2_000_000):
+def _slices(words_of, flags, most: int = 500_000):
     """(bodies, flags) of about `most` bytes."""
     bodies, marks, held = [], [], 0
     for words, flag in zip(words_of, flags, strict=True):
@@ -215,14 +216,17 @@ def ppm_scores(docs: DataFrame, train: Column, order: int = ORDER, block_bytes:
         import pyarrow.compute as pc
 
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "code_bits"]
-        grams = known.filter(pc.is_valid(known["key"]))
-        terms = known.filter(pc.is_valid(known["word"]))
+        grams = known.select(["key", "lp"]).filter(pc.is_valid(known["key"]))
+        terms = known.select(["word", "c"]).filter(pc.is_valid(known["word"]))
+        del known
         key, value = grams["key"].to_numpy(), grams["lp"].to_numpy().astype(np.float64)
         at = np.argsort(key)
         key, value = key[at], value[at]
         count = terms["c"].to_numpy()
-        base = dict(zip(terms["word"].to_pylist(), np.log10((count + 0.5) / (trained + 0.5 * (kinds + 1))).tolist(), strict=True))
-        seen = {w for w, c in zip(terms["word"].to_pylist(), count, strict=True) if c > 0}
+        each = np.log10((count + 0.5) / (trained + 0.5 * (kinds + 1)))
+        base = {w.as_py(): float(b) for w, b in zip(terms["word"], each, strict=True)}
+        least = math.log10(0.5 / (trained + 0.5 * (kinds + 1)))  # the score of a word that is not in training texts
+        del grams, terms, count, each
         out = {n: [] for n in names}
         for row in block.to_pylist():
             texts = []
@@ -230,8 +234,9 @@ def ppm_scores(docs: DataFrame, train: Column, order: int = ORDER, block_bytes:
             def told(texts=texts, row=row):
                 for words in block_texts(row["size"], row["data"]):
                     out["n_tokens"].append(len(words) + 1)
-                    out["base_score"].append(sum(map(base.__getitem__, words), base[END]))
-                    out["n_known"].append(sum(map(seen.__contains__, words)) + (END in seen))
+                    parts = [base[END], *map(base.__getitem__, words)]
+                    out["base_score"].append(sum(parts))
+                    out["n_known"].append(sum(map(least.__lt__, parts)))
                     yield words
 
             for bodies, _m in _slices(told(), row["train"]):
