@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.llm.common import crc_bucket, small_batches, stage, table
 
-ORDER, BLOCK_BYTES = 5, 32_000_000
+ORDER, BLOCK_BYTES = 5, 16_000_000
 END = b"\n"
 _U = np.uint64
 
