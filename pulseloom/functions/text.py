@@ -61,10 +61,11 @@ def vigilance_token(vigilance: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """1024 steps, one decimal, none for bytes."""
-    out = F.format_string("%.1f TB", n / 1024.0**4)
+    """1024 steps, one decimal (halves to even), none for bytes."""
+    one = lambda power: F.bround(n / 1024.0**power, 1)
+    out = F.format_string("%.1f TB", one(4))
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", n / 1024.0**power)).otherwise(out)
+        out = F.when(n < 1024 ** (power + 1), F.format_string(f"%.1f {unit}", one(power))).otherwise(out)
     return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).otherwise(out)
 
 
