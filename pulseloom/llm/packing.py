@@ -13,6 +13,7 @@ built from counts by (length, bucket), so no length gathers in one task.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 
@@ -27,8 +28,18 @@ END_ID = 2
 _encoders: dict = {}
 
 
+#: What the tokenizer cuts words of ASCII and Latin letters into before merging; such parts are encoded independently.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+|[0-9]|[^0-9A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+")
+PLAIN = re.compile(r"[\x21-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+")
+
+
 class WordCache:
-    """Ids of white-space separated words as little-endian bytes; the tokenizer drops white space, so words are independent."""
+    """Ids of white-space separated words as little-endian bytes; the tokenizer drops white space, so words are independent.
+
+    It also ignores the case of A-Z, so texts are lower-cased first unless they
+    may hold a special token. Words of plain letters are put together from their
+    parts, so that a word is encoded once however it is punctuated.
+    """
 
     def __init__(self, spec: str, most: int = 1_000_000):
         import os
@@ -36,21 +47,44 @@ class WordCache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.ids = Tokenizer.from_str(spec), most, {}
+        self.tokenizer, self.most, self.ids, self.part_ids = Tokenizer.from_str(spec), most, {}, {}
+
+    def _learn(self, parts: set[str]) -> None:
+        new = [p for p in parts if p not in self.part_ids]
+        if len(self.part_ids) + len(new) > 2 * self.most:
+            self.part_ids.clear()
+            new = list(parts)
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.part_ids[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        new = list({w for ws in split for w in ws if w not in self.ids})
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        split = [(r if b"<|" in r else r.lower()).split() for r in raw]
+        new = {w for ws in split for w in ws if w not in self.ids}
         if len(self.ids) + len(new) > self.most:
             self.ids.clear()
-            new = list({w for ws in split for w in ws})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
+            new = {w for ws in split for w in ws}
+        cut = {}
+        for w in new:
+            word = w.decode()
+            cut[w] = PARTS.findall(word) if b"<|" not in w and PLAIN.fullmatch(word) else [word]
+        self._learn({p for parts in cut.values() for p in parts})
+        for w, parts in cut.items():
+            self.ids[w] = self.part_ids[parts[0]] if len(parts) == 1 else b"".join(map(self.part_ids.__getitem__, parts))
         return [b"".join(map(self.ids.__getitem__, ws)) for ws in split]
 
 
+def word_cache(spec: str) -> WordCache:
+    """The worker's cache for a tokenizer, kept over its tasks (a closure's globals are copied for each task, a module's are not)."""
+    key = hash(spec)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = WordCache(spec)
+    return _encoders[key]
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise whole texts and cut them: doc_id, start, length, ids_crc32, doc_tokens. Null text counts as empty (only the end id)."""
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -58,11 +92,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
     end = int(end_id).to_bytes(4, "little")
 
     def cut(texts, _):
-        key = hash(spec.value)
-        if key not in _encoders:
-            _encoders[key] = WordCache(spec.value)
         rows, start, length, crc, total = [], [], [], [], []
-        for i, ids in enumerate(_encoders[key].encode(texts)):
+        for i, ids in enumerate(word_cache(spec.value).encode(texts)):
             ids += end
             n = len(ids) // 4
             for s in range(0, n, window):
