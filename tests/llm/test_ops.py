@@ -393,6 +393,13 @@ def test_terms_that_reveal_an_entity_are_removed(spark):
     assert find_personal_data(oddities(spark)).count() == 9 and find_personal_data(oddities(spark).limit(0)).count() == 0
 
 
+def test_addresses_with_zero_octets(spark):
+    some = ["10.0.0.1 and 127.0.0.1", "0.0.0.0", "001.000.0.1", "255.255.255.0 x 192.168.0.7", "0256.0.0.1", "000.00.0.0255 1.2.3.300"]
+    got = {r["doc_id"]: r for r in find_personal_data(frame(spark, some)).collect()}
+    assert {i: r["spans"] for i, r in got.items()} == {i: ",".join(base_spans(t)) for i, t in enumerate(some)}
+    assert [got[i]["n_ip"] for i in range(6)] == [2, 1, 1, 2, 0, 1]
+
+
 # ---- 2 -----------------------------------------------------------------------
 
 
