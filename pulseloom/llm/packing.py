@@ -30,7 +30,8 @@ _encoders: dict = {}
 
 #: What the tokenizer cuts words of ASCII and Latin letters into before merging; such parts are encoded independently.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+|[0-9]|[^0-9A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+")
-PLAIN = re.compile(r"[\x21-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+")
+#: Words that may be cut so; U+0130 is left out, as its lower case is two characters.
+PLAIN = re.compile(r"[\x21-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
 
 
 class WordCache:
@@ -38,7 +39,8 @@ class WordCache:
 
     It also ignores the case of A-Z, so texts are lower-cased first unless they
     may hold a special token. Words of plain letters are put together from their
-    parts, so that a word is encoded once however it is punctuated.
+    parts, so that a word is encoded once however it is punctuated; words that
+    still hold capitals are encoded whole, as PARTS knows lower-case endings only.
     """
 
     def __init__(self, spec: str, most: int = 1_000_000):
@@ -69,7 +71,7 @@ class WordCache:
         cut = {}
         for w in new:
             word = w.decode()
-            cut[w] = PARTS.findall(word) if b"<|" not in w and PLAIN.fullmatch(word) else [word]
+            cut[w] = PARTS.findall(word) if b"<|" not in w and w == w.lower() and PLAIN.fullmatch(word) else [word]
         self._learn({p for parts in cut.values() for p in parts})
         for w, parts in cut.items():
             self.ids[w] = self.part_ids[parts[0]] if len(parts) == 1 else b"".join(map(self.part_ids.__getitem__, parts))

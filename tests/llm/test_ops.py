@@ -208,6 +208,11 @@ def test_packing_oddities(spark):
     assert pack(frame(spark, some).limit(0), default_tokenizer()).count() == 0
 
 
+def test_packing_of_capital_contractions_beside_special_tokens(spark):
+    some = ["<| IT'S DON'T", "<|endoftext|> We'RE I'M IT'LLx don't'S", "a<|b \u00c9'S x", "\u0130'S \u0130x", "IT'S DON'T"]
+    check_packing(pack(frame(spark, some), default_tokenizer()).collect(), dict(enumerate(some)))
+
+
 def test_plan_uses_every_piece_once():
     r = np.random.default_rng(4)
     hist = dict(Counter(np.minimum(r.integers(1, 4096, 3000), 4096).tolist())) | {4096: 5, 7: 100}
