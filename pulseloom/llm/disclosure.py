@@ -2,9 +2,9 @@
 
 Base spans (email, ip, card, phone) are leftmost matches that pass a check. The
 method adds information-theoretic sanitisation: the values of base spans are the
-protected entities; words around them are terms. Over the whole corpus the
-co-occurrence of term and entity (in distinct texts) and the document frequency
-of every word give the pointwise mutual information. A term's disclosure of an
+protected entities; all other words of a text that holds one are terms. Over the
+whole corpus the co-occurrence of term and entity and the frequency of every
+word, all in distinct texts, give the pointwise mutual information. A term's disclosure of an
 entity is PMI(t; e) / IC(e), 1 if the term determines the entity. Terms over the
 threshold with enough support are spans too, wherever they stand.
 """
@@ -28,7 +28,7 @@ PATTERNS = {
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": ""}
 WORDS = r"[^\p{L}]+"
-NEAR_CHARS, NEAR_WORDS, MIN_LETTERS = 48, 2, 3
+MIN_LETTERS = 3
 DISCLOSURE, SUPPORT = 0.9, 3
 
 
@@ -85,29 +85,40 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return d.withColumn("mark", F.xxhash64("text"))
 
 
+def words_around(text: Column) -> Column:
+    """The distinct words of a text outside its base spans (only those of email hold letters)."""
+    bare = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.filter(F.split(F.lower(bare), WORDS), lambda w: F.length(w) >= MIN_LETTERS))
+
+
 def revealing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """Terms over the threshold: term, entity (hash), support, disclosure."""
-    found = docs.select("text", "mark", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
-    parts = [found.where(F.size(k) > 0).select("text", "mark", F.lit(k).alias("kind"), F.explode(k).alias("x")) for k in KINDS]
-    spans = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    before = F.split(F.lower(F.substring("text", F.greatest(F.lit(1), F.col("x.s") + 1 - NEAR_CHARS), F.least(F.lit(NEAR_CHARS), F.col("x.s")))), WORDS)
-    after = F.split(F.lower(F.substring("text", F.col("x.e") + 1, F.lit(NEAR_CHARS))), WORDS)
-    usable = lambda a: F.filter(a, lambda w: F.length(w) >= MIN_LETTERS)
-    near = F.concat(F.reverse(F.slice(F.reverse(usable(before)), 1, NEAR_WORDS)), F.slice(usable(after), 1, NEAR_WORDS))
-    spans = stage(spans.select("mark", F.xxhash64("kind", F.lower("x.v")).alias("entity"), near.alias("near")), "contexts")
-    pairs = spans.select("mark", "entity", F.explode(F.array_distinct("near")).alias("term")).distinct()
-    joint = pairs.groupBy("term", "entity").agg(F.count("*").alias("support")).where(F.col("support") >= support)
-    joint = stage(joint, "joint")
-    if joint.isEmpty():
-        return joint.withColumn("disclosure", F.lit(0.0))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), WORDS))).alias("term")).where(F.length("term") >= MIN_LETTERS)
-    frequency = words.groupBy("term").agg(F.count("*").alias("df"))
-    entities = spans.select("mark", "entity").distinct().groupBy("entity").agg(F.count("*").alias("ne"))
-    n = F.lit(float(docs.count()))
-    rate = F.least(F.lit(1.0), F.col("support") / F.col("df"))
-    information = F.log2(n / F.col("ne"))
-    told = F.when(information > 0, (F.log2(rate) + information) / information)
-    return joint.join(frequency, "term").join(entities, "entity").select("term", "entity", "support", told.alias("disclosure")).where(F.col("disclosure") >= disclosure)
+    found = docs.select("mark", words_around(F.col("text")).alias("words"), *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
+    named = lambda k: F.transform(k, lambda x: F.xxhash64(F.lit(k), F.lower(x["v"])))
+    held = found.select("mark", "words", F.array_distinct(F.concat(*[named(k) for k in KINDS])).alias("entities")).where(F.size("entities") > 0)
+    contexts = stage(held.dropDuplicates(["mark"]), "contexts")
+    none = contexts.sparkSession.createDataFrame([], "term string, entity long, support long, disclosure double")
+    if contexts.isEmpty():
+        return none
+
+    # The word "" stands once in every text, so its frequency is the number of texts.
+    words = docs.dropDuplicates(["mark"]).select(F.explode(F.concat(F.array(F.lit("")), words_around(F.col("text")))).alias("term"))
+    frequency = stage(words.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= support) | (F.col("term") == "")), "frequency")
+    n = float(frequency.where("term = ''").first()["df"])
+
+    # Support is at most ne, so the threshold bounds df; what is above can never reach it and need not be paired.
+    entities = contexts.select("mark", F.explode("entities").alias("entity"))
+    ne = entities.groupBy("entity").agg(F.count("*").alias("ne")).where(F.col("ne") >= support)
+    ne = ne.withColumn("most", F.col("ne") * F.pow(F.lit(n) / F.col("ne"), F.lit(1.0 - disclosure)) * (1 + 1e-9))
+    entities = stage(entities.join(ne, "entity"), "entities")
+    limits = entities.groupBy("mark").agg(F.max("most").alias("limit"))
+    terms = contexts.join(limits, "mark").select("mark", "limit", F.explode("words").alias("term"))
+    terms = terms.join(frequency, "term").where(F.col("df") <= F.col("limit")).select("mark", "term", "df")
+    pairs = terms.join(entities, "mark").where(F.col("df") <= F.col("most"))
+    joint = pairs.groupBy("term", "entity", "df", "ne").agg(F.count("*").alias("support")).where(F.col("support") >= support)
+    information = F.log2(F.lit(n) / F.col("ne"))
+    told = F.when(information > 0, (F.log2(F.col("support") / F.col("df")) + information) / information)
+    return joint.select("term", "entity", "support", told.alias("disclosure")).where(F.col("disclosure") >= disclosure)
 
 
 def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, redact: bool = False) -> DataFrame:

@@ -405,6 +405,14 @@ def test_addresses_with_zero_octets(spark):
     assert [got[i]["n_ip"] for i in range(6)] == [2, 1, 1, 2, 0, 1]
 
 
+def test_terms_count_in_distinct_texts_and_wherever_they_stand(spark):
+    held = [f"Quillan met us {c} and spoke of the plain word at length before we wrote to bob@corp.example.com about it{c}" for c in ("one", "two", "three")]
+    some = held + [held[0]] * 9 + [f"we met us and spoke of the plain word number{i} at length before we wrote to nobody about it" for i in range(88)]
+    got = {r["doc_id"]: r for r in find_personal_data(frame(spark, some)).collect()}
+    assert all("term:0:7" in got[i]["spans"] and got[i]["n_term"] == 1 for i in range(12))
+    assert all(not got[i]["spans"] for i in range(12, 100))
+
+
 # ---- 2 -----------------------------------------------------------------------
 
 
