@@ -12,9 +12,9 @@ makes the cost per text nearly independent of its length beyond one hash a cell.
 Bands of coordinates are joined on their hash. Within a bucket every text is
 compared with leaders, never all pairs: first with the bucket's least and largest
 text (an order all buckets share, so a dense group has few leaders and one link
-each joins it), then, in buckets that still hold several components, with two
-leaders of the bucket's own choice, and only across components. Similarity is
-verified on the exact multisets.
+each joins it), then, in buckets that still hold several components, members
+lead by turns, and only across components, until the bucket is one component or
+all its members have led. Similarity is verified on the exact multisets.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.llm.arrays import _U, cells, mix, shingle_hashes
@@ -140,21 +140,25 @@ def verified(links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "ta", "b", "tb").mapInArrow(compare, "a long, b long")
 
 
-def mixed_bucket_links(spread: DataFrame, roots: DataFrame) -> DataFrame:
-    """New links (a, b) in buckets that still hold several components: with two leaders that each bucket picks by its own hash."""
-    own = spread.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    lead = own.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.min(F.expr("node ^ key")).alias("lo"), F.max(F.expr("node ^ key")).alias("hi"))
-    lead = lead.where("first <> last").select("key", F.explode(F.array(F.expr("lo ^ key"), F.expr("hi ^ key"))).alias("leader")).distinct()
-    lead = lead.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("of")), "leader", "left").withColumn("of", F.coalesce("of", "leader"))
-    hits = own.join(lead, "key").where("root <> of")
+def mixed_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (key, node, ...) of buckets that hold several components, with their root."""
+    own = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = own.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("key")
+    return own.join(mixed, "key")
+
+
+def led_links(mixed: DataFrame, led: int, upto: int, threshold: float) -> DataFrame:
+    """Links (a, b) of the members whose turn in their bucket is over `led` and at most `upto` with later ones of other components."""
+    lead = mixed.where((F.col("turn") > led) & (F.col("turn") <= upto)).select("key", F.col("node").alias("leader"), F.col("root").alias("of"), F.col("turn").alias("t"), F.col("cells").alias("c"))
+    hits = mixed.join(lead, "key").where((F.col("turn") > F.col("t")) & (F.col("root") != F.col("of")) & (F.least("cells", "c") >= threshold * F.greatest("cells", "c")))
     return hits.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
 def near_links(docs: DataFrame, signed: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """Verified links between texts, and their components `(node, root)`."""
-    nodes = signed.where("size(bands) > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("rep"))
+    nodes = signed.where("size(bands) > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.first("cells").alias("cells"), F.min("doc_id").alias("rep"))
     nodes = stage(nodes, "nodes")
-    spread = nodes.select("node", F.explode("bands").alias("key"))
+    spread = nodes.select("node", "cells", F.explode("bands").alias("key"))
     lead = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
     hits = spread.join(lead, "key").select("node", "n", F.explode(F.array("lo", "hi")).alias("leader")).where("node <> leader")
     found = hits.groupBy(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).agg(F.count("*").alias("shared"), F.max("n").alias("n"))
@@ -185,10 +189,28 @@ def near_links(docs: DataFrame, signed: DataFrame, threshold: float, bands: int,
     for c in ("a", "b"):
         named = named.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
     open_ = named.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b").join(best, ["a", "b"], "left_anti")
-    fresh = mixed_bucket_links(spread, roots).join(links, ["a", "b"], "left_anti")
-    more = stage(verified(open_.unionByName(fresh), texts, threshold), "verified")
+    more = stage(verified(open_, texts, threshold), "verified")
     both = first.union(more)
-    return both, components(both)
+    roots = components(both)
+
+    # Buckets of up to three texts are done: their least and largest met all others. In the others members lead by turns,
+    # growing numbers each round, until each bucket is one component or each of its members has led.
+    turn = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
+    members = mixed_buckets(spread.join(lead.where("n > 3").select("key"), "key"), roots).drop("root")
+    members = stage(members.withColumn("turn", F.row_number().over(turn)), "members")
+    tested, led, upto = links, 0, 2
+    while True:
+        mixed = stage(mixed_buckets(members, roots), "mixed")
+        if mixed.where(F.col("turn") > led).isEmpty():
+            return both, roots
+        fresh = stage(led_links(mixed, led, upto, threshold).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
+        if not fresh.isEmpty():
+            tested = tested.select("a", "b").union(fresh)
+            more = stage(verified(fresh, texts, threshold), "verified")
+            if not more.isEmpty():
+                both = both.union(more)
+                roots = components(both)
+        members, led, upto = mixed.drop("root"), upto, 3 * upto
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -135,6 +135,18 @@ def test_near_group_of_many_and_oddities(spark):
     assert near_duplicates(oddities(spark)).count() == 9 and near_duplicates(oddities(spark).limit(0)).count() == 0
 
 
+def test_near_pairs_inside_a_family_below_the_threshold(spark):
+    r = np.random.default_rng(3)
+    base, some = [f"w{i}" for i in range(800)], []
+    for pair in range(50):
+        at = r.permutation(np.arange(5, 795, 6))[:20].tolist()
+        for side, own in enumerate((at[4:12], at[12:])):
+            new = dict.fromkeys(own, f"x{pair}s{side}") | dict.fromkeys(at[:4], f"y{pair}")
+            some.append(" ".join(new.get(i, w) for i, w in enumerate(base)))
+    got = {x["doc_id"]: x["class_id"] for x in near_duplicates(frame(spark, some)).collect()}
+    assert got == classes(dict(enumerate(some))) and len(set(got.values())) == 50
+
+
 def test_signature_agreement_estimates_similarity():
     r = np.random.default_rng(0)
     shared, a, b = (r.integers(0, 2**63, n).astype(np.uint64) for n in (300, 100, 100))
