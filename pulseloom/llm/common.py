@@ -16,9 +16,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (`spark.checkpoint.dir`); a temporary one only where it is unset."""
+    """The folder all executors share (`spark.checkpoint.dir`). Where it is unset, a temporary one in local mode; on a cluster an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="pulseloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -31,9 +33,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches small, as texts may be long."""
+def drop_stage(df: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 20_000, size: str = "4m") -> None:
+    """Bound Arrow batches by their bytes, as texts may be long, and by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

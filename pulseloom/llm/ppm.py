@@ -10,142 +10,58 @@ follows its suffixes, what is excluded from a context's suffix is one sum per
 context, found by a join; so the probability of each (context, byte) that occurs
 anywhere is worked out once, by joins between the levels.
 
-Documents travel in compressed blocks. A block sends its distinct (context,
-byte) keys and words, not its positions, to the corpus tables, and gets their
-probabilities and counts back; then it scores its texts. What a task holds is
-bounded by the block size, and a frequent key has one row per block.
+Documents travel in compressed blocks (blocks.py). A block sends its distinct
+(context, byte) keys and words, not its positions, to the corpus tables, and gets
+their probabilities and counts back; then it scores its texts, chunk by chunk.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import crc_bucket, small_batches, stage, table
+from pulseloom.llm.blocks import BLOCK_BYTES, CHUNK, END, FRAME_BYTES, block_table, distinct_counts, make_blocks, unpacked, words_of
+from pulseloom.llm.common import crc_bucket, drop_stage, stage, table
 
-ORDER, BLOCK_BYTES = 5, 16_000_000
-END = b"\n"
+ORDER = 5
 _U = np.uint64
 
 
-def blocks(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents as compressed blocks on the shared folder: block, doc_id[], train[], size[] (bytes of each text), data; texts in lower case with single spaces."""
-    small_batches(docs.sparkSession)
-    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-
-    def gather(batches):
-        import pyarrow as pa
-        import zstandard
-        from pyspark import TaskContext
-
-        squeeze, part, seq = zstandard.ZstdCompressor(level=5), TaskContext.get().partitionId(), 0
-        ids, flags, texts, held = [], [], [], 0
-
-        def flush():
-            one = [pa.array([(part << 32) + seq], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([flags], pa.list_(pa.bool_())), pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), pa.array([squeeze.compress(b"".join(texts))], pa.binary())]
-            return pa.RecordBatch.from_arrays(one, names=["block", "ids", "train", "size", "data"])
+def normal(text: bytes) -> bytes:
+    return b" ".join(text.lower().split())
 
-        for batch in batches:
-            for i, flag, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids.append(i)
-                flags.append(bool(flag))
-                texts.append(b" ".join(text.lower().split()))
-                held += len(texts[-1])
-                if held >= block_bytes:
-                    yield flush()
-                    seq += 1
-                    ids, flags, texts, held = [], [], [], 0
-        if ids:
-            yield flush()
 
-    made = stage(taken.mapInArrow(gather, "block long, ids array<long>, train array<boolean>, size array<long>, data binary"), "blocks")
-    return made
-
-
-def block_texts(size: list[int], data: bytes):
-    """The words of each text of a block."""
-    import zstandard
-
-    raw, at = zstandard.ZstdDecompressor().decompress(data) if data else b"", 0
-    for n in size:
-        yield raw[at : at + n].split()
-        at += n
-
-
-def stream_keys(bodies: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key (context bytes and next byte) at every position of the bodies, and where each body begins (one more)."""
-    pad = END * order
-    data = np.frombuffer(b"".join(x for b in bodies for x in (pad, b)), np.uint8)
-    key = np.zeros(max(0, len(data) - order), _U)
-    for j in range(order + 1):
-        key = (key << _U(8)) | data[j : j + len(key)]
-    sizes = np.array([len(b) for b in bodies], np.int64)
-    inside = np.ones(len(key), bool)
-    ends = np.cumsum(sizes + order) - order
-    for j in range(order):  # keys that end in the next body's padding
-        inside[ends[:-1] + j] = False
-    return key[inside].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
-
-
-def _slices(words_of, flags, most: int = 500_000):
-    """(bodies, flags) of about `most` bytes."""
-    bodies, marks, held = [], [], 0
-    for words, flag in zip(words_of, flags, strict=True):
-        bodies.append(b" ".join(words) + END)
-        marks.append(flag)
-        held += len(bodies[-1])
-        if held >= most:
-            yield bodies, marks
-            bodies, marks, held = [], [], 0
-    if bodies:
-        yield bodies, marks
+def stream_keys(data: bytes, order: int, most: int = CHUNK):
+    """Keys (context bytes and next byte) at every byte of a frame, in chunks; contexts start anew after each END."""
+    padded = END * order + data + bytes(8)
+    if data.count(END) > 1:
+        padded = END * order + data[:-1].replace(END, END * (order + 1)) + END + bytes(8)
+    windows = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    for lo in range(0, len(data), most):
+        at = np.arange(lo, min(len(data), lo + most))
+        at += order * np.searchsorted(ends, at)
+        yield (windows[at].astype(_U) >> _U(64 - 8 * (order + 1))).astype(np.int64)
 
 
 def block_keys(made: DataFrame, order: int) -> DataFrame:
     """(block, key, n): distinct keys of each block with their count in training texts, 0 included."""
+    import pyarrow as pa
 
-    def count(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                for bodies, marks in _slices(block_texts(row["size"], row["data"]), row["train"]):
-                    for flag in (False, True):
-                        some = [b for b, m in zip(bodies, marks, strict=True) if m == flag]
-                        if some:
-                            u, c = np.unique(stream_keys(some, order)[0], return_counts=True)
-                            keys, counts = np.concatenate([keys, u]), np.concatenate([counts, c * flag])
-                    keys, at = np.unique(keys, return_inverse=True)
-                    counts = np.bincount(at, counts, len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), row["block"])), pa.array(keys), pa.array(counts)], names=["block", "key", "n"])
+    def keys(row):
+        return distinct_counts(((pa.array(k), f["train"]) for f, data in unpacked(row["frames"]) for k in stream_keys(data, order)), "key")
 
-    return made.select("block", "train", "size", "data").mapInArrow(count, "block long, key long, n long")
+    return block_table(made.select("block", "frames"), "key long, n long", keys)
 
 
 def block_words(made: DataFrame) -> DataFrame:
     """(block, word, n): distinct words of each block, the end among them, with their count in training texts."""
 
-    def count(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                seen: tuple[Counter, Counter] = (Counter(), Counter())
-                for words, flag in zip(block_texts(row["size"], row["data"]), row["train"], strict=True):
-                    seen[flag].update(words)
-                    seen[flag][END] += 1
-                rest = seen[0].keys() - seen[1].keys()
-                words, n = [*seen[1], *rest], [*seen[1].values(), *[0] * len(rest)]
-                for at in range(0, len(words), 100_000):
-                    w = pa.array(words[at : at + 100_000], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), row["block"])), w, pa.array(n[at : at + 100_000], pa.int64())], names=["block", "word", "n"])
+    def words(row):
+        return distinct_counts(((words_of(data)[0], f["train"]) for f, data in unpacked(row["frames"])), "word", 500_000)
 
-    return made.select("block", "train", "size", "data").mapInArrow(count, "block long, word binary, n long")
+    return block_table(made.select("block", "frames"), "word binary, n long", words)
 
 
 def key_scores(counts: DataFrame, order: int) -> DataFrame:
@@ -181,13 +97,15 @@ def key_scores(counts: DataFrame, order: int) -> DataFrame:
             lower = level[j - 1].select(F.col("key").alias("low"), F.col("n").alias("c"))
             walk = walk.withColumn("low", F.col("low").bitwiseAND(mask(j - 1))).join(lower, "low")
     done.append(walk.select("key", (F.col("acc") - F.log10(F.lit(256) - F.col("kinds_above"))).alias("lp")))
+    for used in level[:order]:
+        drop_stage(used)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
-def ppm_scores(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def ppm_scores(docs: DataFrame, train: Column, order: int = ORDER, block_bytes: int = BLOCK_BYTES, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, code_bits.
 
     `train` says which rows are learnt from (null: not). `score` is the log10
@@ -195,9 +113,10 @@ def ppm_scores(docs: DataFrame, train: Column, order: int = ORDER, block_bytes:
     as a code length in bits; `base_score` is the smoothed unigram score. Null
     and empty texts are the end alone. Null ids stay null; repeated rows are
     learnt from and scored as often as they occur; an empty table gives an empty
-    result; other columns are ignored.
+    result; other columns are ignored. A frequent key or word has one row per
+    block at most, which bounds what the tasks that count it read.
     """
-    made = blocks(docs, train, block_bytes)
+    made = make_blocks(docs, {"doc_id": F.col("doc_id").cast("long")}, train, normal, block_bytes, frame_bytes)
     keys = stage(block_keys(made, order), "keys")
     counts = stage(keys.groupBy("key").agg(F.sum("n").alias("n")), "counts")
     scores = key_scores(counts, order)
@@ -208,51 +127,51 @@ def ppm_scores(docs: DataFrame, train: Column, order: int = ORDER, block_bytes:
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("once") & (F.col("c") > 0), 1)), F.lit(0)).alias("v")).first()
     trained, kinds = int(total["n"]), int(total["v"])
 
-    back = keys.select("block", "key").join(scores, "key").select("block", "key", F.lit(None).cast("binary").alias("word"), F.col("lp").cast("float").alias("lp"), F.lit(None).cast("long").alias("c"))
-    back = back.unionByName(words.select("block", F.lit(None).cast("long").alias("key"), "word", F.lit(None).cast("float").alias("lp"), "c"))
+    back = keys.select("block", "key").join(scores, "key").select("block", "key", F.lit(None).cast("binary").alias("word"), "lp", F.lit(None).cast("long").alias("c"))
+    back = back.unionByName(words.select("block", F.lit(None).cast("long").alias("key"), "word", F.lit(None).cast("double").alias("lp"), "c"))
 
     def score(block, known):
+        import pandas as pd
         import pyarrow as pa
         import pyarrow.compute as pc
 
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "code_bits"]
-        grams = known.select(["key", "lp"]).filter(pc.is_valid(known["key"]))
-        terms = known.select(["word", "c"]).filter(pc.is_valid(known["word"]))
+        grams = known.select(["key", "lp"]).filter(pc.is_valid(known["key"])).combine_chunks()
+        terms = known.select(["word", "c"]).filter(pc.is_valid(known["word"])).combine_chunks()
         del known
-        key, value = grams["key"].to_numpy(), grams["lp"].to_numpy().astype(np.float64)
-        at = np.argsort(key)
-        key, value = key[at], value[at]
+        place, value = pd.Index(grams["key"].to_numpy()), grams["lp"].to_numpy()
+        term = {w: i for i, w in enumerate(terms["word"].to_pylist())}
         count = terms["c"].to_numpy()
-        each = np.log10((count + 0.5) / (trained + 0.5 * (kinds + 1)))
-        base = {w.as_py(): float(b) for w, b in zip(terms["word"], each, strict=True)}
-        least = math.log10(0.5 / (trained + 0.5 * (kinds + 1)))  # the score of a word that is not in training texts
-        del grams, terms, count, each
-        out = {n: [] for n in names}
+        base = np.log10((count + 0.5) / (trained + 0.5 * (kinds + 1)))
+        del grams, terms
+        found = {n: [] for n in names}
         for row in block.to_pylist():
-            texts = []
-
-            def told(texts=texts, row=row):
-                for words in block_texts(row["size"], row["data"]):
-                    out["n_tokens"].append(len(words) + 1)
-                    parts = [base[END], *map(base.__getitem__, words)]
-                    out["base_score"].append(sum(parts))
-                    out["n_known"].append(sum(map(least.__lt__, parts)))
-                    yield words
-
-            for bodies, _m in _slices(told(), row["train"]):
-                k, bounds = stream_keys(bodies, order)
-                by = np.argsort(k)
-                got = np.empty(len(k))
-                got[by] = value[np.searchsorted(key, k[by])]
-                texts.append(np.add.reduceat(got, bounds[:-1]))
-            s = np.concatenate(texts)
-            out["doc_id"] += row["ids"]
-            out["held_out"] += [not t for t in row["train"]]
-            out["train_tokens"] += [trained] * len(s)
-            out["score"] += s.tolist()
-            out["code_bits"] += (-s * np.log2(10)).tolist()
+            for frame, data in unpacked(row["frames"]):
+                words, per = words_of(data)
+                d = words.dictionary_encode()
+                at = np.array([term[w] for w in d.dictionary.to_pylist()])[d.indices.to_numpy()]
+                first = np.cumsum(per) - per
+                found["n_tokens"].append(per)
+                found["n_known"].append(np.add.reduceat((count[at] > 0).astype(np.int64), first))
+                found["base_score"].append(np.add.reduceat(base[at], first))
+                # A text's score is the difference of a running sum kept by text, so that long texts need no array of their own.
+                ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+                total, lo = np.zeros(len(ends)), 0
+                for k in stream_keys(data, order):
+                    got = value[place.get_indexer(k)]
+                    i, j = np.searchsorted(ends, [lo, lo + len(k) - 1])
+                    starts = np.maximum(np.concatenate([[0], ends[:-1] + 1])[i : j + 1] - lo, 0)
+                    total[i : j + 1] += np.add.reduceat(got, starts)
+                    lo += len(k)
+                found["score"].append(total)
+                found["held_out"].append(np.full(len(ends), not frame["train"]))
+            found["doc_id"] += row["doc_id"]
+        whole = {n: np.concatenate(found[n]) for n in ("held_out", "n_tokens", "n_known", "base_score", "score")}
+        whole |= {"train_tokens": np.full(len(whole["score"]), trained), "code_bits": -whole["score"] * np.log2(10)}
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-        return pa.table([pa.array(out[n], t) for n, t in zip(names, types, strict=True)], names=names)
+        del place, value, term, count, base
+        pa.default_memory_pool().release_unused()
+        return pa.table([pa.array(found["doc_id"] if n == "doc_id" else whole[n], t) for n, t in zip(names, types, strict=True)], names=names)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, code_bits double"
     return made.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, schema)

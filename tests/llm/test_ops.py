@@ -24,7 +24,8 @@ from pulseloom.llm.exact_dedup import directory, exact_groups
 from pulseloom.llm.kneser_ney import kneser_ney, log_table, quality
 from pulseloom.llm.language_id import Parser, identify
 from pulseloom.llm.packing import WINDOW, default_tokenizer, pack, plan, runs
-from pulseloom.llm.ppm import END, ppm_scores
+from pulseloom.llm.blocks import END, words_of
+from pulseloom.llm.ppm import ppm_scores, stream_keys
 from pulseloom.llm.tool_calls import levels, link_tool_calls, problems, references
 from pulseloom.llm.url_templates import judge_urls
 
@@ -276,13 +277,27 @@ def ppm_by_hand(texts, train, order):
 def test_ppm_matches_definition(spark, docs, texts, order):
     some = {i: t for i, t in texts.items() if i < 40} | {1000: None, 1001: "", 1002: "Ünseen WORDS zzqx\x85y", 1003: " \t\n"}
     df = spark.createDataFrame(list(some.items()), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r for r in ppm_scores(df, crc_bucket("doc_id", 5) != 1, order, block_bytes=9000).collect()}
+    got = {r["doc_id"]: r for r in ppm_scores(df, crc_bucket("doc_id", 5) != 1, order, block_bytes=9000, frame_bytes=2500).collect()}
     want = ppm_by_hand(some, lambda i: zlib.crc32(str(i).encode()) % 5 != 1, order)
     assert set(got) == set(some)
     for i, (base, known, lp, n, total) in want.items():
         r = got[i]
         assert (r["n_known"], r["n_tokens"], r["train_tokens"]) == (known, n, total)
-        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], lp, rel_tol=1e-6)
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], lp, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 50, 10**6])
+def test_keys_of_frames_in_chunks(chunk):
+    some = [b"", b"ab cd", b"x", b"", b"longer than the order"]
+    data = b"".join(x + END for x in some)
+    got = np.concatenate(list(stream_keys(data, 3, chunk)))
+    want = [int.from_bytes((END * 3 + x + END)[p : p + 4], "big") for x in some for p in range(len(x) + 1)]
+    assert got.tolist() == want
+
+
+def test_words_of_frames():
+    words, per = words_of(b"a bb\n\n\nccc\n")
+    assert words.to_pylist() == [b"a", b"bb", END, END, END, b"ccc", END] and per.tolist() == [3, 1, 1, 2]
 
 
 def test_ppm_probabilities_sum_to_one(spark):
