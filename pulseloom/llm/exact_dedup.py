@@ -1,26 +1,36 @@
 """Exact duplicates through an extendible-hash index on shared files (DataFrame functions only).
 
-1. Every text is normalised (white-space runs become one space) and gets a
-   64-bit key and its SHA-256.
-2. Index: rows are pre-aggregated by (key, SHA-256, text) before the shuffle, so
-   a text that a third of all rows share leaves each task once. Grouping by the
-   text itself is the comparison of bytes.
-3. Directory: the histogram of keys by leading bits is doubled (one more bit)
-   wherever a bucket holds more than `capacity` entries, up to `max_depth`.
-4. Owner tasks get ranges of buckets, chain the entries that share a key, and
-   write the index to the shared folder, sorted by bucket.
-5. Lookup: every row joins its entry by (key, SHA-256). Entries that share both
-   with a different text keep their text in the index, and for these alone rows
-   are matched by text.
+1. Prints: every text is normalised (white-space runs become one space) and gets
+   a 64-bit key and its SHA-256; (id, key, SHA-256) is all that is written.
+2. Entries: prints are pre-aggregated by (key, SHA-256) before the shuffle, so a
+   text that a third of all rows share leaves each task once.
+3. Directory: it begins with few buckets and doubles by leading bits of the key.
+   Each round splits the buckets that hold more than `capacity` distinct keys,
+   until none does; a bucket that is left whole is final.
+4. Index: owner tasks get ranges of keys within buckets, chain the entries that
+   share a key, and write them to the shared folder by bucket.
+5. Bytes: entries of more than one row are compared byte by byte, by grouping on
+   the text itself. Only texts whose key shares its leading bits with such an
+   entry travel for that. Where equal prints hide different texts, the chain
+   gets an entry for each, with its text.
+6. Lookup: a row finds its bucket by the directory and its entry in that bucket
+   by key and SHA-256, and by the text where the chain has texts.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.llm.common import SPACE, stage, table
 
+CAPACITY = 10_000
+#: Leading bits by which texts are picked for comparison: at most 2**18 of them are sent to the tasks.
+PICK_BITS = 18
+_BUCKET = "struct<depth: int, prefix: bigint>"
+
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     norm = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " ")
@@ -29,42 +39,65 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def directory(entries: DataFrame, capacity: int, max_depth: int = 16) -> DataFrame:
-    """`entries(key)` -> `(prefix, depth, bucket)`: for each prefix of `max_depth` bits the bucket that owns it.
+def leading(depth: int):
+    """The `depth` leading bits of `key`."""
+    return F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+
 
-    A bucket of local depth d holds at most `capacity` entries, or d is
-    `max_depth`. The table has at most 2**max_depth rows.
+def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """`keys(key)` -> `(depth, prefix)`: the buckets, each the keys that begin with the `depth` bits of `prefix`.
+
+    No bucket holds more than `capacity` distinct keys, unless it is one key.
+    The first round is the one before buckets may fit on average, and every round
+    looks at the keys of overfull buckets only.
     """
-    prefix = F.shiftrightunsigned("key", 64 - max_depth)
-    cells = entries.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n"))
-    depths = F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth")
-    wide = cells.select("prefix", "n", depths).withColumn("bucket", F.expr(f"shiftright(prefix, {max_depth} - depth)"))
-    fits = wide.groupBy("depth", "bucket").agg(F.sum("n").alias("load")).where((F.col("load") <= capacity) | (F.col("depth") == max_depth))
-    return wide.drop("n").join(fits.drop("load"), ["depth", "bucket"]).groupBy("prefix").agg(F.min(F.struct("depth", "bucket")).alias("d")).select("prefix", "d.depth", "d.bucket")
-
-
-def build_index(prints: DataFrame, capacity: int = 100_000, max_depth: int = 16) -> DataFrame:
-    """`fingerprints` -> the index: bucket, depth, key, chain, sha, keep_id, group_size, norm (null unless ambiguous)."""
-    whole = prints.groupBy("key", "sha", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    packed = whole.select("key", "sha", "keep_id", "group_size", F.col("norm"))
-    # Texts are needed further only where key and SHA-256 agree and the bytes do not.
-    slim = packed.groupBy("key", "sha").agg(
-        F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
-    )
-    slim = stage(slim, "entries")
-    plain = slim.where("texts = 1").select("key", "sha", "keep_id", "group_size", F.lit(None).cast("string").alias("norm"))
-    doubles = slim.where("texts > 1").select("key", "sha")
-    if not doubles.isEmpty():
-        again = prints.join(doubles, ["key", "sha"], "left_semi").groupBy("key", "sha", "norm")
-        plain = plain.unionByName(again.agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).select(plain.columns))
-    owners = directory(slim.select("key"), capacity, max_depth)
-    placed = plain.withColumn("prefix", F.shiftrightunsigned("key", 64 - max_depth)).join(owners, "prefix").drop("prefix")
-    place = F.expr(f"shiftleft(bucket, {max_depth} - depth)")
-    chained = placed.withColumn("chain", F.row_number().over(Window.partitionBy("key").orderBy("sha", "norm")))
-    return stage(chained.withColumn("place", place).repartitionByRange("place", "key").sortWithinPartitions("place", "key", "chain").drop("place"), "index")
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 100_000) -> DataFrame:
+    buckets, over = None, stage(keys.distinct(), "keys")
+    depth = max(0, int(math.log2(max(1.0, over.count() / capacity))) - 1)  # below, buckets hold twice the capacity on average
+    while True:
+        loads = stage(over.groupBy(leading(depth).alias("prefix")).agg(F.count("*").alias("load")), "loads")
+        full = (F.col("load") > capacity) if depth < 64 else F.lit(False)
+        done = loads.where(~full).select(F.lit(depth).alias("depth"), "prefix")
+        buckets = done if buckets is None else buckets.unionByName(done)
+        split = loads.where(full).select("prefix")
+        if split.isEmpty():
+            return stage(buckets, "directory")
+        over = over.join(split, leading(depth) == split["prefix"], "left_semi")
+        depth += 1
+
+
+def placed(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """`rows` with the bucket (depth, prefix) that owns their key. A row asks once for each depth the directory has, at most 65."""
+    depths = sorted(r["depth"] for r in buckets.select("depth").distinct().collect())
+    ways = [F.struct(F.lit(d).alias("depth"), leading(d).alias("prefix")) for d in depths]
+    tried = rows.withColumn("b", F.explode(F.array(*ways) if ways else F.expr(f"CAST(array() AS array<{_BUCKET}>)")))
+    return tried.select(*rows.columns, "b.depth", "b.prefix").join(buckets, ["depth", "prefix"])
+
+
+def compared(prints: DataFrame, entries: DataFrame) -> DataFrame:
+    """(key, sha, norm, keep_id, group_size) of entries whose texts differ in spite of equal prints."""
+    shared = entries.where("group_size > 1")
+    picks = shared.select(leading(PICK_BITS).alias("pick")).distinct()
+    # At most 2**PICK_BITS rows. A text that is picked without need is a group of its own and drops out.
+    near = prints.withColumn("pick", leading(PICK_BITS)).join(F.broadcast(picks), "pick", "left_semi")
+    texts = near.groupBy("key", "sha", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    slim = stage(texts.groupBy("key", "sha").agg(F.count("*").alias("texts")).where("texts > 1").select("key", "sha"), "unlike")
+    if slim.isEmpty():
+        return slim.select("key", "sha", F.lit(None).cast("string").alias("norm"), F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("long").alias("group_size"))
+    return texts.join(slim, ["key", "sha"], "left_semi")
+
+
+def build_index(prints: DataFrame, slim: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+    """The index (depth, prefix, key, chain, sha, norm, keep_id, group_size; norm is null unless prints are ambiguous) and its directory."""
+    entries = stage(slim.groupBy("key", "sha").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "entries")
+    unlike = compared(prints, entries)
+    plain = entries.join(unlike.select("key", "sha").distinct(), ["key", "sha"], "left_anti").withColumn("norm", F.lit(None).cast("string"))
+    buckets = directory(entries.select("key"), capacity)
+    owned = placed(plain.unionByName(unlike), buckets)
+    chained = owned.withColumn("chain", F.row_number().over(Window.partitionBy("depth", "prefix", "key").orderBy("sha", "norm")))
+    return stage(chained.repartitionByRange("key").sortWithinPartitions("key", "chain"), "index"), buckets
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty. Of equal texts the smallest id stays; ids that
@@ -74,14 +107,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives an empty result.
     """
     prints = fingerprints(docs, id_col, text_col)
-    index = build_index(prints, capacity)
-    rows = prints
-    if index.where("norm IS NOT NULL").isEmpty():
-        found = rows.select("doc_id", "key", "sha").join(index.select("key", "sha", "keep_id", "group_size"), ["key", "sha"])
-    else:
-        odd = index.where("norm IS NOT NULL")
-        found = rows.select("doc_id", "key", "sha").join(index.where("norm IS NULL").select("key", "sha", "keep_id", "group_size"), ["key", "sha"])
-        found = found.unionByName(rows.join(odd.select("key", "sha", "norm", "keep_id", "group_size"), ["key", "sha", "norm"]).select(found.columns))
+    slim = stage(prints.select("doc_id", "key", "sha"), "prints")
+    index, buckets = build_index(prints, slim, capacity)
+    place = ["depth", "prefix", "key", "sha"]
+    found = placed(slim, buckets).join(index.where("norm IS NULL").select(*place, "keep_id", "group_size"), place)
+    odd = index.where("norm IS NOT NULL")
+    if not odd.isEmpty():
+        rows = placed(prints.join(odd.select("key", "sha").distinct(), ["key", "sha"], "left_semi"), buckets)
+        found = found.unionByName(rows.join(odd.select(*place, "norm", "keep_id", "group_size"), [*place, "norm"]).select(found.columns))
     return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
