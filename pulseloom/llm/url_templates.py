@@ -1,12 +1,20 @@
 """URL filters by a path-template tree, with DataFrame functions only.
 
-A host's paths form a tree of segments. Segments that are variable by shape
-(numbers, long hexadecimal, dates, mixed ids) become wildcards row by row; then,
-level by level from the root, children that are too thin among too many siblings
-become a wildcard too. Branches of one parent whose subtrees have the same
-templates and whose labelled purity is alike are merged and pool their labels. A
-template is rejected if its smoothed share of blocked labels reaches the purity
-threshold. The tree is built from counts by (host, template), never from rows.
+1. Generalise: a host's paths form a tree of segments. Segments that are variable
+   by shape (numbers, long hexadecimal, dates, mixed ids) become wildcards row by
+   row; then, level by level from the root, children that are too thin among too
+   many siblings become a wildcard too. Below MAX_DEPTH levels, which are decided
+   one after the other, thin children are found for all deeper levels at once.
+2. Merge: the root's children are the hosts, theirs the first segments, and so on.
+   At every level a branch is held against the pool of all branches of its parent:
+   it merges into the pool if the templates below it are distributed alike (a
+   chi-square statistic within its noise, or a small effect) and, where both the
+   branch and the rest of the pool have labels, their shares of bad ones agree.
+   Each branch is compared with one pool, so no pairs of branches are made.
+3. Reject: a template takes its own labels; if it has too few, those of the same
+   template in the merged branches of the deepest level that has enough, up to the
+   merged hosts. It is rejected if the smoothed share of bad labels reaches the
+   purity threshold. The tree is built from counts by (host, template).
 """
 
 from __future__ import annotations
@@ -18,6 +26,7 @@ from pulseloom.llm.common import stage, table
 
 MAX_DEPTH, MANY, THIN = 8, 20, 0.05
 PRIOR_WEIGHT, PURITY, MIN_LABELS = 2.0, 0.8, 3
+NOISE, EFFECT, APART = 3.0, 0.1, 2.0
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -50,52 +59,99 @@ def shape(segment: Column) -> Column:
 
 
 def template_tree(counts: DataFrame, max_depth: int = MAX_DEPTH, many: int = MANY, thin: float = THIN) -> DataFrame:
-    """`counts(host, shaped, n, good, bad)` -> the same with `template`; segments beyond `max_depth` are one `**`."""
+    """`counts(host, shaped, n, good, bad)` -> the same with `parts`, the array of the template's segments."""
     seg = F.filter(F.split("shaped", "/"), lambda s: s != "")
-    whole = F.when(F.size(seg) > max_depth, F.concat(F.slice(seg, 1, max_depth), F.array(F.lit("**")))).otherwise(seg)
-    tree = stage(counts.withColumn("seg", whole).withColumn("template", F.lit("")), "tree")
+    tree = stage(counts.withColumn("seg", seg).withColumn("parts", F.slice(seg, 1, 0)), "tree")
     deepest = tree.agg(F.coalesce(F.max(F.size("seg")), F.lit(0))).first()[0]
-    for depth in range(1, deepest + 1):
-        here = F.element_at("seg", F.lit(depth))
-        child = tree.where(F.size("seg") >= depth).groupBy("host", "template", here.alias("child")).agg(F.sum("n").alias("load"))
-        parent = child.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("load").alias("total"))
-        wide = parent.where(F.col("children") > many)
-        loose = child.join(wide, ["host", "template"]).where((F.col("load") < thin * F.col("total")) & ~F.contains("child", F.lit("{"))).select("host", "template", "child", F.lit(True).alias("loose"))
-        step = tree.withColumn("child", F.try_element_at("seg", F.lit(depth))).join(loose, ["host", "template", "child"], "left")
+    loose_of = lambda child, node: (
+        child.join(child.groupBy(*node).agg(F.count("*").alias("children"), F.sum("load").alias("total")).where(F.col("children") > many), node)
+        .where((F.col("load") < thin * F.col("total")) & ~F.contains("child", F.lit("{")))
+        .select(*node, "child", F.lit(True).alias("loose"))
+    )
+    for depth in range(1, min(deepest, max_depth) + 1):
+        node = ["host", "parts"]
+        child = tree.where(F.size("seg") >= depth).groupBy(*node, F.element_at("seg", F.lit(depth)).alias("child")).agg(F.sum("n").alias("load"))
+        step = tree.withColumn("child", F.try_element_at("seg", F.lit(depth))).join(loose_of(child, node), [*node, "child"], "left")
         name = F.when(F.col("loose"), F.lit("{*}")).otherwise(F.col("child"))
-        step = step.withColumn("template", F.when(F.col("child").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), name)))
+        step = step.withColumn("parts", F.when(F.col("child").isNull(), F.col("parts")).otherwise(F.concat("parts", F.array(name))))
         tree = stage(step.drop("child", "loose"), "tree")
+    if deepest > max_depth:
+        deep = tree.where(F.size("seg") > max_depth).select("host", "shaped", "seg", "parts", "n", F.explode(F.sequence(F.lit(max_depth + 1), F.size("seg"))).alias("depth"))
+        above = F.concat("parts", F.expr(f"slice(seg, {max_depth + 1}, depth - {max_depth + 1})"))
+        node = ["host", "above"]
+        deep = deep.select("host", "shaped", "depth", above.alias("above"), F.expr("element_at(seg, depth)").alias("child"), "n")
+        found = deep.join(loose_of(deep.groupBy(*node, "child").agg(F.sum("n").alias("load")), node), [*node, "child"], "left")
+        name = F.when(F.col("loose"), F.lit("{*}")).otherwise(F.col("child"))
+        rest = found.groupBy("host", "shaped").agg(F.sort_array(F.collect_list(F.struct("depth", name.alias("name")))).alias("rest"))
+        joined = tree.join(rest, ["host", "shaped"], "left")
+        tree = stage(joined.withColumn("parts", F.when(F.col("rest").isNull(), F.col("parts")).otherwise(F.concat("parts", F.transform("rest", lambda x: x["name"])))).drop("rest"), "tree")
     return tree.drop("seg")
 
 
-def purities(tree: DataFrame, prior_weight: float = PRIOR_WEIGHT) -> DataFrame:
-    """`template_tree` -> (host, template, branch, labelled, purity): labels pooled over merged branches."""
-    leaf = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    prior = leaf.agg((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("bad") + F.sum("good"), F.lit(0)) + 2)).first()[0]
-    smooth = lambda bad, good: (bad + prior_weight * prior) / (bad + good + prior_weight)
-    top = F.regexp_extract("template", r"^/[^/]*", 0)
-    rest = F.regexp_replace("template", r"^/[^/]*", "")
-    branch = leaf.groupBy("host", top.alias("top")).agg(
-        F.xxhash64(F.sort_array(F.collect_set(rest))).alias("below"), F.sum("bad").alias("b"), F.sum("good").alias("g")
+def smoothed(bad: Column, good: Column, prior: Column | float, weight: float = PRIOR_WEIGHT) -> Column:
+    return (bad + weight * prior) / (bad + good + weight)
+
+
+def branches(leaves: DataFrame, min_labels: int = MIN_LABELS) -> tuple[DataFrame, DataFrame]:
+    """`leaves(host, parts, n, good, bad)` -> (places, merged).
+
+    places: a row for each leaf and level: host, parts, level, above (the parent),
+    branch, below (what follows the branch). merged: (above, branch) of the
+    branches that go into their parent's pool.
+    """
+    node = F.concat(F.array(F.col("host")), "parts")
+    levels = leaves.withColumn("node", node).select("*", F.explode(F.sequence(F.lit(0), F.size("parts"))).alias("level"))
+    places = levels.select(
+        "host", "parts", "level", F.expr("array_join(slice(node, 1, level), '/')").alias("above"), F.expr("element_at(node, level + 1)").alias("branch"),
+        F.expr("array_join(slice(node, level + 2, size(node)), '/')").alias("below"), "n", "good", "bad",
+    )
+    places = stage(places, "places")
+    # Level 0 has no parent's name, as a host with an empty name has at level 1.
+    pool = places.groupBy("level", "above", "below").agg(F.sum("n").alias("pool"))
+    whole = places.groupBy("level", "above").agg(F.sum("n").alias("all"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
+    kinds = pool.groupBy("level", "above").agg(F.count("*").alias("kinds"))
+    own = places.join(pool, ["level", "above", "below"]).groupBy("level", "above", "branch").agg(
+        F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n") / F.col("pool")).alias("squares"), F.sum("good").alias("g"), F.sum("bad").alias("b")
     )
-    alike = F.round(smooth(F.col("b"), F.col("g")) * 4)
-    branch = branch.withColumn("alike", alike).withColumn("marked", F.col("b") + F.col("g") > 0)
-    group = F.xxhash64("below", "alike", "marked")
-    merged = leaf.withColumn("top", top).withColumn("rest", rest).join(branch.select("host", "top", group.alias("branch")), ["host", "top"])
-    pooled = merged.groupBy("host", "branch", "rest").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-    out = merged.join(pooled, ["host", "branch", "rest"])
-    return out.select("host", "template", "branch", (F.col("g") + F.col("b")).alias("labelled"), F.round(smooth(F.col("b"), F.col("g")), 6).alias("purity"))
+    own = own.join(whole, ["level", "above"]).join(kinds, ["level", "above"])
+    distance = F.greatest(F.col("squares") * F.col("all") / F.col("size") / F.col("size") - 1, F.lit(0.0)) * F.col("size")
+    free = F.col("kinds") - 1
+    alike = (distance <= free + NOISE * F.sqrt(2.0 * free)) | (distance <= EFFECT * F.col("size"))
+    mine, others = F.col("g") + F.col("b"), F.col("all_good") + F.col("all_bad") - F.col("g") - F.col("b")
+    share = (F.col("all_bad") + 1) / (F.col("all_good") + F.col("all_bad") + 2)
+    gap = F.abs(F.col("b") / mine - (F.col("all_bad") - F.col("b")) / others)
+    enough = (mine >= min_labels) & (others >= min_labels)
+    agree = F.when(enough, gap <= APART * F.sqrt(share * (1 - share) * (1 / mine + 1 / others))).otherwise(F.lit(True))
+    return places, own.where(alike & agree).select("level", "above", "branch")
+
+
+def purities(tree: DataFrame, min_labels: int = MIN_LABELS) -> DataFrame:
+    """`template_tree` -> (host, parts, level, labelled, purity): the labels a template is judged by, and the level they are pooled at (null: its own)."""
+    leaves = tree.groupBy("host", "parts").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    leaves = stage(leaves, "leaves")
+    every = leaves.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.coalesce(F.sum("good"), F.lit(0)).alias("g")).first()
+    prior = (every["b"] + 1) / (every["b"] + every["g"] + 2)
+    places, merged = branches(leaves, min_labels)
+    inside = places.join(merged, ["level", "above", "branch"], "left_semi")
+    pools = inside.groupBy("level", "above", "below").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).where(F.col("g") + F.col("b") >= min_labels)
+    best = inside.join(pools, ["level", "above", "below"]).groupBy("host", "parts").agg(F.max(F.struct("level", "g", "b")).alias("p"))
+    out = leaves.join(best, ["host", "parts"], "left")
+    own = F.col("good") + F.col("bad") >= min_labels
+    take = lambda mine, theirs: F.when(own | F.col("p").isNull(), F.col(mine)).otherwise(F.col(f"p.{theirs}"))
+    out = out.select("host", "parts", F.when(~own, F.col("p.level")).alias("level"), take("good", "g").alias("g"), take("bad", "b").alias("b"))
+    return out.select("host", "parts", "level", (F.col("g") + F.col("b")).alias("labelled"), F.round(smoothed(F.col("b"), F.col("g"), prior), 6).alias("purity"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labels: DataFrame | None = None, purity: float = PURITY, min_labels: int = MIN_LABELS) -> DataFrame:
-    """One row per input row: page_id, host, path, rule, verdict, template, labelled, purity.
+    """One row per input row: page_id, host, path, rule, verdict, template, level, labelled, purity.
 
     `labels(page_id, bad boolean)` label some pages; without them, pages that a
     rule decides are the labelled ones. Without a rule, a page is blocked if its
-    template has at least `min_labels` labels and a smoothed share of bad ones of
-    at least `purity`. Null urls, and urls without `://`, have empty host and path
-    and the template of the empty host. Repeated rows give repeated results; an
-    empty table gives an empty result; extra columns are ignored.
+    template is judged by at least `min_labels` labels with a smoothed share of
+    bad ones of at least `purity`. Null urls, and urls without `://`, have empty
+    host and path and the template of the empty host. Repeated rows give repeated
+    results (and count as often), null ids stay null; an empty table gives an
+    empty result; extra columns are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url")
     host, path = host_and_path(F.col("url"))
@@ -108,10 +164,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, labels: D
         marked = rows.join(labels.select(F.col("page_id").cast("long").alias("page_id"), "bad").dropDuplicates(["page_id"]), "page_id", "left")
     counts = marked.groupBy("host", "shaped").agg(F.count("*").alias("n"), F.count_if(~F.col("bad")).alias("good"), F.count_if(F.col("bad")).alias("bad"))
     tree = template_tree(counts)
-    named = tree.select("host", "shaped", "template").join(purities(tree), ["host", "template"])
+    named = tree.select("host", "shaped", "parts").join(purities(tree, min_labels), ["host", "parts"])
+    named = named.withColumn("template", F.concat(F.lit("/"), F.array_join("parts", "/"))).drop("parts")
     out = rows.join(stage(named, "templates"), ["host", "shaped"])
     own = F.when((F.col("labelled") >= min_labels) & (F.col("purity") >= purity), F.lit("block")).otherwise(F.lit("allow"))
-    return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", own).alias("verdict"), "template", "labelled", "purity")
+    return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", own).alias("verdict"), "template", "level", "labelled", "purity")
 
 
 def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
