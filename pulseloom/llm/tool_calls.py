@@ -132,39 +132,62 @@ def results_of(messages: DataFrame) -> DataFrame:
 
 
 def link_tool_calls(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
-    """One row per call, and per result without a call.
+    """One row per call, and one per result that does not answer a call.
 
     Columns: conv_id, turn, place, level, call_id, name, status, valid, errors,
-    result_turn, json. The first result of an identifier answers the first call
-    with it; results must not come before their call (`early`). status: linked,
-    early, unanswered, or orphan (a result alone: `turn` null). References to
-    other messages must name a call of an earlier turn, else `unknown reference`.
-    Null, empty and malformed texts hold neither calls nor results. Null
-    conv_ids link with nothing. Repeated rows are repeated calls: each is
-    returned, the first one counts as the identifier's owner. Extra columns are
-    ignored; an empty table gives an empty result.
+    result_turn, json. The first call (by turn and place) with an identifier owns
+    it; later ones are `repeated` and answered by nothing. The first result of
+    the identifier whose turn is not before the owner's answers it (`linked`,
+    else the call is `unanswered`). Every other result is a row of its own, with
+    `turn` null: `early` (before the owner's turn), `extra` (after the answer) or
+    `orphan` (no such call). References to other messages must name a call of an
+    earlier turn, else `unknown reference`. Null, empty and malformed texts hold
+    neither calls nor results. Null conv_ids and identifiers link with nothing.
+    Rows that repeat a message whole share its place, so their calls own the
+    identifier together, and their results beyond the first are `extra`. Extra
+    columns are ignored; an empty table gives an empty result.
     """
     messages = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text")
-    calls = stage(calls_of(messages, schemas), "calls")
-    answers = results_of(messages)
+    calls, answers = stage(calls_of(messages, schemas), "calls"), stage(results_of(messages), "results")
     key = ["conv_id", "call_id"]
-    first = answers.groupBy(*key).agg(F.min(F.struct("result_turn", "result_place", "content")).alias("r"))
-    first = first.select(*key, "r.result_turn", "r.content", F.lit(True).alias("answered"))
-    owners = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").groupBy(*key).agg(F.min("turn").alias("owner_turn"))
+    named = "conv_id IS NOT NULL AND call_id IS NOT NULL"
+    # A null turn counts as before all others.
+    owners = calls.where(named).groupBy(*key).agg(F.min(F.struct("turn", "place")).alias("o")).select(*key, F.col("o.turn").alias("owner_turn"), F.col("o.place").alias("owner_place"), F.lit(True).alias("owned"))
+    none = F.expr("CAST(array() AS array<string>)")
 
     refs = calls.select("conv_id", "turn", F.explode("refs").alias("call_id")).distinct().join(owners, key, "left")
-    lost = refs.where(F.col("owner_turn").isNull() | (F.col("owner_turn") >= F.col("turn")))
-    lost = lost.groupBy("conv_id", "turn").agg(F.collect_set("call_id").alias("lost"))
-    linked = calls.join(first, key, "left").join(lost, ["conv_id", "turn"], "left")
-    unknown = F.size(F.array_intersect("refs", F.coalesce("lost", F.expr("CAST(array() AS array<string>)")))) > 0
-    errors = F.array_sort(F.concat("errors", F.when(unknown, F.array(F.lit("unknown reference"))).otherwise(F.expr("CAST(array() AS array<string>)"))))
-    status = F.when(F.col("answered").isNull(), "unanswered").when(F.col("result_turn") < F.col("turn"), "early").otherwise("linked")
-    text = F.concat(F.lit('{"call":'), "call_json", F.lit(',"result":'), F.when(status == "linked", F.col("content")).otherwise(F.lit("null")), F.lit("}"))
-    linked = linked.select("conv_id", "turn", "place", "level", "call_id", "name", status.alias("status"), (F.size(errors) == 0).alias("valid"), F.array_join(errors, "; ").alias("errors"), "result_turn", text.alias("json"))
-    alone = answers.join(owners, key, "left_anti")
-    none = F.lit(None)
-    alone = alone.select("conv_id", none.cast("long").alias("turn"), none.cast("int").alias("place"), none.cast("int").alias("level"), "call_id", none.cast("string").alias("name"), F.lit("orphan").alias("status"), F.lit(False).alias("valid"), F.lit("no call").alias("errors"), "result_turn", F.concat(F.lit('{"call":null,"result":'), "content", F.lit("}")).alias("json"))
-    return linked.unionByName(alone)
+    lost = refs.where(F.col("owner_turn").isNull() | F.col("turn").isNull() | (F.col("owner_turn") >= F.col("turn")))
+    lost = lost.groupBy(F.col("conv_id").alias("c"), F.col("turn").alias("t")).agg(F.collect_set("call_id").alias("lost"))
+
+    judged = answers.join(owners, key, "left")
+    late = F.col("owned") & (F.coalesce("result_turn", F.lit(-(1 << 62))) >= F.coalesce("owner_turn", F.lit(-(1 << 62))))
+    judged = judged.withColumn("late", F.coalesce(late, F.lit(False)))
+    first = judged.where("late").groupBy(*key).agg(F.min(F.struct("result_turn", "result_place", "content")).alias("r"))
+    first = first.select(*key, "r", F.lit(True).alias("answered"))
+
+    mine = F.col("owned") & F.col("turn").eqNullSafe(F.col("owner_turn")) & (F.col("place") == F.col("owner_place"))
+    linked = calls.join(owners, key, "left").join(first, key, "left")
+    linked = linked.join(lost, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")), "left")
+    unknown = F.size(F.array_intersect("refs", F.coalesce("lost", none))) > 0
+    again = F.coalesce(F.col("owned") & ~mine, F.lit(False))
+    errors = F.concat("errors", F.when(unknown, F.array(F.lit("unknown reference"))).otherwise(none), F.when(again, F.array(F.lit("repeated id"))).otherwise(none))
+    errors = F.array_sort(F.array_distinct(errors))
+    status = F.when(again, "repeated").when(F.coalesce(mine & F.col("answered"), F.lit(False)), "linked").otherwise("unanswered")
+    answer = lambda c: F.when(status == "linked", c)
+    text = F.concat(F.lit('{"call":'), "call_json", F.lit(',"result":'), F.coalesce(answer(F.col("r.content")), F.lit("null")), F.lit("}"))
+    linked = linked.select("conv_id", "turn", "place", "level", "call_id", "name", status.alias("status"), (F.size(errors) == 0).alias("valid"), F.array_join(errors, "; ").alias("errors"), answer(F.col("r.result_turn")).alias("result_turn"), text.alias("json"))
+
+    # Of the late results all but one are extra; rows equal to the answer count as extra beyond the first of them.
+    alike = ["conv_id", "call_id", "result_turn", "result_place", "content", "late", "owned"]
+    tally = judged.groupBy(*alike).agg(F.count("*").alias("n"))
+    tally = tally.join(first.select(*key, F.col("r").alias("answer")), key, "left")
+    is_answer = F.coalesce(F.col("late") & F.struct("result_turn", "result_place", "content").eqNullSafe(F.col("answer")), F.lit(False))
+    left = F.when(is_answer, F.col("n") - 1).otherwise(F.col("n"))
+    rest = tally.withColumn("left", left).where("left > 0").withColumn("_", F.explode(F.sequence(F.lit(1), "left")))
+    kind = F.when(F.col("owned").isNull(), "orphan").when(F.col("late"), "extra").otherwise("early")
+    null = F.lit(None)
+    rest = rest.select("conv_id", null.cast("long").alias("turn"), null.cast("int").alias("place"), null.cast("int").alias("level"), "call_id", null.cast("string").alias("name"), kind.alias("status"), F.lit(False).alias("valid"), F.when(kind == "orphan", "no call").when(kind == "extra", "answered before").otherwise("before its call").alias("errors"), "result_turn", F.concat(F.lit('{"call":null,"result":'), "content", F.lit("}")).alias("json"))
+    return linked.unionByName(rest)
 
 
 def as_tool_messages(conversations: DataFrame) -> DataFrame:
