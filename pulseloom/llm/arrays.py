@@ -35,7 +35,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(int(base))
     if have is None or len(have) < n:
         have = np.cumprod(np.concatenate([np.ones(1, _U), np.full(max(n, 1 << 16), base, _U)]))
-        if len(have) <= 1 << 23:
+        if len(have) <= 1 << 21:  # 16 MB, for each of four bases
             _powers[int(base)] = have
     return have[:n]
 
@@ -57,6 +57,18 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(starts, at)
 
 
+def run_hashes(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every run of `width` words that lies in one text, and its text."""
+    h, at = word_hashes(texts)
+    m = max(0, len(h) - width + 1)
+    owner = np.searchsorted(at, np.arange(m), "right") - 1
+    inside = np.arange(m) + width <= at[owner + 1] if m else np.zeros(0, bool)
+    s = np.zeros(m, _U)
+    for j, q in enumerate(_power(_Q, width)):
+        s += h[j : j + m] * q
+    return mix(s)[inside], owner[inside]
+
+
 def shingle_hashes(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Shingle hashes, their bounds by text, and by text a hash of all its words, and its number of words."""
     h, at = word_hashes(texts)
