@@ -13,6 +13,7 @@ built from counts by (length, bucket), so no length gathers in one task.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right
@@ -28,54 +29,89 @@ END_ID = 2
 _encoders: dict = {}
 
 
+#: Fixed value: the pattern by which the known tokenizers cut texts.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: What the tokenizer cuts words of ASCII and Latin letters into before merging; such parts are encoded independently.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+|[0-9]|[^0-9A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u017F]+")
 #: Words that may be cut so; U+0130 is left out, as its lower case is two characters.
 PLAIN = re.compile(r"[\x21-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
 
 
-class WordCache:
-    """Ids of white-space separated words as little-endian bytes; the tokenizer drops white space, so words are independent.
+class Generations:
+    """A cache of two generations, bounded in bytes: what the younger one lacks is taken over from the older, which goes when the younger is full."""
+
+    def __init__(self, most: int):
+        self.most, self.size, self.young, self.old = most, 0, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that are in neither generation; the others are in the younger one then."""
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+        out = []
+        for k in keys:
+            if k not in self.young:
+                if (v := self.old.get(k)) is None:
+                    out.append(k)
+                else:
+                    self.put(k, v)
+        return out
+
+    def put(self, key, value: bytes) -> None:
+        self.young[key] = value
+        self.size += len(key) + len(value) + 200  # with two objects and a place in the dictionary
+
 
-    It also ignores the case of A-Z, so texts are lower-cased first unless they
-    may hold a special token. Words of plain letters are put together from their
-    parts, so that a word is encoded once however it is punctuated; words that
-    still hold capitals are encoded whole, as PARTS knows lower-case endings only.
+def splits_at_white_space(spec: str) -> bool:
+    """Whether the tokenizer is one of those that WordCache knows: composed, spaces dropped, lower case, words cut by one pattern, no special token with a space."""
+    t = json.loads(spec)
+    steps = [n.get("type") for n in (t.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (t.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    plain = all(not (a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"]) and a["content"].startswith("<|") and a["content"].split() == [a["content"]] for a in t.get("added_tokens", []))
+    return steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get("pattern", {}).get("Regex") == SPLIT and cuts[0].get("behavior") == "Removed" and plain and t.get("post_processor") is None
+
+
+class WordCache:
+    """Ids of texts as little-endian bytes.
+
+    For the tokenizers of `splits_at_white_space`, words are independent, and so
+    are ids of words once encoded. They ignore the case of A-Z, so texts are
+    lower-cased first unless they may hold a special token. Words of plain
+    letters are put together from their parts, so that a word is encoded once
+    however it is punctuated; words that still hold capitals are encoded whole,
+    as PARTS knows lower-case endings only. Any other tokenizer gets whole texts.
     """
 
-    def __init__(self, spec: str, most: int = 1_000_000):
+    def __init__(self, spec: str, most: int = 32_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.ids, self.part_ids = Tokenizer.from_str(spec), most, {}, {}
+        self.tokenizer, self.by_word = Tokenizer.from_str(spec), splits_at_white_space(spec)
+        self.words, self.parts = Generations(most), Generations(most)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.part_ids]
-        if len(self.part_ids) + len(new) > 2 * self.most:
-            self.part_ids.clear()
-            new = list(parts)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.part_ids[p] = np.array(e.ids, "<u4").tobytes()
+        new = self.parts.missing(parts)
+        for at in range(0, len(new), 10_000):
+            for p, ids in zip(new[at : at + 10_000], self._encoded(new[at : at + 10_000]), strict=True):
+                self.parts.put(p, ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return self._encoded([t.encode("utf-8", "replace").decode() for t in texts])
         raw = [t.encode("utf-8", "replace") for t in texts]
         split = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        new = {w for ws in split for w in ws if w not in self.ids}
-        if len(self.ids) + len(new) > self.most:
-            self.ids.clear()
-            new = {w for ws in split for w in ws}
         cut = {}
-        for w in new:
+        for w in self.words.missing({w for ws in split for w in ws}):
             word = w.decode()
             cut[w] = PARTS.findall(word) if b"<|" not in w and w == w.lower() and PLAIN.fullmatch(word) else [word]
         self._learn({p for parts in cut.values() for p in parts})
         for w, parts in cut.items():
-            self.ids[w] = self.part_ids[parts[0]] if len(parts) == 1 else b"".join(map(self.part_ids.__getitem__, parts))
-        return [b"".join(map(self.ids.__getitem__, ws)) for ws in split]
+            self.words.put(w, b"".join(map(self.parts.young.__getitem__, parts)))
+        return [b"".join(map(self.words.young.__getitem__, ws)) for ws in split]
 
 
 def word_cache(spec: str) -> WordCache:
@@ -107,7 +143,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: i
                 total.append(n)
         return rows, [start, length, crc, total]
 
-    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), cut, "start long, length long, ids_crc32 long, doc_tokens long", ["doc_id"])
+    return map_texts(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), cut, "start long, length long, ids_crc32 long, doc_tokens long", ["doc_id"], most=1_000_000)
 
 
 def shallow_combinations(lengths: np.ndarray, window: int, grid: int = 64) -> np.ndarray:
