@@ -4,16 +4,19 @@ For every language a reference text is drawn from labelled rows, and its suffix
 automaton is built. A text is cross-parsed against each automaton: greedy phrases,
 each the longest match in the reference text (a byte the reference lacks is a
 phrase of its own). Texts are parsed as UTF-8 in segments of `SEGMENT` bytes,
-which phrases don't span, so that numpy parses many segments at once and a very
-long text costs no more per byte than a short one. The language that needs the fewest normalised phrases,
-phrases * log2(reference length) / bytes, wins; ties go to the smaller name.
-
-The reference text is the one bounded sample: rows whose hashed id falls under
-`ref_docs` / (rows of the language), cut at `ref_chars` letters per language.
+so that numpy parses many segments at once and a very long text costs no more per
+byte than a short one; phrases run on over the ends of segments. The language that
+needs the fewest normalised phrases, phrases * log2(reference length) / bytes,
+wins; ties go to the smaller name.
+
+The reference text is the one bounded sample: about `ref_passages` passages of
+PASSAGE characters per language, drawn by hash from all labelled texts, in all at
+most `ref_chars` letters.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -21,17 +24,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import crc_bucket, map_texts, table
+from pulseloom.llm.common import crc_bucket, map_texts, stage, table
 
-REF_DOCS, REF_CHARS = 64, 40_000
+REF_PASSAGES, REF_CHARS, PASSAGE, MAX_LANGUAGES = 64, 40_000, 1000, 1000
 SEGMENT, PAD = 512, 255  # no UTF-8 text holds byte 255
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
 _built: dict = {}
 
 
+@functools.cache
+def _not_letters() -> re.Pattern:
+    """Runs of anything but letters; digits and numerals such as fractions and circled numbers are none."""
+    numerals = [c for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha()]
+    starts = [c for c, before in zip(numerals, [-1, *numerals], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(numerals, [*numerals[1:], -1], strict=True) if c != after - 1]
+    return re.compile(r"[\W_" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]+")
+
+
 def letters(text: str) -> str:
     """Lower case, every run of other characters than letters one space; empty if there is no letter."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip()
+    return _not_letters().sub(" ", text.lower()).strip()
 
 
 def suffix_automaton(text: bytes) -> list[dict[int, int]]:
@@ -82,19 +93,42 @@ class Parser:
         table[:, 1] = np.arange(len(step))
         self.next = (table * np.int32(self.width)).ravel()  # states are kept multiplied by the width
 
-    def count(self, lanes: np.ndarray) -> np.ndarray:
-        """Greedy longest-match phrases in each column of `lanes` (bytes by position x segment)."""
-        total = np.zeros(lanes.shape[1], np.int64)
+    def _step(self, state: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states, and where a phrase begins."""
+        col = self.column[row]
+        to = self.next[state + col]
+        fresh = (to < 0) | ((state == 0) & (col != 1))
+        return np.where(to < 0, np.maximum(self.next[col], 0), to) if fresh.any() else to, fresh
+
+    def count(self, lanes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Greedy longest-match phrases that begin in each column of `lanes` (bytes by position x segment).
+
+        Segments are parsed at once as if each began a text. Then those that
+        follow another of their text are parsed again from the state in which it
+        ended, until the states agree with the ones seen before, and so on until
+        no segment begins in another state than the one before it ended in: the
+        phrases are those of the whole text.
+        """
+        states, begins = np.empty(lanes.shape, np.int32), np.empty(lanes.shape, bool)
         state = np.zeros(lanes.shape[1], np.int32)
-        for row in lanes:
-            col = self.column[row]
-            to = self.next[state + col]
-            fresh = (to < 0) | ((state == 0) & (col != 1))
-            total += fresh
-            if fresh.any():
-                to = np.where(to < 0, np.maximum(self.next[col], 0), to)
-            state = to
-        return total
+        for i, row in enumerate(lanes):
+            state, begins[i] = self._step(state, row)
+            states[i] = state
+        follows, used = np.flatnonzero(owner[1:] == owner[:-1]) + 1, np.zeros(lanes.shape[1], np.int32)
+        while True:
+            wanted = np.zeros(lanes.shape[1], np.int32)
+            wanted[follows] = states[-1, follows - 1]
+            live = np.flatnonzero(wanted != used)
+            if not len(live):
+                return begins.sum(0)
+            used[live] = state = wanted[live]
+            for i, row in enumerate(lanes):
+                state, begins[i, live] = self._step(state, row[live])
+                apart = state != states[i, live]
+                states[i, live] = state
+                live, state = live[apart], state[apart]
+                if not len(live):
+                    break
 
 
 def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,29 +139,34 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(lanes.T), np.repeat(np.arange(len(texts)), n)
 
 
-def reference_texts(labelled: DataFrame, ref_docs: int = REF_DOCS, ref_chars: int = REF_CHARS) -> dict[str, str]:
-    """`labelled(doc_id, text, lang)` -> at most `ref_chars` letters of text per language."""
+def reference_texts(labelled: DataFrame, ref_passages: int = REF_PASSAGES, ref_chars: int = REF_CHARS) -> dict[str, str]:
+    """`labelled(doc_id, text, lang)` -> at most `ref_chars` letters of text per language.
+
+    Whole texts are cut into passages of PASSAGE characters; those whose hash falls under `ref_passages` / (passages of the
+    language) are drawn, so about `ref_passages` of a language, from any place of any text. Equal ones count once.
+    """
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    place = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 40))
-    drawn = labelled.join(sizes, "lang").where(place * F.col("n") < F.lit(2 * ref_docs * (1 << 40)).cast("double"))
-    # Of a long text, the first `ref_chars` characters suffice for the sample.
-    rows = drawn.select("lang", place.alias("place"), F.substring("text", 1, ref_chars).alias("text")).collect()
+    sizes = stage(labelled.groupBy("lang").agg(F.sum(F.ceil(F.length("text") / PASSAGE)).alias("n")).where("n > 0"), "sizes")
+    if sizes.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn; each one's reference text is sent to all tasks")
+    cut = labelled.select("lang", F.col("doc_id"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE}}}"), F.lit(0))).alias("at", "text"))
+    place = F.pmod(F.xxhash64(F.lit(17), "doc_id", "at", "text"), F.lit(1 << 40))
+    drawn = cut.select("lang", place.alias("place"), "text").join(F.broadcast(sizes), "lang")  # at most MAX_LANGUAGES rows
+    rows = drawn.where(F.col("place") * F.col("n") < F.lit(ref_passages * (1 << 40)).cast("double")).select("lang", "place", "text").distinct().collect()
     out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["place"])):
-        clean = letters(r["text"])
-        if clean:
-            out.setdefault(r["lang"], []).append(clean[: max(2000, ref_chars // 20)])
+    for r in sorted(rows, key=lambda r: (r["lang"], r["place"], r["text"])):
+        if clean := letters(r["text"]):
+            out.setdefault(r["lang"], []).append(clean)
     return {k: " ".join(v)[:ref_chars] for k, v in out.items()}
 
 
-def predict(docs: DataFrame, labelled: DataFrame, carry: list[str], ref_docs: int = REF_DOCS, ref_chars: int = REF_CHARS) -> DataFrame:
+def predict(docs: DataFrame, labelled: DataFrame, carry: list[str], ref_passages: int = REF_PASSAGES, ref_chars: int = REF_CHARS) -> DataFrame:
     """`carry` columns of docs, lang_pred, score and match_len (mean bytes per phrase of the winner).
 
-    `und`, score 0: text null or without a letter, or nothing to learn from.
+    `und`, score 0: text null or without a letter, or nothing to learn from. More than MAX_LANGUAGES languages are an error.
     score: 1 - (winner's normalised phrases / runner-up's), 1 with one language.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(reference_texts(labelled, ref_docs, ref_chars))
+    sent = docs.sparkSession.sparkContext.broadcast(reference_texts(labelled, ref_passages, ref_chars))
 
     def judge(texts, _):
         refs = sent.value
@@ -142,7 +181,7 @@ def predict(docs: DataFrame, labelled: DataFrame, carry: list[str], ref_docs: in
         live = np.flatnonzero(size > 0)
         if len(live) and models:
             lanes, owner = segments([clean[i] for i in live])
-            counts = np.stack([np.bincount(owner, m.count(lanes), len(live)) for m in models])
+            counts = np.stack([np.bincount(owner, m.count(lanes, owner), len(live)) for m in models])
             cost = counts * np.array([m.bits for m in models])[:, None] / size[live]
             best = np.argmin(cost, 0)  # the first, so the smaller name, on ties
             least = np.take_along_axis(cost, best[None], 0)[0]
@@ -154,15 +193,15 @@ def predict(docs: DataFrame, labelled: DataFrame, carry: list[str], ref_docs: in
     return map_texts(docs, judge, "lang_pred string, score double, match_len double", carry, most=1_000_000)
 
 
-def identify(docs: DataFrame, held_out: Column | None = None, ref_docs: int = REF_DOCS, ref_chars: int = REF_CHARS) -> DataFrame:
+def identify(docs: DataFrame, held_out: Column | None = None, ref_passages: int = REF_PASSAGES, ref_chars: int = REF_CHARS) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score, match_len. Learns from rows that are not held out and have a lang.
 
     Null ids are allowed (their crc is that of the empty text); repeated rows give
-    repeated results; an empty table gives an empty result.
+    repeated results; an empty table gives an empty result; extra columns are ignored.
     """
     held = crc_bucket("doc_id", 4) == 2 if held_out is None else held_out
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", held.alias("held_out"))
-    return predict(docs, docs.where("NOT held_out"), ["doc_id", "held_out"], ref_docs, ref_chars)
+    return predict(docs, docs.where("NOT held_out"), ["doc_id", "held_out"], ref_passages, ref_chars)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
