@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 
-from pulseloom.llm.common import small_batches, stage
+from pulseloom.llm.common import small_batches, stage_by
 
 BLOCK_BYTES, FRAME_BYTES, CHUNK = 48_000_000, 1_000_000, 500_000
 END = b"\n"
@@ -24,7 +24,7 @@ FRAMES = ArrayType(StructType([StructField("train", BooleanType()), StructField(
 
 
 def make_blocks(docs: DataFrame, carry: dict[str, Column], train: Column, normal: Callable[[bytes], bytes], block_bytes: int = BLOCK_BYTES, frame_bytes: int = FRAME_BYTES) -> DataFrame:
-    """Blocks on the shared folder: block, frames and one array for each of `carry`, in the order of the texts in the frames.
+    """Blocks on the shared folder, bucketed by block, so that what is sent to a block meets it without moving it: block, frames and one array for each of `carry`, in the order of the texts in the frames.
 
     `train` marks the frames' texts (a frame holds marked texts or others only),
     `normal` turns a text's UTF-8 bytes (null: empty) into bytes without END.
@@ -42,7 +42,7 @@ def make_blocks(docs: DataFrame, carry: dict[str, Column], train: Column, normal
         import zstandard
         from pyspark import TaskContext
 
-        squeeze, part, seq = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+        squeeze, part, seq = zstandard.ZstdCompressor(level=6), TaskContext.get().partitionId(), 0
         pending: dict[bool, tuple[list, list]] = {False: ([], []), True: ([], [])}
         size = {False: 0, True: 0}
         frames: list[dict] = []
@@ -82,7 +82,7 @@ def make_blocks(docs: DataFrame, carry: dict[str, Column], train: Column, normal
         if held:
             yield flush()
 
-    return stage(taken.mapInArrow(gather, schema), "blocks")
+    return stage_by(taken.mapInArrow(gather, schema), "blocks", "block")
 
 
 def unpacked(frames: list[dict]) -> Iterator[tuple[dict, bytes]]:
