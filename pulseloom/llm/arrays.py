@@ -8,6 +8,7 @@ none.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -44,6 +45,14 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+_SPACED = bytes(b if _IS_WORD[b] else 32 for b in range(256))
+
+
+def word_digests(texts: list[str | None]) -> list[bytes]:
+    """SHA-256 of the words of each text, joined by spaces."""
+    return [hashlib.sha256(b" ".join((t or "").lower().encode("utf-8", "surrogatepass").translate(_SPACED).split())).digest() for t in texts]
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and where each text's words begin (one more entry than texts)."""
     raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]

@@ -25,11 +25,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseloom.llm.arrays import _U, cells, mix, shingle_hashes
+from pulseloom.llm.arrays import _U, cells, mix, shingle_hashes, word_digests
 from pulseloom.llm.common import map_texts, stage, table
 from pulseloom.llm.components import components
 
 BANDS, ROWS, THRESHOLD = 32, 5, 0.8
+CACHE_BYTES = 16_000_000
 _GOLD = _U(0x9E3779B97F4A7C15)
 
 
@@ -89,20 +90,42 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(key + (np.arange(bands, dtype=_U) * _GOLD)[None, :])
 
 
+def node_of(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
 def signature_table(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, node (hash of the text's words), cells (their number) and bands (hashed keys; empty for texts without words)."""
+    """doc_id, mark (hash of the text), node (the text's words as a number), digest (SHA-256 of the words), cells (their number) and bands (hashed keys; empty for texts without words)."""
 
     def sign(texts, _):
         import pyarrow as pa
 
-        s, bounds, whole, _n = shingle_hashes(texts)
+        s, bounds, _whole, _n = shingle_hashes(texts)
         keys = band_keys(signatures(cells(s, bounds), bounds, bands * rows), bands, rows)
         n = np.diff(bounds)
         used = keys[n > 0].astype(np.int64).ravel() if len(n) else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)), pa.array(used))
-        return None, [whole.astype(np.int64), n.astype(np.int64), lists]
+        digests = word_digests(texts)
+        return None, [[node_of(d) for d in digests], pa.array(digests, pa.binary()), n.astype(np.int64), lists]
+
+    marked = docs.select("doc_id", text_mark(), "text")
+    return map_texts(marked, sign, "node long, digest binary, cells long, bands array<long>", ["doc_id", "mark"], most=1_000_000)
 
-    return map_texts(docs, sign, "node long, cells long, bands array<long>", ["doc_id"], most=1_000_000)
+
+def text_mark():
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
+
+
+def apart(signed: DataFrame) -> DataFrame:
+    """`signed` with nodes numbered anew where texts with different words share a number."""
+    while True:
+        seen = signed.groupBy("node").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+        clash = stage(seen.where("lo <> hi").select(F.col("node").alias("shared")), "clash")
+        if clash.isEmpty():
+            return signed
+        again = signed.join(clash, signed["node"] == clash["shared"], "left")
+        node = F.when(F.col("shared").isNotNull(), F.xxhash64("node", "digest")).otherwise(F.col("node"))
+        signed = stage(again.withColumn("node", node).drop("shared"), "signed")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -121,14 +144,18 @@ def verified(links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
-        unpack, cache = zstandard.ZstdDecompressor(), {}
+        unpack, cache, held = zstandard.ZstdDecompressor(), {}, 0
 
         def get(node, packed):
+            nonlocal held
             if node not in cache:
-                if len(cache) > 64:
-                    cache.clear()
                 s, bounds, _w, _n = shingle_hashes([unpack.decompress(packed).decode()])
-                cache[node] = np.sort(cells(s, bounds))
+                found = np.sort(cells(s, bounds))
+                if held + found.nbytes > CACHE_BYTES:
+                    cache.clear()
+                    held = 0
+                cache[node] = found
+                held += found.nbytes
             return cache[node]
 
         for batch in batches:
@@ -156,7 +183,7 @@ def led_links(mixed: DataFrame, led: int, upto: int, threshold: float) -> DataFr
 
 def near_links(docs: DataFrame, signed: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """Verified links between texts, and their components `(node, root)`."""
-    nodes = signed.where("size(bands) > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.first("cells").alias("cells"), F.min("doc_id").alias("rep"))
+    nodes = signed.where("size(bands) > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.first("cells").alias("cells"), F.min(F.struct("doc_id", "mark")).alias("rep"))
     nodes = stage(nodes, "nodes")
     spread = nodes.select("node", "cells", F.explode("bands").alias("key"))
     lead = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
@@ -165,19 +192,20 @@ def near_links(docs: DataFrame, signed: DataFrame, threshold: float, bands: int,
     links = stage(found, "candidates")
 
     ids = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
-    wanted = ids.select(F.col("rep").alias("doc_id"), F.col("node").alias("wanted"))
+    wanted = ids.select(F.col("rep.doc_id").alias("wanted_id"), F.col("rep.mark").alias("wanted_mark"), F.col("node").alias("wanted"))
 
-    def compress(texts, batch):
+    def compress(texts, _):
         import pyarrow as pa
         import zstandard
 
-        _s, bounds, whole, _n = shingle_hashes(texts)
+        bounds = shingle_hashes(texts)[1]
         squeeze = zstandard.ZstdCompressor(level=3)
-        rows_ = np.flatnonzero(whole.astype(np.int64) == batch.column(0).to_numpy(zero_copy_only=False))
-        return rows_, [np.diff(bounds)[rows_], pa.array([squeeze.compress(texts[i].encode()) for i in rows_], pa.binary())]
+        return None, [np.diff(bounds), pa.array([squeeze.compress(t.encode("utf-8", "replace")) for t in texts], pa.binary())]
 
-    fetched = docs.select("doc_id", "text").join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "wanted")
-    texts = map_texts(fetched, compress, "cells long, packed binary", ["wanted"]).withColumnRenamed("wanted", "node")
+    # A text is fetched by the row that stands for it: by its mark too, so that null ids meet equal texts only.
+    marked = docs.select("doc_id", text_mark(), "text")
+    fetched = marked.join(wanted, (F.col("mark") == F.col("wanted_mark")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("text", "wanted")
+    texts = map_texts(fetched, compress, "cells long, packed binary", ["wanted"], most=1_000_000).withColumnRenamed("wanted", "node")
     texts = stage(texts.dropDuplicates(["node"]), "texts")
 
     # Of each text, the link that agrees in most bands first; the rest only between components.
@@ -218,12 +246,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
     Texts with the same words are one text; texts without any word (null and
     empty among them) are one text. Classes are the components of verified links.
-    `n_links` counts verified links of the row's text. A class of which all ids
+    `n_links` counts the verified links of the row's text that joined its class
+    (links to leaders of its buckets, not all pairs). A class of which all ids
     are null has a null class_id; repeated rows count in class_size. An empty
     table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stage(signature_table(docs, bands, rows), "signed")
+    signed = apart(stage(signature_table(docs, bands, rows), "signed"))
     links, roots = near_links(docs, signed, threshold, bands, rows)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     by_node = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("many"))

@@ -7,6 +7,10 @@ whole corpus the co-occurrence of term and entity and the frequency of every
 word, all in distinct texts, give the pointwise mutual information. A term's disclosure of an
 entity is PMI(t; e) / IC(e), 1 if the term determines the entity. Terms over the
 threshold with enough support are spans too, wherever they stand.
+
+A term is generalised to the class of words that begin alike (`[zo*]`) if that
+class does not disclose an entity itself, by the same measure and counts; else it
+is removed.
 """
 
 from __future__ import annotations
@@ -26,9 +30,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": ""}
+LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 WORDS = r"[^\p{L}]+"
-MIN_LETTERS = 3
+MIN_LETTERS, CLASS_LETTERS = 3, 2
 DISCLOSURE, SUPPORT = 0.9, 3
 
 
@@ -86,13 +90,18 @@ def _prepared(docs: DataFrame) -> DataFrame:
 
 
 def words_around(text: Column) -> Column:
-    """The distinct words of a text outside its base spans (only those of email hold letters)."""
+    """The distinct words of a text outside its base spans (only those of email hold letters), and the classes of their beginnings."""
     bare = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
-    return F.array_distinct(F.filter(F.split(F.lower(bare), WORDS), lambda w: F.length(w) >= MIN_LETTERS))
+    words = F.filter(F.split(F.lower(bare), WORDS), lambda w: F.length(w) >= MIN_LETTERS)
+    return F.array_distinct(F.concat(words, F.transform(words, word_class)))
+
+
+def word_class(word: Column) -> Column:
+    return F.concat(F.substring(word, 1, CLASS_LETTERS), F.lit("*"))
 
 
 def revealing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """Terms over the threshold: term, entity (hash), support, disclosure."""
+    """Terms and classes of terms (with a `*`) over the threshold: term, entity (hash), support, disclosure."""
     found = docs.select("mark", words_around(F.col("text")).alias("words"), *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
     named = lambda k: F.transform(k, lambda x: F.xxhash64(F.lit(k), F.lower(x["v"])))
     held = found.select("mark", "words", F.array_distinct(F.concat(*[named(k) for k in KINDS])).alias("entities")).where(F.size("entities") > 0)
@@ -128,23 +137,28 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support:
     card, phone, term) and start. Null text counts as empty and has no span (the
     digest is that of the empty text). Repeated rows give repeated results; a
     null id stays null; an empty table gives an empty result; extra columns are
-    ignored. `sanitised` puts a label for base spans and removes terms; where
+    ignored. `sanitised` puts a label for base spans, generalises terms to their
+    class or removes them; where
     spans overlap, the first kind at the leftmost start wins.
     """
     docs = _prepared(docs)
-    terms = revealing_terms(docs, disclosure, support).select("term").distinct()
-    terms = stage(terms, "terms")
+    over = stage(revealing_terms(docs, disclosure, support).select("term").distinct(), "terms")
+    is_class = F.endswith("term", F.lit("*"))
+    closed = over.where(is_class).select(F.col("term").alias("class"), F.lit("").alias("closed"))
+    terms = over.where(~is_class).withColumn("class", word_class(F.col("term"))).join(closed, "class", "left")
+    terms = terms.select("term", F.coalesce("closed", F.concat(F.lit("["), F.col("class"), F.lit("]"))).alias("put"))
     rows = docs
-    if terms.isEmpty():
-        rows = rows.withColumn("terms", F.lit(None).cast("array<string>"))
+    if over.where(~is_class).isEmpty():
+        rows = rows.withColumn("terms", F.lit(None).cast("array<string>")).withColumn("puts", F.lit(None).cast("map<string, string>"))
     else:
         own = docs.select("doc_id", "mark", F.explode(F.array_distinct(F.split(F.lower("text"), WORDS))).alias("term")).join(terms, "term")
-        own = own.groupBy(F.col("doc_id").alias("id"), F.col("mark").alias("m")).agg(F.sort_array(F.collect_set("term")).alias("terms"))
+        own = own.groupBy(F.col("doc_id").alias("id"), F.col("mark").alias("m")).agg(F.sort_array(F.collect_set(F.struct("term", "put"))).alias("found"))
+        own = own.select("id", "m", F.transform("found", lambda x: x["term"]).alias("terms"), F.map_from_entries("found").alias("puts"))
         rows = rows.join(own, rows["doc_id"].eqNullSafe(own["id"]) & (rows["mark"] == own["m"]), "left").drop("id", "m")
     none = F.expr("CAST(array() AS array<struct<s: int, e: int, v: string>>)")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     spans = base_spans(F.col("text"))
-    rows = rows.select("doc_id", "text", *[c.alias(k) for k, c in spans.items()], F.when(F.size("terms") > 0, located(F.col("text"), pattern)).otherwise(none).alias("term"))
+    rows = rows.select("doc_id", "text", "puts", *[c.alias(k) for k, c in spans.items()], F.when(F.size("terms") > 0, located(F.col("text"), pattern)).otherwise(none).alias("term"))
     said = lambda k: F.transform(k, lambda x: F.concat(F.lit(f"{k}:"), x["s"], F.lit(":"), x["e"]))
     base = F.array_join(F.concat(*[said(k) for k in KINDS]), ",")
     every = F.array_join(F.concat(*[said(k) for k in (*KINDS, "term")]), ",")
@@ -155,9 +169,10 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support:
 
 
 def sanitised(text: Column) -> Column:
-    """`text` with spans (columns named by kind) replaced by their labels."""
+    """`text` with spans (columns named by kind) replaced by their labels, and terms by what the map `puts` has for them."""
+    label = lambda k, x: F.lit(LABELS[k]) if k in LABELS else F.coalesce(F.try_element_at("puts", F.lower(x["v"])), F.lit(""))
     order = {k: i for i, k in enumerate((*KINDS, "term"))}
-    tagged = lambda k: F.transform(k, lambda x: F.struct(x["s"].alias("s"), F.lit(order[k]).alias("o"), x["e"].alias("e"), F.lit(LABELS[k]).alias("l")))
+    tagged = lambda k: F.transform(k, lambda x: F.struct(x["s"].alias("s"), F.lit(order[k]).alias("o"), x["e"].alias("e"), label(k, x).alias("l")))
     every = F.array_sort(F.concat(*[tagged(k) for k in order]))
 
     def step(acc: Column, x: Column) -> Column:
@@ -168,4 +183,4 @@ def sanitised(text: Column) -> Column:
 
 
 def op3_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_personal_data(table(spark, sf_dir, "documents"))
+    return find_personal_data(table(spark, sf_dir, "documents"), redact=True)

@@ -166,6 +166,49 @@ def test_signature_agreement_estimates_similarity():
     assert abs((sig[0] == sig[1]).mean() - 0.6) < 0.04
 
 
+def similar_pairs(texts, threshold=0.8):
+    """Pairs of ids at or over the threshold, found through the rarer half of their shingles."""
+    sets = {i: multiset(t) for i, t in texts.items()}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    close = set()
+    for i, s in sets.items():
+        some = sorted(s, key=lambda x: len(holders[x]))[: max(1, len(s) // 2)]
+        for j in {j for x in some for j in holders[x] if j > i}:
+            if sum((s & sets[j]).values()) >= threshold * sum((s | sets[j]).values()):
+                close.add((i, j))
+    return close
+
+
+def test_near_recall_of_pairs(spark):
+    r, texts = np.random.default_rng(11), {x["doc_id"]: x["text"] or "" for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    for g in range(30):
+        base = [f"v{k}" for k in r.integers(0, 3000, 200)]
+        for _ in range(8):
+            own = list(base)
+            for at in r.integers(0, 200, 1 + g % 3):
+                own[at] = f"y{r.integers(0, 10**9)}"
+            texts[10**6 + len(texts)] = " ".join(own)
+    pairs = similar_pairs(texts)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x["doc_id"]: x["class_id"] for x in near_duplicates(df).collect()}
+    assert len(pairs) > 500 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+
+
+def test_near_with_null_ids_and_shared_numbers(spark, monkeypatch):
+    from pulseloom.llm import dart_minhash
+
+    base = " ".join(f"w{i}" for i in range(100))
+    some = [base] * 40 + [base.replace("w50", "z"), base.replace("w7 ", "q "), "other words here", "Other, words here", "more of other words"]
+    df = spark.createDataFrame([(None, t, 1, 2) for t in some] + [(5, base + " end", 1, 2)], "doc_id long, text string, node long, mark long")
+    by_node = Counter((r["class_size"], r["n_links"] > 0) for r in near_duplicates(df).collect())
+    assert by_node[(43, True)] == 43 and by_node[(2, False)] == 2 and by_node[(1, False)] == 1
+    monkeypatch.setattr(dart_minhash, "node_of", lambda digest: digest[0] % 2)
+    assert Counter((r["class_size"], r["n_links"] > 0) for r in near_duplicates(df).collect()) == by_node
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -577,6 +620,39 @@ def test_base_spans_match_plain_patterns(spark, texts):
         assert got[i]["spans"].startswith(",".join(want)) and got[i]["n_ip"] == sum(w.startswith("ip") for w in want)
 
 
+def terms_by_hand(texts, disclosure=0.9, support=3):
+    """{term: replacement} straight from the definitions."""
+    distinct = set(texts)
+    bags, held = {}, {}
+    for t in distinct:
+        w = {x for x in re.split(r"[\W\d_]+", re.sub(PLAIN["email"], " ", t).lower()) if len(x) >= 3}
+        bags[t] = w | {x[:2] + "*" for x in w}
+        held[t] = {(s.split(":")[0], t[int(s.split(":")[1]) : int(s.split(":")[2])].lower()) for s in base_spans(t)}
+    df = Counter(x for b in bags.values() for x in b)
+    ne = Counter(e for h in held.values() for e in h)
+    both = Counter((x, e) for t in distinct for e in held[t] for x in bags[t])
+    n, over = len(distinct), set()
+    for (x, e), k in both.items():
+        if k >= support and df[x] >= support and ne[e] >= support and n > ne[e] and math.log(k * n / (df[x] * ne[e])) / math.log(n / ne[e]) >= disclosure - 1e-12:
+            over.add(x)
+    return {x: "" if x[:2] + "*" in over else f"[{x[:2]}*]" for x in over if not x.endswith("*")}
+
+
+def test_terms_match_brute_force(spark):
+    texts = {x["doc_id"]: x["text"] or "" for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    for i in range(40):
+        texts[10**6 + i] = f"note {'abcdefghij'[i % 10]}{'klmn'[i // 10]}x from Zorblax and plain folk of Thaville to bob{i % 4}@corp.example.com" + (" Quillan" if i % 4 == 1 else " Xqarn" if i % 4 == 2 else "")
+        texts[2 * 10**6 + i] = f"thaw and zoom {i} times, number {i * 7}"
+    want = terms_by_hand(list(texts.values()))
+    got = {x["doc_id"]: x for x in find_personal_data(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), redact=True).collect()}
+    assert {"quillan", "xqarn"} <= set(want) and {w[:1] for w in want.values()} == {"", "["}
+    for i, t in texts.items():
+        spans = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\W\d_]+", t) if m.group().lower() in want]
+        assert got[i]["spans"] == ",".join(base_spans(t) + spans) and got[i]["n_term"] == len(spans)
+        clean = re.sub(r"[^\W\d_]+", lambda m: want.get(m.group().lower(), m.group()), t)
+        assert base_spans(t) or got[i]["sanitised"] == clean
+
+
 def test_terms_that_reveal_an_entity_are_removed(spark):
     some = [f"report {c} Zorblax bob@corp.example.com note{c}" for c in "pqrs"] + [f"the plain word number {i} without any of it" for i in range(30)]
     got = {r["doc_id"]: r for r in find_personal_data(frame(spark, some), redact=True).collect()}
