@@ -28,3 +28,15 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "root")
         if step.where("root <> was").isEmpty():
             return labels
+
+
+def extended(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """`(node, root)` of a graph and further `edges(a, b)` -> those of both: only the edges' roots are joined anew."""
+    ends = edges.select("a", "b")
+    for c in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
+    ends = stage(ends.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")), "ends")
+    moved = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    fresh = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("ra").alias("root")), F.struct(F.col("b").alias("node"), F.col("rb").alias("root")))).alias("x")).select("x.*").distinct()
+    every = roots.select("node", "root").union(fresh).distinct()
+    return stage(every.join(moved, every["root"] == moved["was"], "left").select("node", F.coalesce("now", "root").alias("root")), "labels")

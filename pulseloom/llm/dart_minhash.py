@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.llm.arrays import _U, cells, mix, shingle_hashes, word_digests
 from pulseloom.llm.common import map_texts, stage, table
-from pulseloom.llm.components import components
+from pulseloom.llm.components import components, extended
 
 BANDS, ROWS, THRESHOLD = 32, 5, 0.8
 CACHE_BYTES = 16_000_000
@@ -219,7 +219,7 @@ def near_links(docs: DataFrame, signed: DataFrame, threshold: float, bands: int,
     open_ = named.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b").join(best, ["a", "b"], "left_anti")
     more = stage(verified(open_, texts, threshold), "verified")
     both = first.union(more)
-    roots = components(both)
+    roots = extended(roots, more)
 
     # Buckets of up to three texts are done: their least and largest met all others. In the others members lead by turns,
     # growing numbers each round, until each bucket is one component or each of its members has led.
@@ -237,7 +237,7 @@ def near_links(docs: DataFrame, signed: DataFrame, threshold: float, bands: int,
             more = stage(verified(fresh, texts, threshold), "verified")
             if not more.isEmpty():
                 both = both.union(more)
-                roots = components(both)
+                roots = extended(roots, more)
         members, led, upto = mixed.drop("root"), upto, 3 * upto
 
 

@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from pulseloom.llm.common import crc_bucket, map_texts, stage, table
 
 REF_PASSAGES, REF_CHARS, PASSAGE, MAX_LANGUAGES = 64, 40_000, 1000, 1000
-SEGMENT, PAD = 512, 255  # no UTF-8 text holds byte 255
+SEGMENT, PAD = 1024, 255  # no UTF-8 text holds byte 255
+FEW = 12
+_QUICK = re.compile(r"[\W\d_]+")  # all but letters and rare numerals
 _built: dict = {}
 
 
@@ -42,7 +44,8 @@ def _not_letters() -> re.Pattern:
 
 def letters(text: str) -> str:
     """Lower case, every run of other characters than letters one space; empty if there is no letter."""
-    return _not_letters().sub(" ", text.lower()).strip()
+    clean = _QUICK.sub(" ", text.lower()).strip()
+    return clean if clean.replace(" ", "").isalpha() else _not_letters().sub(" ", clean).strip()
 
 
 def suffix_automaton(text: bytes) -> list[dict[int, int]]:
@@ -114,6 +117,7 @@ class Parser:
         for i, row in enumerate(lanes):
             state, begins[i] = self._step(state, row)
             states[i] = state
+        column, move = self.column.tolist(), self.next.item
         follows, used = np.flatnonzero(owner[1:] == owner[:-1]) + 1, np.zeros(lanes.shape[1], np.int32)
         while True:
             wanted = np.zeros(lanes.shape[1], np.int32)
@@ -126,9 +130,19 @@ class Parser:
                 state, begins[i, live] = self._step(state, row[live])
                 apart = state != states[i, live]
                 states[i, live] = state
-                live, state = live[apart], state[apart]
-                if not len(live):
-                    break
+                if not apart.all():
+                    live, state = live[apart], state[apart]
+                    if len(live) <= FEW:
+                        break
+            for lane, now in zip(live.tolist(), state.tolist(), strict=True):  # a few that still differ: one by one
+                for j in range(i + 1, len(lanes)):
+                    col = column[lanes[j, lane]]
+                    to = move(now + col)
+                    begins[j, lane] = to < 0 or (now == 0 and col != 1)
+                    now = max(move(col), 0) if to < 0 else to
+                    if now == states[j, lane]:
+                        break
+                    states[j, lane] = now
 
 
 def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +204,7 @@ def predict(docs: DataFrame, labelled: DataFrame, carry: list[str], ref_passages
             match[live] = size[live] / np.take_along_axis(counts, best[None], 0)[0]
         return None, [lang.tolist(), score, match]
 
-    return map_texts(docs, judge, "lang_pred string, score double, match_len double", carry, most=1_000_000)
+    return map_texts(docs, judge, "lang_pred string, score double, match_len double", carry, most=3_000_000)
 
 
 def identify(docs: DataFrame, held_out: Column | None = None, ref_passages: int = REF_PASSAGES, ref_chars: int = REF_CHARS) -> DataFrame:

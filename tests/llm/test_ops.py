@@ -213,6 +213,15 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 200: 100, 150: 100}
+    from pulseloom.llm.components import extended
+
+    r = np.random.default_rng(1)
+    for _ in range(2):
+        some = [tuple(map(int, e)) for e in r.integers(0, 60, (45, 2))]
+        frames_ = [spark.createDataFrame(some[i::3], "a long, b long") for i in range(3)]
+        grown = extended(extended(components(frames_[0]), frames_[1]), frames_[2])
+        whole = components(spark.createDataFrame(some, "a long, b long"))
+        assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, whole.collect()))
 
 
 # ---- 7 -----------------------------------------------------------------------
