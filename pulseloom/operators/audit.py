@@ -43,8 +43,8 @@ def lead_labels(seizures: DataFrame, basis: DataFrame | None = None, lead_s: flo
     same = F.when(F.col("prev_run").isNotNull(), F.col("onset_s") - F.col("prev_run")).otherwise(F.col("onset_s"))
     how = F.when(F.col("prev_run").isNotNull(), "same run").otherwise(">= (from run start)")
     if basis is not None:
-        df = df.join(F.broadcast(basis) if basis.isLocal() else basis, "subject", "left")
-        start = F.unix_micros(F.col("start_ts").cast("timestamp")) / 1e6
+        df = df.join(basis, "subject", "left")
+        start = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("start_ts").cast("timestamp_ntz")) / 1e6  # no time zone, so no hour is lost
         df = df.withColumn("abs_on", F.when(F.col("use_clock"), start + F.col("onset_s")))
         whole = Window.partitionBy("subject").orderBy("abs_on", "ann_id")
         df = df.withColumn("prev_abs", F.lag(F.col("abs_on") + F.col("duration_s")).over(whole))

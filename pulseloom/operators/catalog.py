@@ -169,11 +169,15 @@ def unmatched_names(listed: DataFrame, files: DataFrame) -> DataFrame:
 def subject_info(subjects: DataFrame, info: DataFrame, columns: list[str], order: str) -> DataFrame:
     """Each subject with the first info row whose values, joined, contain its name (any case).
 
-    The condition has no equality; `info` is a small sheet, and only its words are matched: rows are exploded to
-    tokens so that the join is by hash, which is the same as containment for names that are whole tokens.
+    Containment has no equality to join on, so rows of the sheet are exploded to their substrings of the lengths that
+    names have (few), and the join is by hash. A null name has no row, an empty one is contained in the first.
     """
-    words = F.explode(F.array_distinct(F.split(F.upper(F.concat_ws(" ", *columns)), "[^A-Z0-9_-]+"))).alias("word")
-    token = info.select(order, *columns, words)
+    sizes = [r[0] for r in subjects.where("subject IS NOT NULL").select(F.length(F.upper("subject"))).distinct().collect()]
+    text = F.upper(F.concat_ws(" ", *columns))
+    cut = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: text.substr(i, F.lit(n))))
+    none = F.expr("CAST(array() AS array<string>)")
+    parts = F.array_distinct(F.concat(none, *[F.coalesce(cut(n), none) for n in sizes]))
+    token = info.select(order, *columns, F.explode(parts).alias("word"))
     hit = subjects.withColumn("word", F.upper("subject")).join(token, "word", "left").drop("word")
     rank = F.row_number().over(Window.partitionBy("subject").orderBy(order))
     return hit.withColumn("r", rank).where("r = 1").drop("r")

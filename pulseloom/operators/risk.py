@@ -16,6 +16,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import WindowSpec
 
 
+#: Rows of a recording that one call of the grouped helper gets, beside those its windows reach back to.
+BLOCK = 4096
+
+
 @dataclass(frozen=True)
 class RiskSettings:
     """Window lengths (rows) and thresholds of the risk layer."""
@@ -56,16 +60,26 @@ def rolling_median(x: Column, w: WindowSpec, n: int, min_periods: int) -> Column
 
 
 def rolling_medians(df: DataFrame, keys: list[str], order: str, specs: dict[str, tuple[str, int, int]]) -> DataFrame:
-    """Adds {new: (column, rows, min_periods)} rolling medians; one recording at a time in a vectorised helper."""
+    """Adds {new: (column, rows, min_periods)} rolling medians in a vectorised helper.
+
+    A recording is cut into blocks of BLOCK rows, each with the rows before it that its first windows reach back to, so
+    that a task's group does not grow with the recording.
+    """
     schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in specs]])
+    back = max(n for _c, n, _least in specs.values()) - 1
+    size = max(BLOCK, back)
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    own = F.expr(f"at_ DIV {size}")
+    blocks = F.when(F.col("at_") % size >= size - back, F.array(own, own + 1)).otherwise(F.array(own))
+    cut = df.withColumn("at_", at).withColumn("block_", F.explode(blocks))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
+        pdf = pdf.sort_values("at_")
         for new, (col, n, least) in specs.items():
             pdf[new] = pdf[col].rolling(n, min_periods=least).median()
-        return pdf
+        return pdf[pdf["at_"] // size == pdf["block_"]].drop(columns=["at_", "block_"])
 
-    out = df.groupBy(*keys).applyInPandas(one, schema)
+    out = cut.groupBy(*keys, "block_").applyInPandas(one, schema)
     return out.withColumns({n: F.nanvl(n, F.lit(None).cast("double")) for n in specs})
 
 

@@ -42,10 +42,10 @@ def run_issues(spark, sf_dir):
     return U.duration_mismatch(runs).select("subject", "run", F.array_join("issues", "; ").alias("issues"))
 
 
-@query("SELECT s.subject, min(c_custkey) AS first_row FROM (SELECT DISTINCT split_part(c_name, '#', 2) AS subject FROM customer WHERE c_custkey % 40 = 0) s LEFT JOIN customer c ON list_contains(string_split_regex(upper(c_name || ' ' || c_mktsegment), '[^A-Z0-9_-]+'), upper(s.subject)) GROUP BY 1")
+@query("SELECT s.subject, min(c_custkey) AS first_row FROM (SELECT DISTINCT substr(split_part(c_name, '#', 2), 3) AS subject FROM customer) s LEFT JOIN customer c ON contains(upper(c_name || ' ' || c_mktsegment), upper(s.subject)) GROUP BY 1")
 def subject_sheet(spark, sf_dir):
     c = _table(spark, sf_dir, "customer")
-    s = c.where("c_custkey % 40 = 0").select(F.split_part("c_name", F.lit("#"), F.lit(2)).alias("subject")).distinct()
+    s = c.select(F.expr("substr(split_part(c_name, '#', 2), 3)").alias("subject")).distinct()
     return C.subject_info(s, c.select("c_custkey", "c_name", "c_mktsegment"), ["c_name", "c_mktsegment"], "c_custkey").select("subject", F.col("c_custkey").alias("first_row"))
 
 
@@ -127,10 +127,10 @@ def other_subjects(spark, sf_dir):
     return S.other_subjects(view(spark, sf_dir, "fx_features"), "sub-2")
 
 
-@query("WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS idx, CAST(unnest(embedding) AS DOUBLE) * 100 AS v, unnest(list_resize(embedding[1:40], 64, embedding[40])) AS c FROM embeddings WHERE vec_id % 10 = 0) SELECT vec_id, CAST(idx AS INTEGER) AS idx, format('{:.5f}', idx * 1000 / 256.0::DOUBLE) AS timestamp, format('{:.2f}', round(v, 6)) AS bte, format('{:.2f}', round(CAST(c AS DOUBLE) * 100, 6)) AS cross FROM e")
+@query("WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS idx, CAST(unnest(embedding) AS DOUBLE) * 100 AS v, unnest(list_resize(embedding[1:40], 64, embedding[40])) AS c FROM embeddings) SELECT vec_id, CAST(idx AS INTEGER) AS idx, format('{:.5f}', idx * 1000 / 256.0::DOUBLE) AS timestamp, format('{:.2f}', round(round(v, 6), 2) + 0.0::DOUBLE) AS bte, format('{:.2f}', round(round(CAST(c AS DOUBLE) * 100, 6), 2) + 0.0::DOUBLE) AS cross FROM e")
 def export_rows(spark, sf_dir):
-    e = _table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0")
-    scaled = lambda c: F.transform(c, lambda v: F.round(v.cast("double") * 100, 6))
+    e = _table(spark, sf_dir, "embeddings")
+    scaled = lambda c: F.transform(c, lambda v: F.round(F.round(v.cast("double") * 100, 6), 2))
     seg = e.select(F.lit("training").alias("split"), F.lit("seizure").alias("label"), F.col("vec_id").alias("segment_id"), scaled(F.col("embedding")).alias("bte"), scaled(X.match_sample_axes(F.col("embedding"), F.slice("embedding", 1, 40))).alias("cross"))
     return K.training_rows(seg).select(F.col("segment_id").alias("vec_id"), "idx", "timestamp", "bte", "cross")
 

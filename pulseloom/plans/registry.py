@@ -343,14 +343,14 @@ def repaired_headers(spark, sf_dir):
     return T.repair_header(n, "ch1,ch2", marker="start").select("doc", "line_no", "line")
 
 
-_NAMES = "SELECT 'sub-' || (o_orderkey % 9) AS subject, 'Rec_' || (o_custkey % 60) || '.EDF' AS file FROM orders WHERE o_orderkey % 50 = 0"
+_NAMES = "SELECT 'sub-' || (o_orderkey % 9) AS subject, 'Rec_' || (o_custkey % 600) || '.EDF' AS file FROM orders"
 
 
-@query(f"WITH l AS ({_NAMES}), f AS (SELECT DISTINCT 'sub-' || (o_orderkey % 9) AS subject, 'rec_' || (o_custkey % 60) || '.edf' AS file FROM orders WHERE o_orderkey % 70 = 0) SELECT l.subject, l.file, coalesce(n, 0) > 1 AS ambiguous FROM l LEFT JOIN (SELECT subject, count(*) AS n FROM f GROUP BY 1) USING (subject) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.subject = l.subject AND lower(f.file) = lower(l.file))")
+@query(f"WITH l AS ({_NAMES}), f AS (SELECT DISTINCT 'sub-' || (o_orderkey % 9) AS subject, 'rec_' || (o_custkey % 600) || '.edf' AS file FROM orders WHERE o_orderkey % 11 = 0) SELECT l.subject, l.file, coalesce(n, 0) > 1 AS ambiguous FROM l LEFT JOIN (SELECT subject, count(*) AS n FROM f GROUP BY 1) USING (subject) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.subject = l.subject AND lower(f.file) = lower(l.file))")
 def unmatched_names(spark, sf_dir):
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    name = lambda form: [F.concat(F.lit("sub-"), F.col("o_orderkey") % 9).alias("subject"), F.format_string(form, F.col("o_custkey") % 60).alias("file")]
-    return C.unmatched_names(o.where("o_orderkey % 50 = 0").select(*name("Rec_%d.EDF")), o.where("o_orderkey % 70 = 0").select(*name("rec_%d.edf")).distinct())
+    name = lambda form: [F.concat(F.lit("sub-"), F.col("o_orderkey") % 9).alias("subject"), F.format_string(form, F.col("o_custkey") % 600).alias("file")]
+    return C.unmatched_names(o.select(*name("Rec_%d.EDF")), o.where("o_orderkey % 11 = 0").select(*name("rec_%d.edf")).distinct())
 
 
 @query("WITH e AS (SELECT DISTINCT 'ds/sub-' || (c_custkey % 40) || '/ses-01/eeg/run-' || (c_custkey % 5) || '_events.tsv' AS path FROM customer), f AS (SELECT DISTINCT 'ds/sub-' || (c_custkey % 40) || '/ses-01/ecg/run-' || (c_custkey % 5) || '_ecg.edf' AS path FROM customer WHERE c_custkey % 3 = 0) SELECT path, replace(path, '_events.tsv', '') IN (SELECT replace(replace(path, '/ecg/', '/eeg/'), '_ecg.edf', '') FROM f) AS has_ecg, split_part(path, '/', 2) AS subject, CAST(regexp_extract(path, 'run-(\\d+)', 1) AS INTEGER) AS run FROM e")
@@ -468,8 +468,8 @@ def mixed_counts(spark, sf_dir):
 @query()
 def stage_sweep(spark, sf_dir):
     # In one run, so that the view's subjects have normal windows before the cut.
-    f = view(spark, sf_dir, "fx_features").withColumn("features", F.slice("features", 1, 16)).withColumn("run", F.lit(0))
-    pred = M.stage_sweep(f, ["sub-0", "sub-1"], [1, 2], epochs=5)
+    f = view(spark, sf_dir, "fx_features").withColumn("run", F.lit(0))
+    pred = M.stage_sweep(f, [f"sub-{i}" for i in range(5)], [1, 2], epochs=5)
     by = ["patient", "stage", "seed"]
     return A.binary_scores(pred, by).join(A.event_detection(pred, by), by)
 
@@ -528,9 +528,11 @@ def event_windows(spark, sf_dir):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one (`spark.checkpoint.dir`); a temporary folder only where that is unset."""
+    """A new folder under the shared one (`spark.checkpoint.dir`); where that is unset, a temporary one in local mode, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pulseloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -28,7 +28,7 @@ SELECT o_orderkey AS ann_id, concat('sub-', lpad(CAST(o_custkey % 20 AS STRING),
        CASE o_orderpriority WHEN '1-URGENT' THEN 'front_temp' WHEN '2-HIGH' THEN 'temp'
             WHEN '3-MEDIUM' THEN 'cen_par' WHEN '5-LOW' THEN 'n/a' ELSE 'un' END AS localization,
        o_orderstatus AS lateralization
-FROM orders WHERE o_orderkey % 10 = 0""",
+FROM orders""",
     "fx_features": """
 SELECT vec_id, concat('sub-', CAST(vec_id % 5 AS STRING)) AS subject,
        vec_id % 5 * 1000 + CAST(floor(vec_id/5/4) AS BIGINT) AS segment_id,

@@ -40,6 +40,7 @@ def test_same_rows_as_sql(spark, duck, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"stage_sweep"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+    at = "/root/testdata/sf0.01" if name == "risk_curves" else SF  # the smallest tables have no seizure that it could follow
+    assert QUERIES[name](spark, at).count() > 0

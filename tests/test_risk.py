@@ -83,3 +83,20 @@ def test_zones_and_stretch(spark):
     rows = df.select("i", R.risk_zone(F.col("x")).alias("z"), R.risk_level(F.col("x")).alias("l"), R.minmax_or_half(F.col("x"), Window.partitionBy()).alias("m"), R.clip_stretch(F.col("x")).alias("c")).orderBy("i").collect()
     assert [r["z"] for r in rows] == ["Low", "Medium", "High", None] and [r["l"] for r in rows] == [2, 4, 10, None]
     assert rows[0]["m"] == 0 and rows[2]["m"] == 1 and rows[3]["m"] is None and rows[2]["c"] == 1
+
+
+def test_medians_of_blocks_equal_those_of_whole_recordings(spark, monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from pulseloom.operators import risk
+
+    monkeypatch.setattr(risk, "BLOCK", 9)
+    r = np.random.default_rng(0)
+    rows = [(k, i * 2, None if r.random() < 0.1 else float(r.normal())) for k, n in (("a", 100), ("b", 9), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "rec string, win_idx long, v double").repartition(3)
+    got = risk.rolling_medians(df, ["rec"], "win_idx", {"m": ("v", 7, 3), "k": ("v", 20, 1)}).toPandas().sort_values(["rec", "win_idx"])
+    want = pd.DataFrame(rows, columns=["rec", "win_idx", "v"]).sort_values(["rec", "win_idx"])
+    for new, n, least in (("m", 7, 3), ("k", 20, 1)):
+        np.testing.assert_allclose(got[new].to_numpy(float), want.groupby("rec")["v"].rolling(n, min_periods=least).median().to_numpy())
+    assert len(got) == len(rows)
