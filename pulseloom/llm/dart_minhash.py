@@ -12,9 +12,11 @@ makes the cost per text nearly independent of its length beyond one hash a cell.
 Bands of coordinates are joined on their hash. Within a bucket every text is
 compared with leaders, never all pairs: first with the bucket's least and largest
 text (an order all buckets share, so a dense group has few leaders and one link
-each joins it), then, in buckets that still hold several components, members
-lead by turns, and only across components, until the bucket is one component or
-all its members have led. Similarity is verified on the exact multisets.
+each joins it), then, in buckets that still hold several components, with two
+members by turns, and only across components. Where a bucket is mixed even then,
+each member leads if they are few; the texts of larger ones are joined on their
+rare cells, which finds all links among them without pairing texts that only
+share something frequent. Similarity is verified on the exact multisets.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from pulseloom.llm.components import components, extended
 
 BANDS, ROWS, THRESHOLD = 32, 5, 0.8
 CACHE_BYTES = 16_000_000
+#: In mixed buckets of up to so many texts each member leads; larger ones are joined on rare cells.
+FEW = 16
 _GOLD = _U(0x9E3779B97F4A7C15)
 
 
@@ -181,6 +185,43 @@ def led_links(mixed: DataFrame, led: int, upto: int, threshold: float) -> DataFr
     return hits.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
+def rare_links(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of all members of different components that can reach the threshold, found on their rare cells.
+
+    Cells are ordered alike for all texts: those in one component only, then the
+    others by frequency. Texts of x <= y cells that reach threshold t have
+    c >= t / (1 + t) * (x + y) cells in common, so behind (and with) their first
+    common cell each has c cells at least. That cell therefore lies among the
+    first x - 2t / (1 + t) * x cells of the shorter text and the first y - ty of
+    the longer one, and a join on these cells loses no link. Frequent cells, such
+    as those of passages that many texts share, come last and are not joined.
+    """
+
+    def spell(batches):
+        import pyarrow as pa
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for node, root, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s, bounds, _w, _n = shingle_hashes([unpack.decompress(packed).decode()])
+                found = pa.array(cells(s, bounds).view(np.int64))
+                same = [pa.array(np.full(len(found), v, np.int64)) for v in (node, root, len(found))]
+                yield pa.RecordBatch.from_arrays([*same, found], names=["node", "root", "size", "cell"])
+
+    nodes = mixed.select("node", "root").distinct()
+    spelt = stage(nodes.join(texts, "node").select("node", "root", "packed").mapInArrow(spell, "node long, root long, size long, cell long"), "cells")
+    often = spelt.groupBy("cell").agg(F.count("*").alias("often"), F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("cell", "often")
+    by_node = Window.partitionBy("node")
+    left = F.count("*").over(by_node) - F.row_number().over(by_node.orderBy("often", "cell")) + 1  # cells of the text from this one on
+    placed = spelt.join(often, "cell").withColumn("left", left).where(F.col("left") >= threshold * F.col("size") - 1e-6)
+    placed = stage(placed.select("cell", "node", "root", "size", "left"), "placed")
+    share = threshold / (1 + threshold)
+    short = placed.where(F.col("left") >= 2 * share * F.col("size") - 1e-6).toDF("cell", "a_", "of", "sa", "la")
+    meet = (F.col("root") != F.col("of")) & (F.col("sa") <= F.col("size")) & (F.least("la", "left") >= share * (F.col("sa") + F.col("size")) - 1e-6)
+    return placed.join(short, "cell").where(meet).select(F.least("node", "a_").alias("a"), F.greatest("node", "a_").alias("b")).distinct()
+
+
 def near_links(docs: DataFrame, signed: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """Verified links between texts, and their components `(node, root)`."""
     nodes = signed.where("size(bands) > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.first("cells").alias("cells"), F.min(F.struct("doc_id", "mark")).alias("rep"))
@@ -221,24 +262,24 @@ def near_links(docs: DataFrame, signed: DataFrame, threshold: float, bands: int,
     both = first.union(more)
     roots = extended(roots, more)
 
-    # Buckets of up to three texts are done: their least and largest met all others. In the others members lead by turns,
-    # growing numbers each round, until each bucket is one component or each of its members has led.
+    # Buckets of up to three texts are done: their least and largest met all others. In the others two more members lead. In
+    # buckets that are still mixed then, all members lead if they are few; large ones are joined on the rare cells of their texts.
     turn = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
-    members = mixed_buckets(spread.join(lead.where("n > 3").select("key"), "key"), roots).drop("root")
-    members = stage(members.withColumn("turn", F.row_number().over(turn)), "members")
-    tested, led, upto = links, 0, 2
-    while True:
-        mixed = stage(mixed_buckets(members, roots), "mixed")
-        if mixed.where(F.col("turn") > led).isEmpty():
-            return both, roots
-        fresh = stage(led_links(mixed, led, upto, threshold).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            tested = tested.select("a", "b").union(fresh)
-            more = stage(verified(fresh, texts, threshold), "verified")
-            if not more.isEmpty():
-                both = both.union(more)
-                roots = extended(roots, more)
-        members, led, upto = mixed.drop("root"), upto, 3 * upto
+    members = mixed_buckets(spread.join(lead.where("n > 3").select("key", "n"), "key"), roots).drop("root")
+    mixed = stage(mixed_buckets(members.withColumn("turn", F.row_number().over(turn)), roots), "mixed")
+    few = F.col("n") <= FEW
+
+    def joined(fresh: DataFrame, both: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        more = stage(verified(fresh, texts, threshold), "verified")
+        return (both, roots) if more.isEmpty() else (both.union(more), extended(roots, more))
+
+    tested = links.select("a", "b")
+    fresh = stage(led_links(mixed, 0, 2, threshold).join(tested, ["a", "b"], "left_anti"), "fresh")
+    both, roots = joined(fresh, both, roots)
+    mixed = stage(mixed_buckets(mixed.drop("root"), roots), "mixed")
+    last = led_links(mixed.where(few), 2, FEW, threshold).union(rare_links(mixed.where(~few), texts, threshold)).distinct()
+    both, roots = joined(stage(last.join(tested.union(fresh), ["a", "b"], "left_anti"), "fresh"), both, roots)
+    return both, roots
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
