@@ -18,7 +18,7 @@ from pulseloom.llm.arrays import words
 from pulseloom.llm.common import crc_bucket
 from pulseloom.llm.components import components
 from pulseloom.llm.containment import contained
-from pulseloom.llm.dart_minhash import near_duplicates, signatures
+from pulseloom.llm.dart_minhash import near_duplicates, rare_links, signatures
 from pulseloom.llm.disclosure import find_personal_data
 from pulseloom.llm.exact_dedup import directory, exact_groups
 from pulseloom.llm.kneser_ney import quality
@@ -197,6 +197,31 @@ def test_near_recall_of_pairs(spark):
     assert len(pairs) > 500 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
 
 
+def test_rare_cells_find_every_link_between_components(spark):
+    import zstandard
+
+    r = np.random.default_rng(17)
+    passage, some = [f"p{i}" for i in range(90)], []
+    for g in range(60):  # texts around one passage, many just under or over the threshold, of unlike lengths
+        own = [f"o{g}w{i}" for i in range(int(r.integers(0, 30)))]
+        for _ in range(3):
+            w = list(passage[: int(r.integers(60, 91))]) + own
+            for at in r.integers(0, len(w), int(r.integers(0, 3))):
+                w[at] = f"x{r.integers(0, 10**9)}"
+            some.append(" ".join(w))
+    some += ["same same same same same same same", "same same same same same same same same", "one two", "one two three four five six"]
+    sets = [multiset(t) for t in some]
+    root = [k % 7 for k in range(len(some))]  # any components: links inside one are not asked for
+    want = {
+        (i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and root[i] != root[j] and sum((a & b).values()) >= 0.8 * sum((a | b).values())
+    }
+    mixed = spark.createDataFrame([(1, k, root[k]) for k in range(len(some))] + [(2, 0, root[0])], "key long, node long, root long")
+    packed = [(k, sum(sets[k].values()), bytearray(zstandard.ZstdCompressor().compress(t.encode()))) for k, t in enumerate(some)]
+    got = {(x["a"], x["b"]) for x in rare_links(mixed, spark.createDataFrame(packed, "node long, cells long, packed binary"), 0.8).collect()}
+    assert len(want) > 100 and want <= got and len(got) < len(some) ** 2 // 4
+    assert not rare_links(mixed.limit(0), spark.createDataFrame(packed, "node long, cells long, packed binary"), 0.8).collect()
+
+
 def test_near_with_null_ids_and_shared_numbers(spark, monkeypatch):
     from pulseloom.llm import dart_minhash
 
