@@ -13,7 +13,7 @@ Bands of coordinates are joined on their hash. Within a bucket every text is
 compared with leaders, never all pairs: first with the bucket's least and largest
 text (an order all buckets share, so a dense group has few leaders and one link
 each joins it), then, in buckets that still hold several components, with two
-members by turns, and only across components. Where a bucket is mixed even then,
+members of their own order, and only across components. Where a bucket is mixed even then,
 each member leads if they are few; the texts of larger ones are joined on their
 rare cells, which finds all links among them without pairing texts that only
 share something frequent. Similarity is verified on the exact multisets.
@@ -178,10 +178,10 @@ def mixed_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
     return own.join(mixed, "key")
 
 
-def led_links(mixed: DataFrame, led: int, upto: int, threshold: float) -> DataFrame:
-    """Links (a, b) of the members whose turn in their bucket is over `led` and at most `upto` with later ones of other components."""
-    lead = mixed.where((F.col("turn") > led) & (F.col("turn") <= upto)).select("key", F.col("node").alias("leader"), F.col("root").alias("of"), F.col("turn").alias("t"), F.col("cells").alias("c"))
-    hits = mixed.join(lead, "key").where((F.col("turn") > F.col("t")) & (F.col("root") != F.col("of")) & (F.least("cells", "c") >= threshold * F.greatest("cells", "c")))
+def led_links(mixed: DataFrame, lead: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) of the members of a bucket with its leaders (rows of `mixed`) of other components."""
+    lead = lead.select("key", F.col("node").alias("leader"), F.col("root").alias("of"), F.col("cells").alias("c"))
+    hits = mixed.join(lead, "key").where((F.col("root") != F.col("of")) & (F.least("cells", "c") >= threshold * F.greatest("cells", "c")))
     return hits.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
@@ -264,9 +264,11 @@ def near_links(docs: DataFrame, signed: DataFrame, threshold: float, bands: int,
 
     # Buckets of up to three texts are done: their least and largest met all others. In the others two more members lead. In
     # buckets that are still mixed then, all members lead if they are few; large ones are joined on the rare cells of their texts.
-    turn = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"), "node")
-    members = mixed_buckets(spread.join(lead.where("n > 3").select("key", "n"), "key"), roots).drop("root")
-    mixed = stage(mixed_buckets(members.withColumn("turn", F.row_number().over(turn)), roots), "mixed")
+    members = spread.join(lead.where("n > 3").select("key", "n"), "key")
+    mixed = stage(mixed_buckets(members, roots), "mixed")
+    own = F.struct(F.xxhash64("key", "node").alias("h"), "node", "root", "cells")
+    two = mixed.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi"))
+    two = two.select("key", F.explode(F.array("lo", "hi")).alias("l")).select("key", "l.node", "l.root", "l.cells")
     few = F.col("n") <= FEW
 
     def joined(fresh: DataFrame, both: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -274,10 +276,10 @@ def near_links(docs: DataFrame, signed: DataFrame, threshold: float, bands: int,
         return (both, roots) if more.isEmpty() else (both.union(more), extended(roots, more))
 
     tested = links.select("a", "b")
-    fresh = stage(led_links(mixed, 0, 2, threshold).join(tested, ["a", "b"], "left_anti"), "fresh")
+    fresh = stage(led_links(mixed, two, threshold).join(tested, ["a", "b"], "left_anti"), "fresh")
     both, roots = joined(fresh, both, roots)
     mixed = stage(mixed_buckets(mixed.drop("root"), roots), "mixed")
-    last = led_links(mixed.where(few), 2, FEW, threshold).union(rare_links(mixed.where(~few), texts, threshold)).distinct()
+    last = led_links(mixed.where(few), mixed.where(few), threshold).union(rare_links(mixed.where(~few), texts, threshold)).distinct()
     both, roots = joined(stage(last.join(tested.union(fresh), ["a", "b"], "left_anti"), "fresh"), both, roots)
     return both, roots
 
