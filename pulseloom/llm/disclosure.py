@@ -142,13 +142,14 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support:
     spans overlap, the first kind at the leftmost start wins.
     """
     docs = _prepared(docs)
-    over = stage(revealing_terms(docs, disclosure, support).select("term").distinct(), "terms")
+    over = stage(revealing_terms(docs, disclosure, support).select("term").distinct(), "over")
     is_class = F.endswith("term", F.lit("*"))
     closed = over.where(is_class).select(F.col("term").alias("class"), F.lit("").alias("closed"))
     terms = over.where(~is_class).withColumn("class", word_class(F.col("term"))).join(closed, "class", "left")
-    terms = terms.select("term", F.coalesce("closed", F.concat(F.lit("["), F.col("class"), F.lit("]"))).alias("put"))
+    # Staged, so that the planner knows its true size: a small table is broadcast to the words, only a large one costs their shuffle.
+    terms = stage(terms.select("term", F.coalesce("closed", F.concat(F.lit("["), F.col("class"), F.lit("]"))).alias("put")), "terms")
     rows = docs
-    if over.where(~is_class).isEmpty():
+    if terms.isEmpty():
         rows = rows.withColumn("terms", F.lit(None).cast("array<string>")).withColumn("puts", F.lit(None).cast("map<string, string>"))
     else:
         own = docs.select("doc_id", "mark", F.explode(F.array_distinct(F.split(F.lower("text"), WORDS))).alias("term")).join(terms, "term")
