@@ -107,3 +107,10 @@ def cardiac_tally(verdicts: DataFrame) -> DataFrame:
         F.count_if(ok).alias("ok"), F.count_if(some).alias("ok_or_usable"), F.count("*").alias("n"),
         F.count_distinct(F.when(ok, F.col("subject"))).alias("subjects_ok"), F.count_distinct(F.when(some, F.col("subject"))).alias("subjects_some"),
     )
+
+
+def rising_edges(mask: Column) -> Column:
+    """Indexes (from 0) at which the mask is true and was not one sample before; the first sample counts, null is false."""
+    before = lambda i: F.coalesce(F.get(mask, i - 1), F.lit(False))
+    at = F.transform(mask, lambda m, i: F.when(m & ((i == 0) | ~before(i)), i))
+    return F.filter(at, lambda i: i.isNotNull())

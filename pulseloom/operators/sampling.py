@@ -142,6 +142,11 @@ def calibrate(split: DataFrame, patient: str | None = None) -> DataFrame:
     return apply_stats(split, feature_stats(base, ["subject"]), ["subject"])
 
 
+def standardize(rows: DataFrame, fitted_on: DataFrame) -> DataFrame:
+    """Features by the statistics of all rows of the training set `fitted_on`, whatever their subject or label."""
+    return apply_stats(rows, feature_stats(fitted_on, []), [])
+
+
 def mix_personal(others: DataFrame, own: DataFrame, ids: list[str], share: float = 0.5, seed: int = 0) -> DataFrame:
     """`others` plus, per label, floor(n_others * share / (1 - share)) draws with replacement from `own`."""
     wanted = others.groupBy("label").agg(F.floor(F.count("*") * share / (1 - share)).alias("draws"))

@@ -148,4 +148,45 @@ def microvolts(spark, sf_dir):
     return rounded(e.select("vec_id", F.element_at(X.to_microvolts(F.col("embedding"), dim), 1).alias("first_uv")), "first_uv")
 
 
+_EDGES = "list_filter(range(len(embedding)), lambda i: embedding[i + 1] > 0 AND (i = 0 OR embedding[i] <= 0))"
+
+
+@query(f"SELECT vec_id, array_to_string({_EDGES}, ',') AS edges FROM embeddings")
+def edge_trains(spark, sf_dir):
+    """Where each vector, read as a signal, comes up through zero."""
+    e = _table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.array_join(A.rising_edges(F.transform("embedding", lambda x: x > 0)).cast("array<string>"), ",").alias("edges"))
+
+
+@query("WITH x AS (SELECT vec_id, label, generate_subscripts(features, 1) AS i, CAST(unnest(features) AS DOUBLE) AS v FROM fx_features), st AS (SELECT i, avg(v) AS mean, stddev_pop(v) + 1e-8 AS spread FROM x GROUP BY 1) SELECT vec_id, round(sum((v - mean) / spread), 4) AS total, round(max((v - mean) / spread), 4) AS top FROM x JOIN st USING (i) GROUP BY 1", "fx_features")
+def standardised_features(spark, sf_dir):
+    f = view(spark, sf_dir, "fx_features")
+    return S.standardize(f, f).select("vec_id", F.round(F.aggregate("features", F.lit(0.0), lambda a, v: a + v), 4).alias("total"), F.round(F.array_max("features"), 4).alias("top"))
+
+
+@query("SELECT subject, segment_id, CASE WHEN max(label) = 1 THEN 1 ELSE 0 END AS label FROM fx_features GROUP BY ALL HAVING max(label) = 1 OR segment_id % 2 = 0", "fx_features")
+def segment_labels(spark, sf_dir):
+    return C.label_segments(_segments(spark, sf_dir)).select("subject", "segment_id", "label")
+
+
+_PATHS = "concat('sub-', p_size, CASE p_partkey % 2 WHEN 0 THEN '/ecg/' ELSE '/eeg/' END, p_partkey, CASE p_partkey % 3 WHEN 0 THEN '_events.tsv' WHEN 1 THEN '_ecg.edf' ELSE '_eeg.edf' END)"
+
+
+@query("SELECT p_partkey, concat('sub-', p_size, '/eeg/', p_partkey) AS stem, concat('sub-', p_size) AS subject, CASE p_partkey % 4 WHEN 0 THEN 'n/a' WHEN 1 THEN 'n/a' ELSE p_type END AS vigilance FROM part")
+def recording_stems(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").withColumn("path", F.expr(_PATHS))
+    state = F.expr("CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE p_type END")
+    return p.select("p_partkey", X.eeg_key(F.col("path")).alias("stem"), X.subject_of(F.col("path")).alias("subject"), X.vigilance_token(state).alias("vigilance"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_type END AS chosen, p_type AS other FROM part")
+def chosen_channels(spark, sf_dir):
+    """A channel by its label, else by its place; annotations don't count for the place of the fallback."""
+    p = _table(spark, sf_dir, "part")
+    channel = lambda label, dim: F.struct(label.alias("label"), dim.alias("dim"))
+    cardiac = F.when(F.col("p_size") % 2 == 0, "EKG left").otherwise("Fp1")
+    channels = F.array(channel(F.lit("EDF Annotations"), F.lit("")), channel(F.lit("T3"), F.col("p_type")), channel(cardiac, F.col("p_brand")))
+    return p.select("p_partkey", X.pick_channel(channels, "E[CK]G", 0)["dim"].alias("chosen"), X.channels_at(channels, [1])[0]["dim"].alias("other"))
+
+
 __all__ = ["ORACLES", "QUERIES"]

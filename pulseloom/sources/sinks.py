@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseloom.functions.text import sample_timestamp_ms
@@ -45,14 +45,39 @@ def write_segments(segments: DataFrame, path: str) -> None:
 
 
 def training_rows(segments: DataFrame, fs: float = 256.0) -> DataFrame:
-    """`segments(split, label, segment_id, bte, cross)` -> one row per sample: idx, timestamp (ms, 5 places), values (2 places)."""
-    rows = segments.select("split", "label", "segment_id", F.posexplode(F.arrays_zip("bte", "cross")).alias("idx", "v"))
-    return rows.select("split", "label", "segment_id", "idx", sample_timestamp_ms(F.col("idx"), fs).alias("timestamp"), F.format_string("%.2f", F.col("v.bte").cast("double")).alias("bte"), F.format_string("%.2f", F.col("v.cross").cast("double")).alias("cross"))
-
-
-def write_training_export(segments: DataFrame, path: str, fs: float = 256.0) -> None:
-    rows = training_rows(segments, fs).repartition("segment_id").sortWithinPartitions("split", "label", "segment_id", "idx")
-    rows.drop("idx").write.mode("overwrite").partitionBy("split", "label", "segment_id").csv(path, header=True)
+    """`segments(split, label, segment_id, bte, cross[, ecg])` -> one row per sample: idx, timestamp (ms, 5 places), values (2 places)."""
+    channels = ["bte", "cross", *(["ecg"] if "ecg" in segments.columns else [])]
+    rows = segments.select("split", "label", "segment_id", F.posexplode(F.arrays_zip(*channels)).alias("idx", "v"))
+    values = [F.format_string("%.2f", F.col(f"v.{c}").cast("double")).alias(c) for c in channels]
+    return rows.select("split", "label", "segment_id", "idx", sample_timestamp_ms(F.col("idx"), fs).alias("timestamp"), *values)
+
+
+def write_training_export(segments: DataFrame, path: str, fs: float = 256.0, flat: bool = True) -> None:
+    """A CSV file per segment, `{split}/{label}.{segment_id}.csv`; folders by split, label and segment if not `flat`.
+
+    Spark names its own files, so the flat names are given afterwards, by renaming (no data moves).
+    """
+    rows = training_rows(segments, fs).repartition("split", "label", "segment_id").sortWithinPartitions("split", "label", "segment_id", "idx")
+    rows.drop("idx").write.mode("overwrite").partitionBy("split", "label", "segment_id").option("maxRecordsPerFile", 0).csv(path, header=True)
+    if flat:
+        _flatten(segments.sparkSession, path)
+
+
+def _flatten(spark: SparkSession, path: str) -> None:
+    """`split=s/label=l/segment_id=i/part-*.csv` -> `s/l.i.csv`; works on names alone."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    root = hadoop(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    value = lambda folder: spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getName().partition("=")[2])
+    for f in fs.globStatus(hadoop(root, "split=*/label=*/segment_id=*/part-*")):
+        at = f.getPath()
+        segment, label, split = at.getParent(), at.getParent().getParent(), at.getParent().getParent().getParent()
+        into = hadoop(root, value(split))
+        fs.mkdirs(into)
+        if not fs.rename(at, hadoop(into, f"{value(label)}.{value(segment)}.csv")):
+            raise OSError(f"cannot rename {at}")
+    for left in fs.globStatus(hadoop(root, "split=*")):
+        fs.delete(left.getPath(), True)
 
 
 def write_features(features: DataFrame, path: str, reuse: bool = True) -> DataFrame:

@@ -119,8 +119,8 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
 def local_inventory(spark: SparkSession, root: str) -> DataFrame:
     """Files under a root as key (relative), size; contents are not read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    base = F.lit(root.removeprefix("file://").rstrip("/") + "/")
-    return df.select(F.substring_index("path", base, -1).alias("key"), F.col("length").alias("size"))
+    base = root.removeprefix("file://").rstrip("/") + "/"
+    return df.select(F.col("path").substr(F.locate(base, "path") + len(base), F.length("path")).alias("key"), F.col("length").alias("size"))
 
 
 def read_audit(spark: SparkSession, path: str, select: str | None = "usable") -> DataFrame:
