@@ -52,8 +52,8 @@ def training_rows(segments: DataFrame, fs: float = 256.0) -> DataFrame:
     return rows.select("split", "label", "segment_id", "idx", sample_timestamp_ms(F.col("idx"), fs).alias("timestamp"), *values)
 
 
-def write_training_export(segments: DataFrame, path: str, fs: float = 256.0, flat: bool = True) -> None:
-    """A CSV file per segment, `{split}/{label}.{segment_id}.csv`; folders by split, label and segment if not `flat`.
+def write_training_export(segments: DataFrame, path: str, fs: float = 256.0, flat: bool = False) -> None:
+    """A CSV file per segment, in folders by split, label and segment; `{split}/{label}.{segment_id}.csv` if `flat`.
 
     Spark names its own files, so the flat names are given afterwards, by renaming (no data moves).
     """

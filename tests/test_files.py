@@ -16,11 +16,11 @@ def test_export_has_a_file_per_segment(spark, tmp_path):
         "split string, label string, segment_id long, bte array<double>, cross array<double>, ecg array<double>",
     )
     out = tmp_path / "export"
-    K.write_training_export(s, f"file://{out}")
+    K.write_training_export(s, f"file://{out}", flat=True)
     assert sorted(str(p.relative_to(out)) for p in out.rglob("*.csv")) == ["testing/non_seizure.8.csv", "training/seizure.7.csv"]
     lines = (out / "training/seizure.7.csv").read_text().splitlines()
     assert lines[:2] == ["timestamp,bte,cross,ecg", "0.00000,1.00,0.00,9.00"] and lines[3] == "7.81250,-0.50,2.00,7.00" and len(lines) == 4
-    K.write_training_export(s.drop("ecg"), f"file://{out}")
+    K.write_training_export(s.drop("ecg"), f"file://{out}", flat=True)
     assert (out / "testing/non_seizure.8.csv").read_text() == "timestamp,bte,cross\n0.00000,4.00,5.00\n"
 
 
