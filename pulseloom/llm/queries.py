@@ -9,6 +9,7 @@ from pulseloom.llm.kneser_ney import op9_kneser_ney_quality
 from pulseloom.llm.language_id import op10_language_id
 from pulseloom.llm.packing import op8_packing
 from pulseloom.llm.ppm import op1_ppm_scoring
+from pulseloom.llm.prefix_counts import op12_token_counts
 from pulseloom.llm.tool_calls import op4_tool_call_linking
 from pulseloom.llm.url_templates import op2_url_templates
 
@@ -17,6 +18,7 @@ QUERIES = {
     for f in (
         op1_ppm_scoring, op2_url_templates, op3_disclosure_pii, op4_tool_call_linking, op5_exact_dedup,
         op6_minhash_near_dedup, op7_benchmark_decontamination, op8_packing, op9_kneser_ney_quality, op10_language_id,
+        op12_token_counts,
     )
 }
 ORACLES = {"op5_exact_dedup": exact_dedup.ORACLE, "op7_benchmark_decontamination": containment.ORACLE}
