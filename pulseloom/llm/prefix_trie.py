@@ -278,8 +278,8 @@ def _shards(size: int, most: int):
         order = np.flatnonzero(ended)  # conversations end at their states, in order of state and conversation
         order = order[np.lexsort((conv[order], f["end"][order]))]
         at, ids = f["end"][order], list(map(str, conv[order].tolist()))
-        cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
-        ends = {int(at[a]): (a, b) for a, b in zip(cuts, np.append(cuts[1:], len(at)), strict=True)}
+        cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else np.zeros(1, np.int64)
+        ends = {int(at[a]): (a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
         sha = [None if o else hashlib.sha256(",".join(ids[slice(*ends.get(s, (0, 0)))]).encode()).hexdigest() for s, o in zip(nodes.tolist(), is_open, strict=True)]
         root, below = nodes <= f["roots"], parent >= 0
         upper = below & f["open"][parent]
