@@ -1,7 +1,10 @@
 """Risk layer over window scores: rolling statistics, normalisation, fusion, cooldown.
 
-Everything is a window function over one recording, so one hash exchange and one
-sort by recording serve the whole layer. Frames are in rows, as window scores
+Recordings are cut into blocks with halos (`scan`), so that a task's work does not
+grow with a recording: medians are rolled within a block, moments are scanned over
+blocks, trailing sums are differences of running sums. The column functions are
+the same statistics as windows over a whole recording, for short ones and as the
+form that the blocks are tested against. Frames are in rows, as window scores
 have a constant stride. Warm-up rows are null, never NaN.
 """
 
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import WindowSpec
 
+from pulseloom.operators.scan import Running, block_moments, numbered, with_halo
+from pulseloom.sources.staging import staged
 
 #: Rows of a recording that one call of the grouped helper gets, beside those its windows reach back to.
 BLOCK = 4096
@@ -59,19 +64,16 @@ def rolling_median(x: Column, w: WindowSpec, n: int, min_periods: int) -> Column
     return F.when(F.count(x).over(f) >= min_periods, F.percentile(x, F.lit(0.5)).over(f))
 
 
-def rolling_medians(df: DataFrame, keys: list[str], order: str, specs: dict[str, tuple[str, int, int]]) -> DataFrame:
+def rolling_medians(df: DataFrame, keys: list[str], order: str, specs: dict[str, tuple[str, int, int]], dense: bool = False) -> DataFrame:
     """Adds {new: (column, rows, min_periods)} rolling medians in a vectorised helper.
 
     A recording is cut into blocks of BLOCK rows, each with the rows before it that its first windows reach back to, so
-    that a task's group does not grow with the recording.
+    that a task's group does not grow with the recording. `dense`: `order` counts the rows of a recording from 0.
     """
-    schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in specs]])
     back = max(n for _c, n, _least in specs.values()) - 1
     size = max(BLOCK, back)
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    own = F.expr(f"at_ DIV {size}")
-    blocks = F.when(F.col("at_") % size >= size - back, F.array(own, own + 1)).otherwise(F.array(own))
-    cut = df.withColumn("at_", at).withColumn("block_", F.explode(blocks))
+    placed = df.withColumn("at_", F.col(order)) if dense else numbered(df, keys, [order])
+    schema = StructType([*df.schema.fields, *[StructField(n, DoubleType()) for n in specs]])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at_")
@@ -79,7 +81,7 @@ def rolling_medians(df: DataFrame, keys: list[str], order: str, specs: dict[str,
             pdf[new] = pdf[col].rolling(n, min_periods=least).median()
         return pdf[pdf["at_"] // size == pdf["block_"]].drop(columns=["at_", "block_"])
 
-    out = cut.groupBy(*keys, "block_").applyInPandas(one, schema)
+    out = with_halo(placed, size, back).groupBy(*keys, "block_").applyInPandas(one, schema)
     return out.withColumns({n: F.nanvl(n, F.lit(None).cast("double")) for n in specs})
 
 
@@ -116,20 +118,15 @@ def alert_condition(s: RiskSettings) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def risk_frame(scores: DataFrame, keys: list[str], order: str = "win_idx", s: RiskSettings = RiskSettings(), mode: str = "published", scale_medians: bool = True) -> DataFrame:
-    """Window scores (prob, delta, ratio, centroid) -> with smoothed, normalised and temporal columns and `candidate`.
+MEDIANS = ("delta", "ratio", "centroid")
 
-    `mode`: "published" normalises over the whole recording; "causal" over the
-    rows so far. `scale_medians` picks the grouped helper for the long medians.
-    """
+
+def whole_risk_frame(scores: DataFrame, keys: list[str], order: str = "win_idx", s: RiskSettings = RiskSettings(), mode: str = "published") -> DataFrame:
+    """`risk_frame` by windows over whole recordings: for short ones, as a recording is one task and frames cost rows x frame."""
     w = Window.partitionBy(*keys).orderBy(order)
-    medians = ("delta", "ratio", "centroid")
-    if scale_medians:
-        df = rolling_medians(scores, keys, order, {f"{c}_sm": (c, s.median, s.median_min) for c in medians})
-    else:
-        df = scores.withColumns({f"{c}_sm": rolling_median(F.col(c), w, s.median, s.median_min) for c in medians})
+    df = scores.withColumns({f"{c}_sm": rolling_median(F.col(c), w, s.median, s.median_min) for c in MEDIANS})
     df = df.withColumn("prob_sm", rolling_mean(F.col("prob"), w, s.smooth, 1))
-    df = df.withColumns({f"{c}_n": zscore_recording(F.col(f"{c}_sm"), w, mode == "causal") for c in medians})
+    df = df.withColumns({f"{c}_n": zscore_recording(F.col(f"{c}_sm"), w, mode == "causal") for c in MEDIANS})
     df = df.withColumn("risk", risk_fusion(F.col("prob_sm"), F.col("ratio_n"), F.col("delta_n"), F.col("centroid_n")))
     r = F.col("risk")
     df = df.withColumns({"fp_short": firing_power(r, w, s.fp_short), "fp_long": firing_power(r, w, s.fp_long), "step": r - F.lag(r).over(w), "z": rolling_z(r, w, s.z), "peakness": r - rolling_mean(r, w, s.peak)})
@@ -137,9 +134,81 @@ def risk_frame(scores: DataFrame, keys: list[str], order: str = "win_idx", s: Ri
     return df.drop("step").withColumn("candidate", alert_condition(s))
 
 
-def relative_risk(risk: DataFrame, keys: list[str], order: str = "win_idx", s: RiskSettings = RiskSettings()) -> DataFrame:
+def _smoothed(scores: DataFrame, keys: list[str], s: RiskSettings, size: int, keep: int) -> DataFrame:
+    """Blocks of rows `at_` with a halo of `keep` rows, smoothed; written to the shared folder, as moments and risk both read them."""
+    back = keep + max(s.median, s.smooth) - 1
+    fields = [*scores.schema.fields, *[StructField(n, DoubleType()) for n in ("prob_sm", *(f"{c}_sm" for c in MEDIANS))]]
+    cut = with_halo(scores, size, back)
+    schema = StructType([*fields, cut.schema["block_"]])
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at_")
+        pdf["prob_sm"] = pdf["prob"].rolling(s.smooth, min_periods=1).mean()
+        for c in MEDIANS:
+            pdf[f"{c}_sm"] = pdf[c].rolling(s.median, min_periods=s.median_min).median()
+        pdf = pdf[pdf["at_"] >= pdf["block_"] * size - keep]
+        return pdf[[f.name for f in schema.fields]]
+
+    rows = cut.groupBy(*keys, "block_").applyInPandas(one, schema)
+    return staged(rows.withColumns({f.name: F.nanvl(f.name, F.lit(None).cast("double")) for f in fields[-4:]}), "smoothed")
+
+
+def risk_frame(scores: DataFrame, keys: list[str], order: str = "win_idx", s: RiskSettings = RiskSettings(), mode: str = "published", dense: bool = False, block: int | None = None) -> DataFrame:
+    """Window scores (prob, delta, ratio, centroid) -> with smoothed, normalised and temporal columns and `candidate`.
+
+    `mode`: "published" normalises over the whole recording; "causal" over the rows so far. `dense` says that `order` counts
+    the rows of a recording from 0, which spares the sort that numbers them. A recording is many blocks of `block` rows
+    (BLOCK, or what the longest window asks for), each a group of its own.
+    """
+    keep = max(s.fp_short, s.fp_long, s.z, s.peak, s.trend + 1, s.trend_long + 1)
+    size = max(block or BLOCK, keep + max(s.median, s.smooth) - 1)
+    placed = scores.withColumn("at_", F.col(order).cast("long")) if dense else numbered(scores, keys, [order])
+    rows = _smoothed(placed, keys, s, size, keep)
+    own = F.col("at_") >= F.col("block_") * size
+    smooth = [f"{c}_sm" for c in MEDIANS]
+    df = rows.join(block_moments(rows.where(own), keys, smooth), [*keys, "block_"])
+    run = Running(df, keys)
+    if mode == "causal":  # the rows of the halo are counted in the blocks before: their sums are taken off again
+        halo = Window.partitionBy(*keys, "block_")
+        for c in smooth:
+            x = F.col(c) - F.col(f"{c}_mean")
+            run.add(**{f"{c}_r0": F.col(c).isNotNull().cast("double"), f"{c}_r1": x, f"{c}_r2": x * x})
+            ahead = {f"{c}_h{k}": F.max(F.when(~own & (F.col("at_") == F.col("block_") * size - 1), F.col(f"{c}_r{k}"))).over(halo) for k in range(3)}
+            run.df = run.df.withColumns(ahead)
+        sofar = lambda c, k, name: F.col(f"{c}_{name}") + F.col(f"{c}_r{k}") - F.coalesce(F.col(f"{c}_h{k}"), F.lit(0.0))
+
+        def normal(c: str) -> Column:
+            n, s1, s2 = sofar(c, 0, "n"), sofar(c, 1, "s1"), sofar(c, 2, "s2")
+            sd = F.sqrt(F.greatest(s2 - s1 * s1 / n, F.lit(0.0)) / (n - 1))
+            return F.when(F.col(c).isNotNull() & (n > 1.5), (F.col(c) - F.col(f"{c}_mean") - s1 / n) / (sd + 1e-6))
+    else:
+        normal = lambda c: (F.col(c) - F.col(f"{c}_mean")) / (F.col(f"{c}_sd") + 1e-6)
+    run.df = run.df.withColumns({f"{c}_n": normal(f"{c}_sm") for c in MEDIANS})
+    run.df = run.df.withColumn("risk", risk_fusion(F.col("prob_sm"), F.col("ratio_n"), F.col("delta_n"), F.col("centroid_n")))
+    r, w = F.col("risk"), run.w
+    run.df = run.df.withColumn("step_", r - F.lag(r).over(w))
+    q = r - 0.5
+    run.add(sum_=r, known_=r.isNotNull().cast("double"), q_=q, qq_=q * q, steps_=F.col("step_"), stepped_=F.col("step_").isNotNull().cast("double"))
+    full = lambda count, n, value: F.when(run.last(count, n) > n - 0.5, value)
+
+    def power(n: int) -> Column:
+        leaves = (F.col("at_") >= n) & F.lag(r, n).over(w).isNull()
+        return F.when(r.isNotNull() & ~leaves, run.last("sum_", n) / F.least(F.col("at_") + 1, F.lit(n)))
+
+    mean, square = run.last("q_", s.z) / s.z, run.last("qq_", s.z)
+    sd = F.sqrt(F.greatest(square - s.z * mean * mean, F.lit(0.0)) / (s.z - 1))
+    df = run.df.withColumns({
+        "fp_short": power(s.fp_short), "fp_long": power(s.fp_long), "z": F.when(r.isNotNull(), full("known_", s.z, (q - mean) / (sd + 1e-6))),
+        "peakness": r - full("known_", s.peak, run.last("sum_", s.peak) / s.peak),
+        "trend": full("stepped_", s.trend, run.last("steps_", s.trend) / s.trend), "trend_long": full("stepped_", s.trend_long, run.last("steps_", s.trend_long) / s.trend_long),
+    })
+    made = [*smooth, "prob_sm", *(f"{c}_n" for c in MEDIANS), "risk", "fp_short", "fp_long", "z", "peakness", "trend", "trend_long"]
+    return df.where(own).select(*scores.columns, *made).withColumn("candidate", alert_condition(s))
+
+
+def relative_risk(risk: DataFrame, keys: list[str], order: str = "win_idx", s: RiskSettings = RiskSettings(), dense: bool = False) -> DataFrame:
     """Adds `baseline` (rolling median of risk) and `rel_risk` = max(risk - baseline, 0)."""
-    df = rolling_medians(risk, keys, order, {"baseline": ("risk", s.baseline, s.baseline_min)})
+    df = rolling_medians(risk, keys, order, {"baseline": ("risk", s.baseline, s.baseline_min)}, dense)
     d = F.col("risk") - F.col("baseline")
     return df.withColumn("rel_risk", F.when(d.isNotNull(), F.greatest(d, F.lit(0.0))))
 

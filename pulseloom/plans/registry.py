@@ -6,9 +6,6 @@ exact counts, which have; the picks are tested for their properties.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +20,7 @@ from pulseloom.operators import sampling as S
 from pulseloom.operators import sweep as M
 from pulseloom.plans.views import oracle, view
 from pulseloom.sources import text as T
+from pulseloom.sources.staging import scratch
 from pulseloom.streaming import risk as G
 
 QUERIES: dict = {}
@@ -88,7 +86,7 @@ fm AS (SELECT h.rec, h.subject, e.sensitivity, coalesce(e.ewt, 0) AS ewt, CASE W
 
 
 def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.risk_frame(view(spark, sf_dir, "fx_scores"), KEYS)
+    return R.risk_frame(view(spark, sf_dir, "fx_scores"), KEYS, dense=True)
 
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +101,23 @@ def risk_layer(spark, sf_dir):
     return rounded(_risk(spark, sf_dir).select("rec", "win_idx", *_RISK_COLUMNS, "candidate"), *_RISK_COLUMNS)
 
 
+_CAUSAL = _FEATURES.replace("WINDOW p AS (PARTITION BY rec)", "WINDOW p AS (PARTITION BY rec ORDER BY win_idx ROWS UNBOUNDED PRECEDING)")
+
+
+@query(f"WITH {_CAUSAL.strip()} SELECT rec, win_idx, {', '.join(f'round({c}, 6) AS {c}' for c in _RISK_COLUMNS)}, candidate FROM cd", "fx_scores")
+def causal_risk_layer(spark, sf_dir):
+    """The risk layer as it can be computed while the recording runs: normalised over the rows so far."""
+    df = R.risk_frame(view(spark, sf_dir, "fx_scores"), KEYS, mode="causal", dense=True)
+    return rounded(df.select("rec", "win_idx", *_RISK_COLUMNS, "candidate"), *_RISK_COLUMNS)
+
+
+@query(f"WITH {_FEATURES.strip().replace('fx_scores', 'fx_long')} SELECT win_idx, {', '.join(f'round({c}, 6) AS {c}' for c in _RISK_COLUMNS)}, candidate FROM cd", "fx_long")
+def risk_of_one_recording(spark, sf_dir):
+    """All events as one recording, over as many tasks as it has blocks."""
+    df = R.risk_frame(view(spark, sf_dir, "fx_long"), KEYS)
+    return rounded(df.select("win_idx", *_RISK_COLUMNS, "candidate"), *_RISK_COLUMNS)
+
+
 @query(f"WITH {_FEATURES.strip()} SELECT rec, win_idx, round(risk, 6) AS risk, CASE WHEN risk < 0.3 THEN 'Low' WHEN risk < 0.6 THEN 'Medium' WHEN risk IS NOT NULL THEN 'High' END AS zone, CASE WHEN risk IS NOT NULL THEN CAST(least(greatest(floor(risk * 10) + 1, 1), 10) AS BIGINT) END AS level, round(CASE WHEN risk IS NOT NULL THEN least(greatest((risk - min(risk) OVER (PARTITION BY rec)) / (max(risk) OVER (PARTITION BY rec) - min(risk) OVER (PARTITION BY rec)), 0), 1) END, 6) AS stretched, round(CASE WHEN risk IS NOT NULL THEN least(greatest(risk, 0), 0.8) / 0.8 END, 6) AS clipped FROM cd", "fx_scores")
 def risk_zones(spark, sf_dir):
     from pyspark.sql import Window
@@ -114,7 +129,7 @@ def risk_zones(spark, sf_dir):
 
 @query(f"WITH {_FEATURES.strip()}, b AS (SELECT *, CASE WHEN count(risk) OVER w >= 100 THEN median(risk) OVER w END AS baseline FROM cd WINDOW w AS (PARTITION BY rec ORDER BY win_idx ROWS 599 PRECEDING)) SELECT rec, win_idx, round(baseline, 6) AS baseline, round(CASE WHEN risk IS NOT NULL AND baseline IS NOT NULL THEN greatest(risk - baseline, 0) END, 6) AS rel_risk FROM b", "fx_scores")
 def relative_risk(spark, sf_dir):
-    return rounded(R.relative_risk(_risk(spark, sf_dir), KEYS).select("rec", "win_idx", "baseline", "rel_risk"), "baseline", "rel_risk")
+    return rounded(R.relative_risk(_risk(spark, sf_dir), KEYS, dense=True).select("rec", "win_idx", "baseline", "rel_risk"), "baseline", "rel_risk")
 
 
 @query(f"WITH RECURSIVE {_ALERTS.strip()} SELECT rec, subject, win_idx, time FROM alerts", "fx_scores", "fx_seizures")
@@ -229,11 +244,11 @@ def lead_labels_by_clock(spark, sf_dir):
     return out.select("ann_id", since.alias("since_prev_s"), "since_prev_basis", "lead_seizure")
 
 
-@query(f"""WITH {_AUDIT.strip()}, r AS (SELECT DISTINCT subject, run, (run * 1.2345 + CAST(right(subject, 3) AS INTEGER)) AS h, run % 3 <> 0 AS has_ecg FROM fx_annot)
+@query(f"""WITH {_AUDIT.strip()}, r AS (SELECT DISTINCT subject, run, (run * 1.2345678 + CAST(right(subject, 3) AS INTEGER)) AS h, run % 3 <> 0 AS has_ecg FROM fx_annot)
 SELECT (SELECT count(DISTINCT subject) FROM r) AS subjects, (SELECT count(*) FROM r) AS recordings, (SELECT count(*) FROM r WHERE has_ecg) AS with_ecg, (SELECT round(CAST(sum(round_even(CAST(h AS DOUBLE), 2)) AS DOUBLE), 6) FROM r) AS hours, count(*) AS seizures, count(*) FILTER (preictal_ok) AS preictal_ok, count(*) FILTER (preictal_ok AND run % 3 <> 0) AS preictal_ok_ecg FROM us""", "fx_annot")
 def catalog_totals(spark, sf_dir):
     a = _audit(spark, sf_dir).withColumn("has_ecg", F.expr("run % 3 <> 0"))
-    r = a.select("subject", "run", "has_ecg").distinct().withColumn("duration_h", F.expr("run * 1.2345D + CAST(right(subject, 3) AS INT)"))
+    r = a.select("subject", "run", "has_ecg").distinct().withColumn("duration_h", F.expr("run * 1.2345678D + CAST(right(subject, 3) AS INT)"))
     return C.catalog_totals(r, a)
 
 
@@ -527,17 +542,6 @@ def event_windows(spark, sf_dir):
     return rounded(G.stream_windows(e, "1 hour", "30 minutes").select("rec", "start", "n", "mean", "p2p"), "mean", "p2p")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one (`spark.checkpoint.dir`); where that is unset, a temporary one in local mode, else an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="pulseloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query()
 def streamed_risk(spark, sf_dir):
     """The recordings replayed as a stream of files; risk and alerts as the stream emits them."""

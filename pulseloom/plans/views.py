@@ -12,18 +12,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SQL = {
     "fx_scores": """
-SELECT rec, rec % 2 AS subject, CAST(win_idx AS BIGINT) AS win_idx, D(1.0) + D(0.5)*win_idx AS time,
+SELECT rec, rec DIV 2 AS subject, CAST(win_idx AS BIGINT) AS win_idx, D(1.0) + D(0.5)*win_idx AS time,
        least(value/D(150.0), D(1.0)) AS prob, value + k AS delta,
        k/(value+D(1.0)) AS ratio, k*D(0.3) AS centroid, event_type, value, k
-FROM (SELECT user_id % 4 AS rec, event_type, value, CAST({K} AS INT) AS k,
-             row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) - 1 AS win_idx
+FROM (SELECT event_id DIV 2500 AS rec, event_type, value, CAST({K} AS INT) AS k,
+             row_number() OVER (PARTITION BY event_id DIV 2500 ORDER BY ts, event_id) - 1 AS win_idx
       FROM events)""",
+    # All events as one recording; the position is the event's, with gaps if ids have them.
+    "fx_long": """
+SELECT CAST(0 AS BIGINT) AS rec, CAST(0 AS BIGINT) AS subject, CAST(event_id AS BIGINT) AS win_idx, D(1.0) + D(0.5)*event_id AS time,
+       least(value/D(150.0), D(1.0)) AS prob, value + CAST({K} AS INT) AS delta,
+       CAST({K} AS INT)/(value+D(1.0)) AS ratio, CAST({K} AS INT)*D(0.3) AS centroid FROM events""",
     "fx_seizures": """
 SELECT rec, subject, time AS onset_s, D(20.0) + k AS duration_s, time + D(20.0) + k AS end_s
 FROM fx_scores WHERE event_type = 'error' AND value >= 220""",
     "fx_annot": """
 SELECT o_orderkey AS ann_id, concat('sub-', lpad(CAST(o_custkey % 20 AS STRING),3,'0')) AS subject,
-       (o_custkey % 7) AS run, CAST((o_orderkey*37) % 40000 AS DOUBLE) AS onset_s,
+       (o_orderkey DIV 400) AS run, CAST((o_orderkey*37) % 40000 AS DOUBLE) AS onset_s,
        D(20.0) + o_orderkey % 150 AS duration_s,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'front_temp' WHEN '2-HIGH' THEN 'temp'
             WHEN '3-MEDIUM' THEN 'cen_par' WHEN '5-LOW' THEN 'n/a' ELSE 'un' END AS localization,
@@ -53,12 +58,13 @@ FROM orders CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1 UNION ALL SELECT 2)
 WHERE NOT (j > 0 AND o_orderkey % 4 <> 0)""",
 }
 _BASE = {
-    "fx_scores": "events", "fx_annot": "orders", "fx_features": "embeddings", "fx_remote": "part", "fx_local": "part", "fx_lines": "orders",
+    "fx_scores": "events", "fx_long": "events", "fx_annot": "orders", "fx_features": "embeddings", "fx_remote": "part", "fx_local": "part", "fx_lines": "orders",
 }
 
 
 def _literals(sql: str, spark: bool) -> str:
     json = "get_json_object(props,'$.k')" if spark else "json_extract_string(props,'$.k')"
+    sql = sql if spark else re.sub(r"\bDIV\b", "//", sql)
     return re.sub(r"D\(([0-9.]+)\)", r"\1D" if spark else r"CAST(\1 AS DOUBLE)", sql.replace("{K}", json))
 
 

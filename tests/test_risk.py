@@ -1,11 +1,13 @@
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pulseloom.operators import risk as R
+from pulseloom.operators.scan import numbered
 from pulseloom.streaming.risk import CausalRisk
 
 SMALL = R.RiskSettings(smooth=4, median=12, median_min=5, baseline=20, baseline_min=6, fp_short=6, fp_long=15, trend=3, trend_long=8, z=10, peak=8, min_fp_short=0.05, min_fp_long=0.05, min_trend=0.0, min_z=0.2, cooldown=9)
@@ -46,10 +48,30 @@ def test_risk_frame_equals_pandas(spark):
 def test_median_forms_agree(spark):
     df = spark.createDataFrame(frame())
     a = R.risk_frame(df, ["rec", "subject"], s=SMALL).select("win_idx", F.round("risk", 9).alias("r"))
-    b = R.risk_frame(df, ["rec", "subject"], s=SMALL, scale_medians=False).select("win_idx", F.round("risk", 9).alias("r"))
+    b = R.whole_risk_frame(df, ["rec", "subject"], s=SMALL).select("win_idx", F.round("risk", 9).alias("r"))
     assert a.exceptAll(b).count() == 0
 
 
+@pytest.mark.parametrize("mode", ["published", "causal"])
+def test_blocks_with_halos_equal_whole_recordings(spark, monkeypatch, mode):
+    monkeypatch.setattr(R, "BLOCK", 30)
+    one, two = frame(190, 1), frame(31, 2).assign(rec=1, win_idx=lambda d: d.win_idx * 3 + 5)  # with gaps in the order
+    one.loc[50:70, "prob"] = np.nan
+    one.loc[100:104, "delta"] = np.nan
+    df = spark.createDataFrame(pd.concat([one, two, frame(1).assign(rec=2)])).replace(float("nan"), None).repartition(5)
+    got = R.risk_frame(df, ["rec", "subject"], s=SMALL, mode=mode).toPandas().sort_values(["rec", "win_idx"])
+    want = R.whole_risk_frame(df, ["rec", "subject"], s=SMALL, mode=mode).toPandas().sort_values(["rec", "win_idx"])
+    assert len(got) == 222 and got["candidate"].tolist() == want["candidate"].tolist()
+    for c in ("prob_sm", "delta_n", "ratio_n", "risk", "fp_short", "fp_long", "trend", "trend_long", "z", "peakness"):
+        np.testing.assert_allclose(got[c].to_numpy(float), want[c].to_numpy(float), atol=1e-7, equal_nan=True, err_msg=c)
+
+
+def test_rows_are_numbered_over_many_tasks(spark):
+    rows = [(k, i * 3) for k, n in (("a", 500), ("b", 1), ("c", 77)) for i in range(n)]
+    got = numbered(spark.createDataFrame(rows, "rec string, t long").repartition(6), ["rec"], ["t"])
+    assert sorted(tuple(r) for r in got.collect()) == sorted((k, t, t // 3) for k, t in rows)
+
+
 def test_stream_layer_equals_causal_batch(spark):
     df = frame(120)
     batch = R.risk_frame(spark.createDataFrame(df), ["rec", "subject"], s=SMALL, mode="causal")
