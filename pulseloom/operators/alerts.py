@@ -1,7 +1,9 @@
-"""Alerts against seizures: as-of and range joins on the recording, and their metrics.
+"""Alerts against seizures: as-of searches and interval joins within a recording, and their metrics.
 
-Every range join carries the recording as an equality key, so it is a hash join
-with a residual condition, never a nested loop.
+Whether a moment lies in some interval, and which alert was the last before it,
+are as-of questions: the greatest end, or alert, so far. They are answered by one
+sort of both sides together (`scan.latest`), without a join. Where pairs are
+wanted (alignment to onsets), intervals are dealt to cells of time.
 """
 
 from __future__ import annotations
@@ -9,39 +11,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseloom.operators.scan import latest, overlaps
+
 
 def label_windows(windows: DataFrame, seizures: DataFrame, keys: list[str]) -> DataFrame:
     """Adds `label`: 1 if the window [t_start_s, t_end_s] touches any seizure [onset_s, end_s] (both closed), else 0.
 
-    Intervals travel as one array per recording, so windows don't multiply.
+    It does if, of the seizures that begin by its end, the last to end ends at its start or later.
     """
-    spans = seizures.groupBy(*keys).agg(F.collect_list(F.struct("onset_s", "end_s")).alias("spans"))
-    hit = F.exists("spans", lambda z: (F.col("t_end_s") >= z["onset_s"]) & (F.col("t_start_s") <= z["end_s"]))
-    return windows.join(spans, keys, "left").withColumn("label", F.coalesce(hit, F.lit(False)).cast("int")).drop("spans")
+    seen = latest(windows, seizures, keys, F.col("t_end_s"), F.col("onset_s"), F.col("end_s"), "seen_")
+    return seen.withColumn("label", F.coalesce(F.col("seen_") >= F.col("t_start_s"), F.lit(False)).cast("int")).drop("seen_")
 
 
 def early_warning(alerts: DataFrame, seizures: DataFrame, keys: list[str]) -> DataFrame:
     """Each seizure with the last alert strictly before it: `last_alert`, `ewt` (null if none), `detected`."""
-    a = alerts.select(*keys, F.col("time").alias("alert_t"))
     s = seizures.select(*keys, "onset_s", "end_s")
-    near = s.join(a, keys, "left").where(F.col("alert_t").isNull() | (F.col("alert_t") < F.col("onset_s")))
-    near = near.groupBy(*keys, "onset_s", "end_s").agg(F.max("alert_t").alias("last_alert"))
-    out = s.join(near, [*keys, "onset_s", "end_s"], "left")
+    out = latest(s, alerts, keys, F.col("onset_s"), F.col("time"), F.col("time"), "last_alert", strict=True)
     return out.withColumn("ewt", F.col("onset_s") - F.col("last_alert")).withColumn("detected", F.col("last_alert").isNotNull())
 
 
 def false_alarms(alerts: DataFrame, seizures: DataFrame, keys: list[str], before_s: float = 60.0) -> DataFrame:
     """Alerts outside every closed [onset - before_s, end]."""
-    a, s = alerts.alias("a"), seizures.alias("s")
-    same = [F.col(f"a.{k}") == F.col(f"s.{k}") for k in keys]
-    inside = (F.col("a.time") >= F.col("s.onset_s") - before_s) & (F.col("a.time") <= F.col("s.end_s"))
-    return a.join(s, [*same, inside], "left_anti")
+    seen = latest(alerts, seizures, keys, F.col("time"), F.col("onset_s") - before_s, F.col("end_s"), "seen_")
+    return seen.where("NOT coalesce(seen_ >= time, false)").drop("seen_")
 
 
 def align_to_onset(rows: DataFrame, seizures: DataFrame, keys: list[str], pre_s: float = 600.0, post_s: float = 60.0) -> DataFrame:
     """Rows from `pre_s` before to `post_s` after each onset, with `onset_s` and `aligned` = time - onset."""
-    s = seizures.select(*keys, "onset_s").distinct()
-    near = rows.join(s, keys).where((F.col("time") >= F.col("onset_s") - pre_s) & (F.col("time") <= F.col("onset_s") + post_s))
+    s = seizures.select(*keys, "onset_s").distinct().withColumn("from_", F.col("onset_s") - pre_s).withColumn("to_", F.col("onset_s") + post_s)
+    near = overlaps(rows, s, keys, ("time", "time"), ("from_", "to_"), pre_s + post_s).drop("from_", "to_")
     return near.withColumn("aligned", F.col("time") - F.col("onset_s"))
 
 

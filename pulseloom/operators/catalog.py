@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.text import lobes_of
+from pulseloom.operators.sampling import hash_order, take_exact
+from pulseloom.sources.staging import staged
 
 
 def catalog_totals(recordings: DataFrame, seizures: DataFrame) -> DataFrame:
@@ -55,30 +57,81 @@ def flag_ecg(recordings: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def interictal_candidates(runs: DataFrame, seizures: DataFrame, length_s: float = 240.0, grid_s: int = 60, edge_s: int = 300, away_s: float = 1800.0) -> DataFrame:
-    """Grid starts of each run `(subject, run, duration_s)` that stay `away_s` from every seizure of the run."""
-    last = (F.col("duration_s") - edge_s - length_s).cast("long")
-    grid = runs.where(last >= edge_s).select("subject", "run", F.explode(F.sequence(F.lit(edge_s).cast("long"), last, F.lit(grid_s).cast("long"))).alias("t"))
-    g, s = grid.alias("g"), seizures.alias("s")
-    near = ~((F.col("g.t") + length_s <= F.col("s.onset_s") - away_s) | (F.col("g.t") >= F.col("s.onset_s") + F.col("s.duration_s") + away_s))
-    return g.join(s, [F.col("g.subject") == F.col("s.subject"), F.col("g.run") == F.col("s.run"), near], "left_anti")
+    """Grid starts of each run `(subject, run, duration_s)`, a row each, that stay `away_s` from every seizure of the run.
 
-
-def pick_interictal(candidates: DataFrame, need: DataFrame, seed: int = 0, apart_s: float = 240.0) -> DataFrame:
-    """Greedy non-overlapping pick per (subject, run) in hash order, then the first `need` per subject.
-
-    `candidates(subject, run, t[, ok])`; `need(subject, need)`. Rows whose `ok` is
-    false are skipped. Returns subject, run, t.
+    Each seizure blocks a range of grid numbers. Sorted by their begin, with the greatest end so far, the ranges leave gaps,
+    and only these are filled with grid starts: the work is linear in seizures and candidates.
+    """
+    key = ["subject", "run"]
+    grid = runs.select(*key, F.floor((F.col("duration_s") - edge_s - length_s - edge_s) / grid_s).alias("last")).where("last >= 0")
+    lo, hi = F.col("onset_s") - away_s - length_s, F.col("onset_s") + F.col("duration_s") + away_s  # both open
+    number = lambda t: (t - edge_s) / grid_s
+    blocked = seizures.select(*key, (F.floor(number(lo)) + 1).alias("a"), (F.ceil(number(hi)) - 1).alias("b")).where("a <= b AND b >= 0")
+    blocked = blocked.groupBy(*key, F.greatest("a", F.lit(0)).alias("a")).agg(F.max("b").alias("b"))  # no more rows than the run's grid
+    ends = grid.select(*key, (F.col("last") + 1).alias("a"), F.lit(None).cast("long").alias("b"), "last")
+    w = Window.partitionBy(*key).orderBy("a", F.asc_nulls_last("last"))
+    free = F.coalesce(F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(0))
+    marked = blocked.withColumn("last", F.lit(None).cast("long")).unionByName(ends).withColumn("free", free).withColumn("last", F.max("last").over(Window.partitionBy(*key)))
+    gaps = marked.withColumn("upto", F.least(F.col("a") - 1, "last")).where("last IS NOT NULL AND free <= upto").select(*key, "free", "upto").distinct()
+    return gaps.select(*key, F.explode(F.transform(F.sequence("free", "upto"), lambda i: i * grid_s + edge_s)).alias("t"))
+
+
+def first_come(rows: DataFrame, apart_s: float) -> DataFrame:
+    """Rows (subject, run, t, h) that a greedy pass in the order of (h, t) keeps when kept ones of a run are `apart_s` apart.
+
+    The maximal independent set by rounds of local minima: a row that is first among all undecided ones near it is kept,
+    those near it drop out. A round looks at neighbours in time only.
+    """
+    near = Window.partitionBy("subject", "run").orderBy("t").rangeBetween(-int(apart_s) + 1, int(apart_s) - 1)
+    left, kept = staged(rows.select("subject", "run", F.col("t").cast("long").alias("t"), "h"), "undecided"), None
+    while True:
+        first = left.withColumn("first", F.min(F.struct("h", "t")).over(near) == F.struct("h", "t"))
+        told = staged(first.withColumn("beside", F.max("first").over(near)), "round")
+        won = told.where("first").select("subject", "run", "t", "h")
+        kept = won if kept is None else kept.unionByName(won)
+        left = told.where("NOT beside").select("subject", "run", "t", "h")
+        if left.isEmpty():
+            return kept
+
+
+def pick_interictal(candidates: DataFrame, need: DataFrame, seed: int = 0, apart_s: float = 240.0, quality=None, factor: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Greedy pick of `need(subject, need)` candidates `(subject, run, t)` per subject in the order of a seeded hash.
+
+    A candidate is passed over if it is less than `apart_s` from one picked before it in its run ("overlap"), else if
+    `quality(candidates)` gives it a `reason` (a column that it adds; null: good). Only the first `factor` times the need are
+    judged; where they don't suffice, twice as many, until the need is met or all are judged. Returns the picks
+    (subject, run, t) and, by subject and reason, how many were passed over up to the last pick (`rejected`).
     """
-    ok = candidates.where("ok") if "ok" in candidates.columns else candidates
-    mark = F.xxhash64(F.lit(seed), "subject", "run", "t")
-    order = F.sort_array(F.collect_list(F.struct(mark.alias("h"), F.col("t").cast("long").alias("t"))))
-    per = ok.groupBy("subject", "run").agg(order.alias("c"))
-    empty = F.expr("CAST(array() AS array<struct<h: bigint, t: bigint>>)")
-    free = lambda acc, x: ~F.exists(acc, lambda y: F.abs(y["t"] - x["t"]) < apart_s)
-    kept = F.aggregate("c", empty, lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
-    rows = per.select("subject", "run", F.explode(kept).alias("x")).select("subject", "run", "x.h", "x.t")
-    rank = F.row_number().over(Window.partitionBy("subject").orderBy("h", "run", "t"))
-    return rows.withColumn("r", rank).join(need, "subject").where(F.col("r") <= F.col("need")).select("subject", "run", "t")
+    ids = ["subject", "run", "t"]
+    quality = quality or (lambda df: df.withColumn("reason", F.lit(None).cast("string")))
+    pool = staged(candidates.select("subject", "run", F.col("t").cast("long").alias("t")).join(need.where("need > 0").select("subject", "need"), "subject"), "pool")
+    sizes = staged(pool.groupBy("subject", "need").agg(F.count("*").alias("all")), "sizes")
+    judged, times = None, factor
+    asking = sizes.select("subject", (F.col("need") * times).alias("limit"))
+    while True:
+        some = take_exact(pool, ["subject"], asking, seed, ids).select(*ids)
+        if judged is not None:
+            some = some.join(judged.select(*ids), ids, "left_anti")
+        new = quality(some).select(*ids, hash_order(seed, *ids).alias("h"), "reason")
+        judged = staged(new if judged is None else judged.unionByName(new), "judged")
+        kept = first_come(judged.where("reason IS NULL"), apart_s)
+        rank = F.row_number().over(Window.partitionBy("subject").orderBy("h", "run", "t"))
+        # No more rows a subject than the candidates judged for it, a multiple of its need.
+        picked = staged(kept.withColumn("r", rank).join(need.select("subject", "need"), "subject").where("r <= need"), "picked")
+        got = picked.groupBy("subject").agg(F.count("*").alias("got"))
+        short = sizes.join(got, "subject", "left").where(f"coalesce(got, 0) < need AND need * {times} < all")
+        if short.isEmpty():
+            break
+        times *= 2
+        asking = staged(short.select("subject", (F.col("need") * times).alias("limit")), "asking")
+    upto = picked.groupBy("subject").agg(F.max(F.when(F.col("r") == F.col("need"), F.struct("h", "run", "t"))).alias("upto"))
+    near = Window.partitionBy("subject", "run").orderBy("t").rangeBetween(-int(apart_s) + 1, int(apart_s) - 1)
+    mark = picked.select(*ids, F.lit(True).alias("p"))
+    seen = judged.join(mark, ids, "left").withColumn("before", F.min(F.when(F.col("p"), F.struct("h", "run", "t"))).over(near))
+    own = F.struct("h", "run", "t")
+    seen = seen.join(upto, "subject", "left").where(F.col("p").isNull() & (F.col("upto").isNull() | (own < F.col("upto"))))
+    why = F.when(F.col("before") < own, "overlap").otherwise(F.coalesce("reason", F.lit("overlap")))
+    return picked.select(*ids), seen.groupBy("subject", why.alias("reason")).agg(F.count("*").alias("rejected"))
 
 
 def segment_requests(audit: DataFrame, ictal: bool = True, preictal_s: float = 240.0) -> DataFrame:

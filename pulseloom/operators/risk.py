@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import WindowSpec
 
-from pulseloom.operators.scan import Running, block_moments, numbered, with_halo
+from pulseloom.operators.scan import Running, block_moments, latest, numbered, with_halo
 from pulseloom.sources.staging import staged
 
 #: Rows of a recording that one call of the grouped helper gets, beside those its windows reach back to.
@@ -226,20 +226,43 @@ def greedy_keep(sorted_positions: Column, gap: int, strict: bool = True, first_a
     return F.aggregate(F.transform(sorted_positions, lambda v: v.cast("bigint")), start, step, lambda a: a["kept"])
 
 
+def spaced(rows: DataFrame, keys: list[str], gap: int, first_at: int, at: str = "win_idx") -> DataFrame:
+    """Distinct positions `rows(keys, at)` -> those a greedy pass keeps: more than `gap` after the last kept one (`first_at` to begin with).
+
+    No recording is gathered. Every position has a next one, the first more than `gap` later, found by an as-of search. A
+    position that is more than `gap` after the one before it is kept whatever happened earlier; from these the links are
+    followed, twice as far in each round.
+    """
+    w = Window.partitionBy(*keys).orderBy(at)
+    rows = rows.where(F.col(at) > first_at + gap).select(*keys, F.col(at).cast("long").alias(at)).distinct()
+    back = F.col(at) - F.lag(at).over(w)
+    heads = rows.withColumn("head_", back.isNull() | (back > gap))
+    linked = latest(heads, rows, keys, -(F.col(at) + gap + 1), -F.col(at), -F.col(at), "next_", bucket=float(1 << 16))
+    linked = staged(linked.select(*keys, at, "head_", (-F.col("next_")).alias("next_")), "links")
+    kept, jumps = linked.where("head_").select(*keys, at), linked.where("next_ IS NOT NULL").select(*keys, at, "next_")
+    while True:
+        reached = kept.join(jumps, [*keys, at]).select(*keys, F.col("next_").alias(at))
+        more = staged(reached.join(kept, [*keys, at], "left_anti").distinct(), "reached")
+        if more.isEmpty():
+            return kept
+        kept = staged(kept.unionByName(more), "kept")
+        far = jumps.select(*keys, F.col(at).alias("next_"), F.col("next_").alias("far_"))
+        jumps = staged(jumps.join(far, [*keys, "next_"]).select(*keys, at, F.col("far_").alias("next_")), "jumps")
+
+
 def cooldown_alerts(risk: DataFrame, seizures: DataFrame, keys: list[str], s: RiskSettings = RiskSettings(), scope: str = "published") -> DataFrame:
     """Rows of `risk` that raise an alert: keys, win_idx, time.
 
-    Only candidate rows are gathered, per recording, and thinned by one greedy
-    fold. "published": from `lookback_s` before the first seizure to the end of
-    the recording, nothing in recordings without seizures. "full": everywhere.
+    Only candidate rows are looked at, and thinned by `spaced`. "published": from
+    `lookback_s` before the first seizure to the end of the recording, nothing in
+    recordings without seizures. "full": everywhere.
     """
     rows = risk.where("candidate").select(*keys, "win_idx", "time")
     if scope == "published":
         first = seizures.groupBy(*keys).agg(F.min("onset_s").alias("first_onset"))
         rows = rows.join(first, keys).where(F.col("first_onset") - F.col("time") <= s.lookback_s)
-    idx = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("win_idx")).alias("idx"))
-    kept = idx.select(*keys, F.explode(greedy_keep(F.col("idx"), s.cooldown, True, -s.cooldown)).alias("win_idx"))
-    return rows.select(*keys, "win_idx", "time").join(kept, [*keys, "win_idx"])
+    rows = staged(rows.select(*keys, "win_idx", "time"), "candidates")
+    return rows.join(spaced(rows, keys, s.cooldown, -s.cooldown), [*keys, "win_idx"])
 
 
 def risk_zone(x: Column) -> Column:

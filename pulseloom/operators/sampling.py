@@ -19,6 +19,11 @@ def seeded(seed: int, *ids: str) -> Column:
     return F.xxhash64(F.lit(seed), *ids)
 
 
+def hash_order(seed: int, *ids: str) -> Column:
+    """The order in which `take_exact` takes rows: that of `seeded` read as unsigned."""
+    return seeded(seed, *ids).bitwiseXOR(F.lit(-(1 << 63)))
+
+
 def take_exact(df: DataFrame, group: list[str], limits: DataFrame, seed: int, ids: list[str], ranges: int = RANGES) -> DataFrame:
     """The first `limit` rows of each group in hash order; `limits(group, limit)`."""
     bits = (ranges - 1).bit_length()

@@ -72,3 +72,44 @@ class Running:
     def last(self, name: str, n: int) -> Column:
         """Sum of the last n rows."""
         return F.col(name) - F.coalesce(F.lag(name, n).over(self.w), F.lit(0.0))
+
+
+_FIRST = float("-inf")
+
+
+def latest(rows: DataFrame, facts: DataFrame, keys: list[str], at: Column, fact_at: Column, value: Column, name: str, strict: bool = False, bucket: float = 3600.0) -> DataFrame:
+    """Adds `name` to each of `rows`: the greatest `value` of the facts of its recording up to `at` (before it, if `strict`).
+
+    An as-of search without a join: rows and facts are sorted together once, in buckets of time, and the greatest value so
+    far is carried along; what earlier buckets hold comes in as one more row of each bucket. Linear in rows and facts, and a
+    task's group is a bucket, not a recording. Facts without a time are not seen; a row without one sees none.
+    """
+    asks, kind = rows.select(*keys, at.cast("double").alias("t_"), F.struct(*rows.columns).alias("row_")), facts.select(value.alias("v")).schema["v"].dataType
+    told = facts.select(*keys, fact_at.cast("double").alias("t_"), value.alias("value_")).where("t_ IS NOT NULL")
+    tag = F.lit(0 if strict else 2)
+    both = asks.withColumn("value_", F.lit(None).cast(kind)).withColumn("tag_", tag).unionByName(told.withColumn("row_", F.lit(None).cast(asks.schema["row_"].dataType)).withColumn("tag_", F.lit(1)))
+    both = both.withColumn("bucket_", F.floor(F.col("t_") / bucket))
+    earlier = Window.partitionBy(*keys).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(*keys, "bucket_").agg(F.max("value_").alias("value_")).withColumn("value_", F.max("value_").over(earlier)).where("value_ IS NOT NULL AND bucket_ IS NOT NULL")
+    carried = carried.select(*keys, F.lit(_FIRST).alias("t_"), F.lit(None).cast(asks.schema["row_"].dataType).alias("row_"), "value_", F.lit(-1).alias("tag_"), "bucket_")
+    sofar = Window.partitionBy(*keys, "bucket_").orderBy("t_", "tag_").rowsBetween(Window.unboundedPreceding, 0)
+    return both.unionByName(carried).withColumn("best_", F.max("value_").over(sofar)).where("row_ IS NOT NULL").select("row_.*", F.col("best_").alias(name))
+
+
+def cells(lo: Column, hi: Column, width: float) -> Column:
+    """The cells of a grid that a closed interval touches, none if an end is missing or the interval is empty."""
+    a, b = F.floor(lo / width), F.floor(hi / width)
+    return F.when(lo <= hi, F.sequence(a, b)).otherwise(F.expr("CAST(array() AS array<bigint>)"))
+
+
+def overlaps(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: float = 600.0) -> DataFrame:
+    """Pairs of rows of a recording whose closed intervals touch: `left.*` and the columns of `right` besides the keys.
+
+    Intervals are dealt to the cells of a grid that they touch and joined by (recording, cell); a pair that shares several
+    cells belongs to the one in which the later of the two begins. With a width near the usual length, the rows met are
+    linear in the pairs that come out. The columns of both sides, but for the keys, have different names.
+    """
+    (a, b), (c, d) = left_span, right_span
+    met = left.withColumn("cell_", F.explode(cells(F.col(a), F.col(b), width))).join(right.withColumn("cell_", F.explode(cells(F.col(c), F.col(d), width))), [*keys, "cell_"])
+    met = met.where((F.col(a) <= F.col(d)) & (F.col(c) <= F.col(b)) & (F.floor(F.greatest(a, c) / width) == F.col("cell_")))
+    return met.select(*left.columns, *[x for x in right.columns if x not in keys])

@@ -297,10 +297,21 @@ def interictal_candidates(spark, sf_dir):
     return _free(spark, sf_dir).select("subject", "run", "t")
 
 
+def _picks(spark, sf_dir):
+    """A pick of a fifth of the annotations' number; the signals' quality stands in the candidate's grid number."""
+    need = view(spark, sf_dir, "fx_annot").groupBy("subject").agg(F.bround(F.count("*") * 0.2, 0).cast("int").alias("need"))
+    reason = F.expr("CASE WHEN t DIV 60 % 5 = 0 THEN 'ecg' WHEN t DIV 60 % 7 = 0 THEN 'eeg' END")
+    return C.pick_interictal(_free(spark, sf_dir), need, seed=7, quality=lambda df: df.withColumn("reason", reason))
+
+
 @query()
 def interictal_picks(spark, sf_dir):
-    need = view(spark, sf_dir, "fx_annot").groupBy("subject").agg(F.bround(F.count("*") * 0.2, 0).cast("int").alias("need"))
-    return C.pick_interictal(_free(spark, sf_dir), need, seed=7)
+    return _picks(spark, sf_dir)[0]
+
+
+@query()
+def interictal_rejections(spark, sf_dir):
+    return _picks(spark, sf_dir)[1]
 
 
 _SEGMENTS = f"{_AUDIT.strip()}, rq AS (SELECT us.*, 'preictal' AS kind, onset_s - 240 AS t0_s, CAST(240 AS DOUBLE) AS dur_s FROM us WHERE usable UNION ALL SELECT us.*, 'ictal', onset_s, duration_s FROM us WHERE usable)"

@@ -1,5 +1,9 @@
 """Boundary cases of the audit as golden rows."""
 
+import random
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from pulseloom.functions import text as X
@@ -50,14 +54,50 @@ def test_scalar_functions(spark):
     assert r["mc"]["missing"] == ["T5"] and not r["mc"]["montage_ok"] and r["mc"]["cardiac"] == ["EKG"]
 
 
-def test_picks_keep_apart(spark):
-    c = spark.createDataFrame([("s", r, 300 + 60 * i) for r in (1, 2) for i in range(40)], "subject string, run int, t long")
-    need = spark.createDataFrame([("s", 9)], "subject string, need int")
-    got = C.pick_interictal(c, need, seed=1).collect()
-    assert len(got) == 9
-    for a in got:
-        assert all(a is b or a["run"] != b["run"] or abs(a["t"] - b["t"]) >= 240 for b in got)
-    assert {tuple(r) for r in got} == {tuple(r) for r in C.pick_interictal(c.repartition(7), need, seed=1).collect()}
+def greedy(candidates, need, seed, apart, reasons):
+    """The sequential pass, per subject: picks, and rejections by reason up to the last pick."""
+    picks, rejected = set(), Counter()
+    for subject in need:
+        chosen = []
+        for _, s, run, t in sorted(c for c in candidates if c[1] == subject):
+            if len(chosen) == need[subject]:
+                break
+            if any(r == run and abs(t - u) < apart for r, u in chosen):
+                rejected[subject, "overlap"] += 1
+            elif reasons.get(t):
+                rejected[subject, reasons[t]] += 1
+            else:
+                chosen.append((run, t))
+                picks.add((subject, run, t))
+    return picks, dict(rejected)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_picks_equal_the_sequential_pass(spark, seed):
+    rows = [(s, r, 300 + 60 * i) for s, n in (("a", 40), ("b", 9), ("c", 25)) for r in (1, 2) for i in range(n)]
+    need = {"a": 9, "b": 30, "c": 5, "d": 3}
+    c = spark.createDataFrame(rows, "subject string, run int, t long").repartition(3)
+    order = [(r["h"], *r[:3]) for r in c.select("*", S.hash_order(seed, "subject", "run", "t").alias("h")).collect()]
+    reasons = {t: "ecg" if t % 180 == 0 else "eeg" for t in range(300, 4000, 60) if t % 180 == 0 or t % 420 == 0}
+    judge = lambda df: df.withColumn("reason", F.expr("CASE WHEN t % 180 = 0 THEN 'ecg' WHEN t % 420 = 0 THEN 'eeg' END"))
+    picked, rejected = C.pick_interictal(c, spark.createDataFrame(list(need.items()), "subject string, need int"), seed, quality=judge, factor=1)
+    picks, passed = greedy(order, need, seed, 240, reasons)
+    assert {tuple(r) for r in picked.collect()} == picks and {(r[0], r[1]): r[2] for r in rejected.collect()} == passed
+
+
+def test_candidates_fill_the_gaps_between_many_seizures(spark):
+    r = random.Random(3)
+    runs = [("s", i, r.choice([100.0, 780.0, 5000.0, 40_000.0, 40_030.5])) for i in range(12)]
+    seizures = [("s", i, r.uniform(-100, d + 50), r.choice([0.0, 20.0, 33.3, 4000.0])) for _, i, d in runs[1:] for _ in range(r.choice([0, 1, 2, 6]))] + [("s", 3, None, 5.0), ("t", 3, 500.0, 5.0)]
+    got = C.interictal_candidates(spark.createDataFrame(runs, "subject string, run int, duration_s double"), spark.createDataFrame(seizures, "subject string, run int, onset_s double, duration_s double"))
+    want = []
+    for s, run, d in runs:
+        t = 300
+        while t <= d - 540:
+            if all(t + 240 <= on - 1800 or t >= on + du + 1800 for z, q, on, du in seizures if (z, q) == (s, run) and on is not None):
+                want.append((s, run, t))
+            t += 60
+    assert sorted(tuple(x) for x in got.collect()) == want and len(want) > 500
 
 
 def test_exact_samples_don_t_depend_on_partitioning(spark):

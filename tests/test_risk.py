@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -6,8 +8,9 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pulseloom.operators import alerts as L
 from pulseloom.operators import risk as R
-from pulseloom.operators.scan import numbered
+from pulseloom.operators.scan import latest, numbered, overlaps
 from pulseloom.streaming.risk import CausalRisk
 
 SMALL = R.RiskSettings(smooth=4, median=12, median_min=5, baseline=20, baseline_min=6, fp_short=6, fp_long=15, trend=3, trend_long=8, z=10, peak=8, min_fp_short=0.05, min_fp_long=0.05, min_trend=0.0, min_z=0.2, cooldown=9)
@@ -122,3 +125,43 @@ def test_medians_of_blocks_equal_those_of_whole_recordings(spark, monkeypatch):
     for new, n, least in (("m", 7, 3), ("k", 20, 1)):
         np.testing.assert_allclose(got[new].to_numpy(float), want.groupby("rec")["v"].rolling(n, min_periods=least).median().to_numpy())
     assert len(got) == len(rows)
+
+
+def test_as_of_search_and_interval_pairs_equal_loops(spark):
+    r = random.Random(4)
+    facts = [(r.choice("ab"), r.choice([r.uniform(0, 9000), float(r.randrange(0, 9000, 600))]), float(r.randrange(50))) for _ in range(60)] + [("a", None, 99.0)]
+    rows = [(r.choice("abc"), r.choice([r.uniform(-10, 9500), float(r.randrange(0, 9000, 600)), None]), i) for i in range(80)]
+    f, q = spark.createDataFrame(facts, "rec string, at double, v double"), spark.createDataFrame(rows, "rec string, t double, i int")
+    for strict in (False, True):
+        got = latest(q, f, ["rec"], F.col("t"), F.col("at"), F.col("v"), "best", strict, bucket=700.0)
+        hit = lambda t, a: t is not None and a is not None and (a < t if strict else a <= t)
+        want = sorted((i, max((v for k, a, v in facts if k == rec and hit(t, a)), default=None)) for rec, t, i in rows)
+        assert sorted((x["i"], x["best"]) for x in got.collect()) == want
+    spans = [(r.choice("ab"), a, a + r.choice([0, 3, 40, 900, -1]), i) for i in range(60) for a in [r.randrange(0, 3000)]]
+    left = spark.createDataFrame([(k, float(a), float(b), i) for k, a, b, i in spans], "rec string, a double, b double, i int")
+    right = spark.createDataFrame([(k, float(c), float(d), j) for k, c, d, j in spans[::2]], "rec string, c double, d double, j int")
+    pairs = sorted((x["i"], x["j"]) for x in overlaps(left, right, ["rec"], ("a", "b"), ("c", "d"), 100.0).collect())
+    assert pairs == sorted((i, j) for k, a, b, i in spans for q, c, d, j in spans[::2] if k == q and a <= b and c <= d and a <= d and c <= b)
+
+
+def test_many_intervals_in_one_recording(spark):
+    n = 100_000
+    seizures = spark.range(n).select(F.lit(1).alias("rec"), (F.col("id") * 10.0).alias("onset_s"), (F.col("id") * 10.0 + 2).alias("end_s"))
+    windows = spark.range(n).select(F.lit(1).alias("rec"), (F.col("id") * 10.0 + F.col("id") % 10).alias("t_start_s"), (F.col("id") * 10.0 + F.col("id") % 10 + 1).alias("t_end_s"))
+    assert L.label_windows(windows, seizures, ["rec"]).agg(F.sum("label")).first()[0] == n // 10 * 4 - 1  # offsets 0, 1, 2 touch their own, 9 the next one
+    near = L.align_to_onset(windows.select("rec", F.col("t_start_s").alias("time")), seizures, ["rec"], 5.0, 4.0)
+    assert near.count() == n - 1 and near.agg(F.min("aligned"), F.max("aligned")).first()[0] >= -5
+
+
+@pytest.mark.parametrize("gap", [0, 3, 40])
+def test_spaced_equals_the_fold_over_recordings(spark, gap):
+    r = random.Random(gap)
+    rows = [(k, i) for k, top, n in (("a", 3000, 900), ("b", 200, 30), ("c", 90, 90)) for i in sorted(r.sample(range(top), n))]
+    kept = set()
+    for k in "abc":
+        last = -gap
+        for i in (i for q, i in rows if q == k):
+            if i - last > gap:
+                kept.add((k, i))
+                last = i
+    assert {tuple(x) for x in R.spaced(spark.createDataFrame(rows, "rec string, win_idx long"), ["rec"], gap, -gap).collect()} == kept
