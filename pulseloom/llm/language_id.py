@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from pulseloom.llm.common import crc_bucket, map_texts, stage, table
 
-REF_PASSAGES, REF_CHARS, PASSAGE, MAX_LANGUAGES = 64, 40_000, 1000, 1000
+REF_PASSAGES, REF_CHARS, PASSAGE = 64, 40_000, 1000
+#: Automata that a worker holds at a time, some 10 MB each.
+BLOCK_LANGUAGES = 32
 SEGMENT, PAD = 1024, 255  # no UTF-8 text holds byte 255
 FEW = 12
 _QUICK = re.compile(r"[\W\d_]+")  # all but letters and rare numerals
@@ -161,11 +163,9 @@ def reference_texts(labelled: DataFrame, ref_passages: int = REF_PASSAGES, ref_c
     """
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = stage(labelled.groupBy("lang").agg(F.sum(F.ceil(F.length("text") / PASSAGE)).alias("n")).where("n > 0"), "sizes")
-    if sizes.count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn; each one's reference text is sent to all tasks")
     cut = labelled.select("lang", F.col("doc_id"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE}}}"), F.lit(0))).alias("at", "text"))
     place = F.pmod(F.xxhash64(F.lit(17), "doc_id", "at", "text"), F.lit(1 << 40))
-    drawn = cut.select("lang", place.alias("place"), "text").join(F.broadcast(sizes), "lang")  # at most MAX_LANGUAGES rows
+    drawn = cut.select("lang", place.alias("place"), "text").join(sizes, "lang")  # a row for each language
     rows = drawn.where(F.col("place") * F.col("n") < F.lit(ref_passages * (1 << 40)).cast("double")).select("lang", "place", "text").distinct().collect()
     out: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["place"], r["text"])):
@@ -174,41 +174,76 @@ def reference_texts(labelled: DataFrame, ref_passages: int = REF_PASSAGES, ref_c
     return {k: " ".join(v)[:ref_chars] for k, v in out.items()}
 
 
-def predict(docs: DataFrame, labelled: DataFrame, carry: list[str], ref_passages: int = REF_PASSAGES, ref_chars: int = REF_CHARS) -> DataFrame:
-    """`carry` columns of docs, lang_pred, score and match_len (mean bytes per phrase of the winner).
+def predict(docs: DataFrame, labelled: DataFrame, carry: list[str], ref_passages: int = REF_PASSAGES, ref_chars: int = REF_CHARS, block: int = BLOCK_LANGUAGES) -> DataFrame:
+    """`carry` columns of docs, lang_pred, score, match_len (mean bytes per phrase of the winner) and bits.
 
-    `und`, score 0: text null or without a letter, or nothing to learn from. More than MAX_LANGUAGES languages are an error.
+    `und`, score 0: text null or without a letter, or nothing to learn from.
     score: 1 - (winner's normalised phrases / runner-up's), 1 with one language.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(reference_texts(labelled, ref_passages, ref_chars))
+    bits: what the winner's phrases but the last cost by byte, log2(reference length) each; 0 for a text of one phrase. Low
+    where the text reads like the winner's reference, high where it is like none.
 
-    def judge(texts, _):
-        refs = sent.value
-        key = hash(tuple(sorted(refs.items())))
+    More than `block` languages are parsed block by block, with the best so far carried along, so that a worker holds the
+    automata of one block.
+    """
+    refs = sorted(reference_texts(labelled, ref_passages, ref_chars).items())
+    blocks = [refs[i : i + block] for i in range(0, len(refs), block)] or [[]]
+    out, known = docs, []
+    for i, some in enumerate(blocks):
+        last = i == len(blocks) - 1
+        names = carry if last else [*carry, *(["text"] if "text" not in carry else [])]
+        seen = map_texts(out, _judge(docs.sparkSession.sparkContext.broadcast(some), len(names) if known else None), _RUNNING, [*names, *known])
+        fresh = [f"{c}_{i}" for c in _NAMES]
+        out = seen.toDF(*names, *known, *fresh).select(*names, *fresh)
+        if not last:
+            out = stage(out, "languages")
+        known = fresh
+    lang, least, second, phrases, size, bits = (F.col(c) for c in known)
+    none = lang.isNull()
+    return out.select(
+        *carry, F.coalesce(lang, F.lit("und")).alias("lang_pred"), F.when(none, F.lit(0.0)).when(second.isNull(), F.lit(1.0)).otherwise(1 - least / second).alias("score"),
+        F.when(none, F.lit(0.0)).otherwise(size / phrases).alias("match_len"), F.when(none, F.lit(0.0)).otherwise(bits).alias("bits"),
+    )
+
+
+_RUNNING = "lang_ string, least_ double, second_ double, phrases_ double, size_ double, bits_ double"
+_NAMES = [c.split()[0] for c in _RUNNING.split(", ")]
+
+
+def _judge(sent, at: int | None):
+    """The winner and the two least costs of each text over a block of languages, and over earlier blocks, whose columns begin at `at`."""
+
+    def judge(texts, batch):
+        key = hash(tuple(sent.value))
         if key not in _built:
             _built.clear()
-            _built[key] = [Parser(lang, t) for lang, t in sorted(refs.items())]
+            _built[key] = [Parser(lang, t) for lang, t in sent.value]
         models = _built[key]
         clean = [letters(t).encode("utf-8", "replace") for t in texts]
         size = np.array([len(c) for c in clean])
-        lang, score, match = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts))
+        lang, numbers = np.full(len(texts), None, object), np.full((5, len(texts)), np.nan)
         live = np.flatnonzero(size > 0)
+        if at is not None:
+            lang[:] = batch.column(at).to_pylist()
+            numbers[:] = [batch.column(at + 1 + j).to_numpy(zero_copy_only=False) for j in range(5)]
         if len(live) and models:
             lanes, owner = segments([clean[i] for i in live])
             counts = np.stack([np.bincount(owner, m.count(lanes, owner), len(live)) for m in models])
-            cost = counts * np.array([m.bits for m in models])[:, None] / size[live]
+            each = np.array([m.bits for m in models])
+            cost = counts * each[:, None] / size[live]
             best = np.argmin(cost, 0)  # the first, so the smaller name, on ties
-            least = np.take_along_axis(cost, best[None], 0)[0]
-            lang[live] = np.array([m.name for m in models], object)[best]
-            score[live] = 1 - least / np.sort(cost, 0)[1] if len(models) > 1 else 1.0
-            match[live] = size[live] / np.take_along_axis(counts, best[None], 0)[0]
-        return None, [lang.tolist(), score, match]
+            two = np.sort(np.concatenate([cost, np.nan_to_num(numbers[:2, live], nan=np.inf)]), 0)[:2]
+            won = ~(numbers[0, live] <= two[0])  # names of earlier blocks are smaller
+            n = np.take_along_axis(counts, best[None], 0)[0]
+            lang[live[won]] = np.array([m.name for m in models], object)[best[won]]
+            numbers[2, live[won]], numbers[3, live[won]], numbers[4, live[won]] = n[won], size[live[won]], (np.maximum(n - 1, 0) * each[best] / size[live])[won]
+            numbers[:2, live] = np.where(np.isinf(two), np.nan, two)
+        return None, [lang.tolist(), *([None if v != v else v for v in row.tolist()] for row in numbers)]
 
-    return map_texts(docs, judge, "lang_pred string, score double, match_len double", carry, most=3_000_000)
+    return judge
 
 
 def identify(docs: DataFrame, held_out: Column | None = None, ref_passages: int = REF_PASSAGES, ref_chars: int = REF_CHARS) -> DataFrame:
-    """One row per input row: doc_id, held_out, lang_pred, score, match_len. Learns from rows that are not held out and have a lang.
+    """One row per input row: doc_id, held_out, lang_pred, score, match_len, bits. Learns from rows that are not held out and have a lang.
 
     Null ids are allowed (their crc is that of the empty text); repeated rows give
     repeated results; an empty table gives an empty result; extra columns are ignored.

@@ -22,7 +22,7 @@ from pulseloom.llm.dart_minhash import near_duplicates, rare_links, signatures
 from pulseloom.llm.disclosure import find_personal_data
 from pulseloom.llm.exact_dedup import directory, exact_groups
 from pulseloom.llm.kneser_ney import quality
-from pulseloom.llm.language_id import Parser, identify
+from pulseloom.llm.language_id import Parser, identify, letters, predict, reference_texts
 from pulseloom.llm.packing import WINDOW, default_tokenizer, pack, plan, runs
 from pulseloom.llm.blocks import END, words_of
 from pulseloom.llm.ppm import ppm_scores, stream_keys
@@ -606,6 +606,24 @@ def test_references_come_from_whole_texts_and_null_ids(spark):
     assert 1000 < len(refs["en"]) <= 40_000 and refs["fr"] == "zz yy" and not text.startswith(refs["en"][:500])
 
 
+def test_language_blocks_carry_the_best_along(spark, docs):
+    few = docs.where("doc_id < 120").union(docs.sparkSession.createDataFrame([(None, None, None, None, None), (5, "", "zz", "s", 0)], docs.schema))
+    rows = [sorted((str(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in predict(few, docs, ["doc_id", "text"], block=b).collect())) for b in (32, 1)]
+    assert rows[0] == rows[1] and len(rows[0]) == few.count()
+
+
+def test_pipeline_stages_take_odd_tables(spark, docs):
+    import corpus_pipeline as P
+
+    odd = docs.where("doc_id < 40").union(spark.createDataFrame([(None, "Of the the and of that.", None, None, None), (7, None, "en", "s", 0), (7, "", None, "s", 0)], docs.schema))
+    odd = odd.union(odd.where("doc_id < 3")).withColumn("key", F.lit(1)).withColumn("lang_pred", F.lit("x")).withColumn("text_", F.lit(2))
+    for name, f in P.STAGES[:-1]:
+        kept = f(spark, odd, SF)
+        assert kept.columns == P.COLUMNS and f(spark, odd.limit(0), SF).count() == 0, name
+        assert kept.where("doc_id IS NULL").count() == 1, name
+    assert P.packing(spark, odd, SF).select("doc_id").distinct().count() == 41 and P.packing(spark, odd.limit(0), SF).count() == 0
+
+
 def test_language_held_out_accuracy(spark, docs):
     got = identify(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").where("held_out AND length(text) > 40")
     r = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("a"), F.count("*").alias("n")).first()
@@ -943,7 +961,8 @@ def test_pipeline_against_brute_force(spark, docs, texts):
     import corpus_pipeline as P
 
     assert [n for n, _f in P.STAGES] == ["language", "exact", "near", "decontaminate", "packing"]
-    more = {10**6: None, 10**6 + 1: "1234 !!", 10**6 + 2: " ", 10**6 + 3: None}
+    more = {10**6: None, 10**6 + 1: "1234 !!", 10**6 + 2: " ", 10**6 + 3: None, 10**6 + 4: "Все люди рождаются свободными и равными", 10**6 + 5: "qzxvkjq wqzzxkv jqxzvkw xqjzkvw qxkzjvw", 10**6 + 6: "Of the the and."}
+    texts = texts | more
     extra = spark.createDataFrame([(i, t, None, "s", 0) for i, t in more.items()], "doc_id long, text string, lang string, source string, n_chars long")
     every = docs.select(*P.COLUMNS).union(extra)
     kept = {}
@@ -951,7 +970,14 @@ def test_pipeline_against_brute_force(spark, docs, texts):
         every = f(spark, every, SF)
         assert every.columns == P.COLUMNS
         kept[name] = {r["doc_id"] for r in every.select("doc_id").collect()}
-    assert kept["language"] == {i for i, t in texts.items() if any(c.isalpha() for c in t)}
+    refs = reference_texts(docs)
+    fits = set()
+    for i, t in texts.items():
+        clean = letters(t or "").encode()
+        cost = min(((phrases_by_hand(clean, r.encode()) * math.log2(len(r.encode())), math.log2(len(r.encode()))) for r in refs.values()), default=(0, 0)) if clean else None
+        if cost and (cost[0] - cost[1]) / len(clean) <= P.MAX_BITS:
+            fits.add(i)
+    assert kept["language"] == fits and 10**6 + 6 in fits and not {10**6 + 4, 10**6 + 5} & fits
     first = {}
     for i in sorted(kept["language"]):
         first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", texts[i]), i)
