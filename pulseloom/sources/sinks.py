@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.functions.text import sample_timestamp_ms
+from pulseloom.sources.named import write_named
 
+#: The columns of the audit and manifest files, in their order.
 AUDIT_COLUMNS = [
     "subject", "run", "onset_s", "duration_s", "type", "localization", "lateralization", "vigilance", "since_prev_s", "since_prev_basis", "lead_seizure",
     "in_recording", "preictal_ok", "ecg_verdict", "bpm", "rr_cv", "ecg_mains_pct", "eeg_clean_pct", "eeg_notes", "usable", "usable_lead",
@@ -52,32 +54,25 @@ def training_rows(segments: DataFrame, fs: float = 256.0) -> DataFrame:
     return rows.select("split", "label", "segment_id", "idx", sample_timestamp_ms(F.col("idx"), fs).alias("timestamp"), *values)
 
 
+def export_files(segments: DataFrame, fs: float = 256.0) -> DataFrame:
+    """The export's files as rows (name, seq, data): `{split}/{label}.{segment_id}.csv`, a header and a line for each sample."""
+    channels = ["bte", "cross", *(["ecg"] if "ecg" in segments.columns else [])]
+    name = F.concat("split", F.lit("/"), "label", F.lit("."), F.col("segment_id").cast("string"), F.lit(".csv")).alias("name")
+    lines = training_rows(segments, fs).select(name, F.col("idx").cast("long").alias("seq"), F.concat(F.concat_ws(",", "timestamp", *channels), F.lit("\n")).alias("data"))
+    heads = segments.select(name, F.lit(-1).cast("long").alias("seq"), F.lit(",".join(["timestamp", *channels]) + "\n").alias("data"))
+    return heads.unionByName(lines)
+
+
 def write_training_export(segments: DataFrame, path: str, fs: float = 256.0, flat: bool = False) -> None:
     """A CSV file per segment, in folders by split, label and segment; `{split}/{label}.{segment_id}.csv` if `flat`.
 
-    Spark names its own files, so the flat names are given afterwards, by renaming (no data moves).
+    Flat files are written under their names by the tasks themselves; the driver moves nothing.
     """
+    if flat:
+        write_named(export_files(segments, fs), path)
+        return
     rows = training_rows(segments, fs).repartition("split", "label", "segment_id").sortWithinPartitions("split", "label", "segment_id", "idx")
     rows.drop("idx").write.mode("overwrite").partitionBy("split", "label", "segment_id").option("maxRecordsPerFile", 0).csv(path, header=True)
-    if flat:
-        _flatten(segments.sparkSession, path)
-
-
-def _flatten(spark: SparkSession, path: str) -> None:
-    """`split=s/label=l/segment_id=i/part-*.csv` -> `s/l.i.csv`; works on names alone."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    root = hadoop(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    value = lambda folder: spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getName().partition("=")[2])
-    for f in fs.globStatus(hadoop(root, "split=*/label=*/segment_id=*/part-*")):
-        at = f.getPath()
-        segment, label, split = at.getParent(), at.getParent().getParent(), at.getParent().getParent().getParent()
-        into = hadoop(root, value(split))
-        fs.mkdirs(into)
-        if not fs.rename(at, hadoop(into, f"{value(label)}.{value(segment)}.csv")):
-            raise OSError(f"cannot rename {at}")
-    for left in fs.globStatus(hadoop(root, "split=*")):
-        fs.delete(left.getPath(), True)
 
 
 def write_features(features: DataFrame, path: str, reuse: bool = True) -> DataFrame:

@@ -20,7 +20,8 @@ def test_export_has_a_file_per_segment(spark, tmp_path):
     assert sorted(str(p.relative_to(out)) for p in out.rglob("*.csv")) == ["testing/non_seizure.8.csv", "training/seizure.7.csv"]
     lines = (out / "training/seizure.7.csv").read_text().splitlines()
     assert lines[:2] == ["timestamp,bte,cross,ecg", "0.00000,1.00,0.00,9.00"] and lines[3] == "7.81250,-0.50,2.00,7.00" and len(lines) == 4
-    K.write_training_export(s.drop("ecg"), f"file://{out}", flat=True)
+    K.write_training_export(s.drop("ecg").where("segment_id = 8"), f"file://{out}", flat=True)
+    assert [str(p.relative_to(out)) for p in out.rglob("*") if p.is_file()] == ["testing/non_seizure.8.csv"] and not list(out.glob("_writing*"))
     assert (out / "testing/non_seizure.8.csv").read_text() == "timestamp,bte,cross\n0.00000,4.00,5.00\n"
 
 
@@ -63,3 +64,26 @@ def test_edges_and_order(spark):
     assert [r[0] for r in m.select(A.rising_edges(F.col("m"))).collect()] == [[0, 3, 5], [], None]
     e = spark.createDataFrame([("b", "2", 1.0), ("a", "10", 1.0), ("a", "9", 5.0)], "subject string, run string, onset_s double")
     assert [(r["subject"], r["run"]) for r in C.order_events(e).collect()] == [("a", "9"), ("a", "10"), ("b", "2")]
+
+
+def test_a_task_that_runs_again_leaves_one_file(tmp_path):
+    import pyarrow as pa
+
+    from pulseloom.sources.named import NamedFilesWriter
+
+    w = NamedFilesWriter(f"file://{tmp_path}/out", True)
+    batch = pa.RecordBatch.from_pydict({"name": ["a/x", "a/x", "b"], "seq": [0, 1, 0], "data": [b"1", b"2", b"3"]})
+
+    def broken():
+        yield batch
+        raise OSError("the executor is lost")
+
+    for rows in (broken(), iter([batch]), iter([batch])):
+        try:
+            w.write(rows)
+        except OSError:
+            pass
+    w.commit([])
+    assert {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()} == {"a/x": b"12", "b": b"3"}
+    NamedFilesWriter(f"file://{tmp_path}/out", False).abort([])
+    assert not list((tmp_path / "out").glob("_writing*"))

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from pulseloom.plans.extra import ORACLES, QUERIES
+from pulseloom.plans.files import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

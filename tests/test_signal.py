@@ -115,10 +115,40 @@ def test_edf_round_trip(spark, tmp_path):
     assert h["a.edf"]["duration_s"] == 10 and [c["n_samples"] for c in h["a.edf"]["channels"]] == [1000, 1000] and h["a.edf"]["start_ts"].year == 2015
     path = h["a.edf"]["path"]
     req = spark.createDataFrame([(path, 1, 2.5, 3.0, 1), (path, 0, 9.5, 3.0, 2), (path, 0, 20.0, 1.0, 3), (path, 7, 0.0, 1.0, 4)], "path string, ch int, t0_s double, dur_s double, id int")
-    got = {x["id"]: x for x in edf.read_segments(spark, req, str(tmp_path)).collect()}
+    got = {x["id"]: x for x in edf.read_segments(spark, req).collect()}
     np.testing.assert_allclose(got[1]["signal"], sig[1][250:550], atol=0.02)
     assert len(got[2]["signal"]) == 50 and got[3]["signal"] == [] and got[4]["signal"] is None
     assert edf.scan_runs(spark, str(tmp_path)).count() == 3
+    for split in (500, 1 << 20):  # splits within the file's ten records
+        rows = edf.read_edf(spark, str(tmp_path), split=split, records=3)
+        whole = {ch: np.concatenate([r["signal"] for r in sorted((r for r in rows.collect() if r["ch"] == ch), key=lambda r: r["first"])]) for ch in (0, 1)}
+        np.testing.assert_allclose(whole[0], sig[0], atol=0.02)
+        np.testing.assert_allclose(whole[1], sig[1], atol=0.02)
+    assert {(r["ch"], r["first"]) for r in rows.where("ch = 1 AND first > 0").collect()} == {(1, 300), (1, 600), (1, 900)}
+    assert rows.where(F.col("path") == str(tmp_path / "a.edf")).count() == 8 and rows.where("path = 'other.edf'").count() == 0
+
+
+def test_only_the_bytes_asked_for_are_read(tmp_path):
+    r = np.random.default_rng(0)
+    write_edf(tmp_path / "a.edf", [r.uniform(-400, 400, 1000)] * 2, 100, 10)
+    reads = []
+
+    class Watched:
+        def __init__(self, f):
+            self.f = f
+
+        def read_at(self, n, at):
+            reads.append((at, at + n))
+            return self.f.read_at(n, at)
+
+    import pyarrow.fs as fs
+
+    with fs.LocalFileSystem().open_input_file(str(tmp_path / "a.edf")) as f:
+        h = edf.read_header(Watched(f), f.size())
+        assert max(b for _, b in reads) == h["header"] == 768
+        reads.clear()
+        edf.decode(Watched(f), h, 1, 250, 300)
+        assert reads == [(768 + 2 * 400, 768 + 6 * 400)]
 
 
 def test_text_sources(spark, tmp_path):
