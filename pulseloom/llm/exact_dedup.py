@@ -2,19 +2,21 @@
 
 1. Prints: every text is normalised (white-space runs become one space) and gets
    a 64-bit key and its SHA-256; (id, key, SHA-256) is all that is written.
-2. Entries: prints are pre-aggregated by (key, SHA-256) before the shuffle, so a
-   text that a third of all rows share leaves each task once.
-3. Directory: it begins with few buckets and doubles by leading bits of the key.
+2. Directory: it begins with few buckets and doubles by leading bits of the key.
    Each round splits the buckets that hold more than `capacity` distinct keys,
    until none does; a bucket that is left whole is final.
+3. Insertion: a print goes to the bucket that owns its key, and only there meets
+   prints that are equal: entries are made in buckets, pre-aggregated before the
+   shuffle, so a text that a third of all rows share leaves each task once.
 4. Index: owner tasks get ranges of keys within buckets, chain the entries that
    share a key, and write them to the shared folder by bucket.
 5. Bytes: entries of more than one row are compared byte by byte, by grouping on
    the text itself. Only texts whose key shares its leading bits with such an
    entry travel for that. Where equal prints hide different texts, the chain
    gets an entry for each, with its text.
-6. Lookup: a row finds its bucket by the directory and its entry in that bucket
-   by key and SHA-256, and by the text where the chain has texts.
+6. Lookup: a row finds in its bucket its place in the chain of its key, by
+   SHA-256, and by the text where the chain has texts. Which texts are equal,
+   which row stays and how many there are is what that entry says.
 """
 
 from __future__ import annotations
@@ -87,14 +89,16 @@ def compared(prints: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def build_index(prints: DataFrame, slim: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
-    """The index (depth, prefix, key, chain, sha, norm, keep_id, group_size; norm is null unless prints are ambiguous) and its directory."""
-    entries = stage(slim.groupBy("key", "sha").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "entries")
+    """The index (depth, prefix, key, chain, sha, norm, keep_id, group_size; norm is null unless prints are ambiguous), and the prints by bucket."""
+    buckets = directory(slim.select("key"), capacity)
+    inserted = stage(placed(slim, buckets), "inserted")
+    bucket = ["depth", "prefix", "key", "sha"]
+    entries = stage(inserted.groupBy(*bucket).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "entries")
     unlike = compared(prints, entries)
     plain = entries.join(unlike.select("key", "sha").distinct(), ["key", "sha"], "left_anti").withColumn("norm", F.lit(None).cast("string"))
-    buckets = directory(entries.select("key"), capacity)
-    owned = placed(plain.unionByName(unlike), buckets)
+    owned = plain.unionByName(placed(unlike, buckets))
     chained = owned.withColumn("chain", F.row_number().over(Window.partitionBy("depth", "prefix", "key").orderBy("sha", "norm")))
-    return stage(chained.repartitionByRange("key").sortWithinPartitions("key", "chain"), "index"), buckets
+    return stage(chained.repartitionByRange("key").sortWithinPartitions("key", "chain"), "index"), inserted
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -108,13 +112,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     prints = fingerprints(docs, id_col, text_col)
     slim = stage(prints.select("doc_id", "key", "sha"), "prints")
-    index, buckets = build_index(prints, slim, capacity)
+    index, inserted = build_index(prints, slim, capacity)
     place = ["depth", "prefix", "key", "sha"]
-    found = placed(slim, buckets).join(index.where("norm IS NULL").select(*place, "keep_id", "group_size"), place)
+    found = inserted.join(index.where("norm IS NULL").select(*place, "keep_id", "group_size"), place)
     odd = index.where("norm IS NOT NULL")
     if not odd.isEmpty():
-        rows = placed(prints.join(odd.select("key", "sha").distinct(), ["key", "sha"], "left_semi"), buckets)
-        found = found.unionByName(rows.join(odd.select(*place, "norm", "keep_id", "group_size"), [*place, "norm"]).select(found.columns))
+        rows = prints.join(odd.select("key", "sha").distinct(), ["key", "sha"], "left_semi")
+        found = found.select("doc_id", "sha", "keep_id", "group_size").unionByName(rows.join(odd.select("key", "sha", "norm", "keep_id", "group_size"), ["key", "sha", "norm"]).select("doc_id", "sha", "keep_id", "group_size"))
     return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 

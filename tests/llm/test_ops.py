@@ -100,6 +100,15 @@ def test_exact_by_many_small_buckets_and_a_broken_directory(spark, docs, monkeyp
     assert 0 < exact_groups(docs, capacity=3).count() < len(whole)
 
 
+def test_exact_groups_are_made_in_buckets(spark, monkeypatch):
+    """A print that is dealt to another bucket than its twin's is equal to nothing there."""
+    real = exact_dedup.placed
+    astray = lambda rows, buckets: real(rows, buckets).withColumn("prefix", F.col("prefix") + F.when(F.col("doc_id") == 2, 1).otherwise(0)) if "doc_id" in rows.columns else real(rows, buckets)
+    monkeypatch.setattr(exact_dedup, "placed", astray)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_groups(frame(spark, ["p", "q", "p", "p"])).collect()}
+    assert got == {0: (0, 2), 1: (1, 1), 2: (2, 1), 3: (0, 2)}
+
+
 def test_exact_keeps_bytes_apart_when_prints_collide(spark, monkeypatch):
     real = exact_dedup.fingerprints
     monkeypatch.setattr(exact_dedup, "fingerprints", lambda *a: real(*a).withColumn("key", F.lit(1).cast("long")).withColumn("sha", F.lit("same")))
