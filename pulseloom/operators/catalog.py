@@ -236,7 +236,13 @@ def subject_info(subjects: DataFrame, info: DataFrame, columns: list[str], order
     return hit.withColumn("r", rank).where("r = 1").drop("r")
 
 
-def order_events(df: DataFrame, onset: str = "onset_s") -> DataFrame:
-    """By subject, run as a number, onset."""
-    return df.orderBy("subject", F.col("run").cast("int"), onset)
+def order_events(df: DataFrame, onset: str = "onset_s", *ties: str) -> DataFrame:
+    """By subject, run as a number, onset, then `ties`."""
+    return df.orderBy("subject", F.col("run").cast("int"), onset, *ties)
 
+
+
+def top_categories(df: DataFrame, column: str, k: int) -> DataFrame:
+    """The k most frequent values and their counts, by count and then by value, with their `place` from 1."""
+    n = df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(k)
+    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), column)))  # k rows

@@ -9,8 +9,13 @@ reached are ranked.
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 RANGES = 4096
 
@@ -46,15 +51,16 @@ def downsample_majority(df: DataFrame, label: str, ids: list[str], ratio: float
     return take_exact(df, [label], limits, seed, ids)
 
 
-def balance_classes(df: DataFrame, label: str, ids: list[str], seed: int = 0, by: list[str] | None = None) -> DataFrame:
-    """Both classes cut to the size of the smaller one (within each `by` group)."""
+def balance_classes(df: DataFrame, label: str, ids: list[str], seed: int = 0, by: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Both classes cut to the size of the smaller one (within each `by` group), or to `most` if that is less."""
     by = by or []
+    bound = (lambda n: F.least(n, F.lit(most).cast("long"))) if most is not None else (lambda n: n)
     n = df.groupBy(*by, label).agg(F.count("*").alias("n"))
     if by:
-        m = n.groupBy(*by).agg(F.min("n").alias("limit"), F.count("*").alias("c")).where("c > 1")
+        m = n.groupBy(*by).agg(bound(F.min("n")).alias("limit"), F.count("*").alias("c")).where("c > 1")
         limits = n.join(m, by).select(*by, label, "limit")
     else:
-        limits = n.crossJoin(n.agg(F.min("n").alias("limit"), F.count("*").alias("c")).where("c > 1")).select(label, "limit")  # one row
+        limits = n.crossJoin(n.agg(bound(F.min("n")).alias("limit"), F.count("*").alias("c")).where("c > 1")).select(label, "limit")  # one row
     return take_exact(df, [*by, label], limits, seed, ids)
 
 
@@ -66,23 +72,46 @@ def holdout_fraction(df: DataFrame, ids: list[str], seed: int = 0, parts: int =
     return df.join(val, ids, "left").withColumn("fold", F.when(F.col("v_"), "validation").otherwise("fit")).drop("v_")
 
 
-def dense_rank_index(df: DataFrame, group: list[str], ids: list[str], ranges: int = 256) -> DataFrame:
-    """Adds `pos` 0..n-1 within the group, and `n_group`, from counts by hash range."""
-    tagged = df.withColumn("r_", F.pmod(F.xxhash64(*ids), F.lit(ranges)))
-    counts = tagged.groupBy(*group, "r_").agg(F.count("*").alias("c_"))
-    w = Window.partitionBy(*group).orderBy("r_")
-    counts = counts.withColumn("before_", F.sum("c_").over(w) - F.col("c_")).withColumn("n_group", F.sum("c_").over(Window.partitionBy(*group)))
-    rank = F.row_number().over(Window.partitionBy(*group, "r_").orderBy(*ids)) - 1
-    return tagged.withColumn("k_", rank).join(counts.drop("c_"), [*group, "r_"]).withColumn("pos", F.col("before_") + F.col("k_")).drop("r_", "k_", "before_")
+#: Rows that a hash range holds on average, and draws that one array holds at most.
+RANGE_ROWS, RUN = 50_000, 4_096
+
+
+def split_draws(ranges: DataFrame, group: list[str], seed: int) -> DataFrame:
+    """`ranges(group, r_, c_, draws)` -> with `d_`, the draws of a group dealt to its ranges in proportion to their rows `c_`.
+
+    One multinomial draw for each group, seeded by the group, exact for any number of draws. What a task gets is a group's
+    ranges, not its rows.
+    """
+    schema = StructType([*ranges.schema.fields, StructField("d_", LongType())])
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("r_")
+        mark = "|".join(str(pdf.iloc[0][g]) for g in group)
+        rng = np.random.default_rng([seed & 0xFFFFFFFF, zlib.crc32(mark.encode())])
+        c = pdf["c_"].to_numpy(float)
+        return pdf.assign(d_=rng.multinomial(int(pdf.iloc[0]["draws"]), c / c.sum()))
+
+    return ranges.groupBy(*group).applyInPandas(deal, schema)
 
 
 def sample_with_replacement(df: DataFrame, group: list[str], wanted: DataFrame, ids: list[str], seed: int = 0) -> DataFrame:
-    """`wanted(group, draws)` -> exactly `draws` rows per group drawn with replacement, with `draw` 1..draws."""
-    indexed = dense_rank_index(df, group, ids)
-    sizes = indexed.groupBy(*group).agg(F.max("n_group").alias("n_group"))
-    picks = wanted.join(sizes, group).where("draws > 0").select(*group, "n_group", F.explode(F.sequence(F.lit(1).cast("long"), F.col("draws").cast("long"))).alias("draw"))
-    picks = picks.withColumn("pos", F.pmod(F.xxhash64(F.lit(seed), "draw", *group), F.col("n_group"))).drop("n_group")
-    return picks.join(indexed.drop("n_group"), [*group, "pos"]).drop("pos")
+    """`wanted(group, draws)` -> exactly `draws` rows per group drawn with replacement, with `draw` 1..draws.
+
+    Rows fall into ranges by hash; the draws are dealt to the ranges by a multinomial draw, and made range by range: each
+    picks one of the range's rows by its rank there. Draws are made in runs of RUN, so no array grows with their number, and
+    no task ranks more than a range. A row that is drawn often is met by as many runs, not by one task.
+    """
+    most = df.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    count = 1 << max(0, int(most // RANGE_ROWS).bit_length())
+    tagged = df.withColumn("r_", F.pmod(seeded(seed + 1, *ids), F.lit(count)))
+    sizes = tagged.groupBy(*group, "r_").agg(F.count("*").alias("c_")).join(wanted.where("draws > 0").select(*group, F.col("draws").cast("long").alias("draws")), group)
+    dealt = split_draws(sizes, group, seed)
+    before = F.coalesce(F.sum("d_").over(Window.partitionBy(*group).orderBy("r_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = dealt.withColumn("before_", before).where("d_ > 0").withColumn("run_", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("d_") - 1) / RUN))))
+    picks = runs.withColumn("j_", F.explode(F.sequence(F.col("run_") * RUN, F.least((F.col("run_") + 1) * RUN, "d_") - 1)))
+    picks = picks.select(*group, "r_", F.pmod(F.xxhash64(F.lit(seed), *group, "r_", "j_"), F.col("c_")).alias("k_"), (F.col("before_") + F.col("j_") + 1).alias("draw"))
+    ranked = tagged.withColumn("k_", (F.row_number().over(Window.partitionBy(*group, "r_").orderBy(*ids)) - 1).cast("long"))
+    return picks.join(ranked, [*group, "r_", "k_"]).drop("r_", "k_")
 
 
 def subject_holdout(features: DataFrame, subject: str) -> tuple[DataFrame, DataFrame]:

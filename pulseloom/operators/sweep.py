@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.operators.sampling import apply_stats, balance_classes, feature_stats, sample_with_replacement, time_split
+from pulseloom.operators.sampling import apply_stats, balance_classes, feature_stats, sample_with_replacement, take_exact, time_split
 
 HIDDEN = (64, 32)
 WEIGHTS = "patient string, stage string, seed int, weights array<double>, mean array<double>, spread array<double>"
@@ -97,9 +97,12 @@ def mlp_score(rows: DataFrame, models: DataFrame, keys: list[str]) -> DataFrame:
     return joined.mapInPandas(run, f"{schema}, prob double, predicted int")
 
 
-def training_sets(features: DataFrame, patients: list[str], seeds: list[int], frac: float = 0.33, share: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def training_sets(features: DataFrame, patients: list[str], seeds: list[int], frac: float = 0.33, share: float = 0.5, most: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """(training rows, LATER rows to score) for every patient, stage and seed; `features(vec_id, subject, segment_id, run, t_start_s, label, features)`.
 
+    A cell learns from at most `most` rows of each class of the other subjects, and of the patient's own (drawn by hash, exact,
+    before features are joined), so that its training set is bounded however many rows there are; all rows are scored.
+
     The fan-out is of ids only: one balanced draw serves all patients and seeds,
     and the raw and calibrated features are joined to the picked ids at the end.
     """
@@ -112,8 +115,9 @@ def training_sets(features: DataFrame, patients: list[str], seeds: list[int], fr
     grid = F.explode(F.array(*[F.struct(F.lit(p).alias("patient"), F.lit(s).cast("int").alias("seed")) for p in patients for s in seeds])).alias("g")
     ids = split.select("vec_id", "subject", "segment_id", "label", "period", grid).select("*", "g.*").drop("g")
     key, mine = ["patient", "seed"], F.col("subject") == F.col("patient")
-    others = balance_classes(ids.where(~mine), "label", ["seed", "vec_id"], by=key)
+    others = balance_classes(ids.where(~mine), "label", ["seed", "vec_id"], by=key, most=most)
     own = ids.where(mine & (F.col("period") == "EARLY"))
+    own = take_exact(own, [*key, "label"], own.select(*key, "label").distinct().withColumn("limit", F.lit(most).cast("long")), 1, ["seed", "vec_id"])
     wanted = others.groupBy(*key, "label").agg(F.floor(F.count("*") * share / (1 - share)).alias("draws"))
     drawn = sample_with_replacement(own, [*key, "label"], wanted, ["vec_id"])
     staged = lambda rows, *names: rows.select(*key, "vec_id", "segment_id", "label", F.explode(F.array(*map(F.lit, names))).alias("stage"), mine.alias("mine"))
@@ -124,8 +128,8 @@ def training_sets(features: DataFrame, patients: list[str], seeds: list[int], fr
     return fill(picked), fill(later)
 
 
-def stage_sweep(features: DataFrame, patients: list[str], seeds: list[int], epochs: int = 30) -> DataFrame:
+def stage_sweep(features: DataFrame, patients: list[str], seeds: list[int], epochs: int = 30, most: int = 20_000) -> DataFrame:
     """Predictions of every (patient, stage, seed) on its LATER rows; score with `binary_scores` and `event_detection`."""
-    train, test = training_sets(features, patients, seeds)
+    train, test = training_sets(features, patients, seeds, most=most)
     return mlp_score(test, fit_groups(train, epochs), ["patient", "stage", "seed"])
 

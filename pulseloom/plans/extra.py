@@ -135,10 +135,11 @@ def export_rows(spark, sf_dir):
     return K.training_rows(seg).select(F.col("segment_id").alias("vec_id"), "idx", "timestamp", "bte", "cross")
 
 
-@query("SELECT ann_id, subject, run, onset_s FROM fx_annot ORDER BY subject, run, onset_s, ann_id LIMIT 25", "fx_annot")
+@query("SELECT ann_id, subject, run, onset_s, CAST(row_number() OVER (ORDER BY subject, run, onset_s, ann_id) AS INTEGER) AS place FROM fx_annot ORDER BY subject, run, onset_s, ann_id LIMIT 25", "fx_annot")
 def first_events(spark, sf_dir):
-    """The 25 first events in their order."""
-    return view(spark, sf_dir, "fx_annot").orderBy("subject", F.col("run").cast("int"), "onset_s", "ann_id").limit(25).select("ann_id", "subject", "run", "onset_s")
+    """The 25 first events, with the place that their order gives them."""
+    first = C.order_events(view(spark, sf_dir, "fx_annot"), "onset_s", "ann_id").limit(25).select("ann_id", "subject", "run", "onset_s").collect()  # 25 rows
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(first, 1)], "ann_id long, subject string, run long, onset_s double, place int")
 
 
 @query("WITH x AS (SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'mV' WHEN 1 THEN ' V ' WHEN 2 THEN 'µV' ELSE 'uV' END AS dim, embedding FROM embeddings) SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) * CASE vec_id % 4 WHEN 0 THEN 1000 WHEN 1 THEN 1000000 ELSE 1 END, 6) AS first_uv FROM x")

@@ -277,10 +277,10 @@ def pilot_subjects(spark, sf_dir):
     return C.pilot_subjects(_dominant(spark, sf_dir).drop("n").withColumnRenamed("dominant", "lobe").join(n, "subject"))
 
 
-@query("SELECT lateralization, count(*) AS n FROM fx_annot GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2", "fx_annot")
+@query("SELECT lateralization, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, lateralization) AS INTEGER) AS place FROM fx_annot GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2", "fx_annot")
 def top_sides(spark, sf_dir):
     a = view(spark, sf_dir, "fx_annot").select(X.side_token(F.col("lateralization")).alias("lateralization"))
-    return a.groupBy("lateralization").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lateralization").limit(2)
+    return C.top_categories(a, "lateralization", 2)
 
 
 _RUNS = "(SELECT DISTINCT subject, run, 40000.0 AS duration_s FROM fx_annot)"

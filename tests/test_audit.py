@@ -112,6 +112,34 @@ def test_exact_samples_don_t_depend_on_partitioning(spark):
     assert {r["label"]: r["count"] for r in w.groupBy("label").count().collect()} == {0: 50, 1: 1000}
 
 
+def test_draws_are_uniform_and_many_draws_make_no_array(spark, monkeypatch):
+    monkeypatch.setattr(S, "RANGE_ROWS", 20)
+    monkeypatch.setattr(S, "RUN", 7)
+    df = spark.range(300).select(F.col("id").alias("vec_id"), (F.col("id") % 3).cast("int").alias("label"))
+    wanted = spark.createDataFrame([(0, 20_000), (1, 3), (2, 0), (9, 5)], "label int, draws long")
+    a = S.sample_with_replacement(df, ["label"], wanted, ["vec_id"], 4)
+    rows = a.collect()
+    assert sorted((r["label"], r["draw"]) for r in rows) == [(0, i) for i in range(1, 20_001)] + [(1, 1), (1, 2), (1, 3)]
+    times = Counter(r["vec_id"] for r in rows if r["label"] == 0)
+    assert len(times) == 100 and sum((n - 200) ** 2 / 200 for n in times.values()) < 160  # chi-square of 99 degrees: 1 in 10,000
+    assert S.sample_with_replacement(df.repartition(9), ["label"], wanted, ["vec_id"], 4).exceptAll(a).count() == 0
+    monkeypatch.setattr(S, "RUN", 4096)
+    ranges = spark.createDataFrame([(0, r, 100 + r, 10**12) for r in range(50)], "label int, r_ long, c_ long, draws long")
+    dealt = [r["d_"] for r in S.split_draws(ranges, ["label"], 1).orderBy("r_").collect()]
+    assert sum(dealt) == 10**12 and max(abs(d / 10**12 * sum(range(100, 150)) / (100 + r) - 1) for r, d in enumerate(dealt)) < 1e-3
+
+
+def test_cells_of_the_sweep_are_bounded(spark):
+    from pulseloom.operators.sweep import training_sets
+
+    rows = [(i, f"s{i % 3}", i // 4, 0, 60.0 * (i // 4), int(i // 4 % 3 == 0), [float(i % 5), 1.0]) for i in range(600)]
+    f = spark.createDataFrame(rows, "vec_id long, subject string, segment_id long, run int, t_start_s double, label int, features array<double>")
+    train, test = training_sets(f, ["s0", "s1"], [1], most=10)
+    n = {(r["patient"], r["stage"], r["label"]): r["count"] for r in train.groupBy("patient", "stage", "label").count().collect()}
+    assert all(v == (20 if stage == "mixed" else 10) for (_, stage, _), v in n.items()) and len(n) == 16
+    assert test.where("stage = 'generic'").count() > 100
+
+
 def test_time_split_has_no_future(spark):
     rows = [(i, "s", i // 2, (i // 2) % 3, 60.0 * (i // 2), int((i // 2) % 2 == 0)) for i in range(40)]
     s = S.time_split(spark.createDataFrame(rows, "vec_id int, subject string, segment_id int, run int, t_start_s double, label int"))
