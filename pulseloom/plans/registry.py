@@ -553,15 +553,15 @@ def event_windows(spark, sf_dir):
     return rounded(G.stream_windows(e, "1 hour", "30 minutes").select("rec", "start", "n", "mean", "p2p"), "mean", "p2p")
 
 
-@query()
+@query(f"WITH {_CAUSAL.strip()} SELECT rec, win_idx, {', '.join(f'round({c}, 6) AS {c}' for c in ('risk', 'fp_short', 'fp_long', 'trend', 'z'))} FROM cd", "fx_scores")
 def streamed_risk(spark, sf_dir):
-    """The recordings replayed as a stream of files; risk and alerts as the stream emits them."""
+    """The recordings replayed as a stream of files in the order of time; the layer as the stream emits it."""
     scores, src, out = view(spark, sf_dir, "fx_scores"), scratch(spark, "replay"), scratch(spark, "risk")
-    ts = F.timestamp_seconds(F.col("time"))
-    rows = scores.select("rec", "win_idx", "time", "prob", "delta", "ratio", "centroid", ts.alias("ts"))
-    for part in range(4):  # four files, in the order of time
-        rows.where(F.col("win_idx") >= part * 700).where((F.lit(part == 3)) | (F.col("win_idx") < (part + 1) * 700)).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = G.stream_risk(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start()
+    rows = scores.select("rec", "win_idx", "time", "prob", "delta", "ratio", "centroid", F.timestamp_seconds(F.col("time")).alias("ts"))
+    for part in range(3):  # three triggers' worth of files; a recording has 2,500 windows
+        rows.where(F.floor(F.col("win_idx") / 900) == part).repartition("rec").write.parquet(f"{src}/{part}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(src).select("path").count()
+    stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max(1, files // 3)).parquet(src)
+    q = G.stream_risk(stream, delay="30 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return rounded(spark.read.parquet(out).select("rec", "win_idx", "risk", "fp_short", "fp_long", "trend", "z"), "risk", "fp_short", "fp_long", "trend", "z")

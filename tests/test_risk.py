@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pulseloom.operators import alerts as L
 from pulseloom.operators import risk as R
 from pulseloom.operators.scan import latest, numbered, overlaps
-from pulseloom.streaming.risk import CausalRisk
+from pulseloom.streaming.risk import CausalRisk, stream_risk
 
 SMALL = R.RiskSettings(smooth=4, median=12, median_min=5, baseline=20, baseline_min=6, fp_short=6, fp_long=15, trend=3, trend_long=8, z=10, peak=8, min_fp_short=0.05, min_fp_long=0.05, min_trend=0.0, min_z=0.2, cooldown=9)
 
@@ -75,20 +75,43 @@ def test_rows_are_numbered_over_many_tasks(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted((k, t, t // 3) for k, t in rows)
 
 
-def test_stream_layer_equals_causal_batch(spark):
+COLUMNS = ("risk", "fp_short", "fp_long", "trend", "z")
+
+
+@pytest.mark.parametrize("cuts", [[61], [1, 2, 3, 40, 41, 90], list(range(1, 120))])
+def test_stream_layer_equals_causal_batch(spark, cuts):
     df = frame(120)
-    batch = R.risk_frame(spark.createDataFrame(df), ["rec", "subject"], s=SMALL, mode="causal")
-    kept = {r["win_idx"] for r in R.cooldown_alerts(batch, None, ["rec", "subject"], SMALL, scope="full").collect()}
-    rows = batch.orderBy("win_idx").toPandas()
-    layer, out = CausalRisk(SMALL), []
-    for i, r in enumerate(df.itertuples()):
-        out.append(layer.push(r.win_idx, r.time, r.prob, r.delta, r.ratio, r.centroid))
-        if i == 60:
-            layer = CausalRisk(SMALL, layer.state())
-    for j, c in ((2, "risk"), (3, "fp_short"), (4, "fp_long"), (5, "trend"), (6, "z")):
-        np.testing.assert_allclose(np.array([o[j] for o in out], float), rows[c].to_numpy(float), atol=1e-7, equal_nan=True)
-    assert {o[0] for o in out if o[7]} == kept
-    assert layer.push(5, 0.0, 1, 1, 1, 1) is None and layer.late == 1
+    df.loc[30:37, "delta"] = np.nan
+    want = R.risk_frame(spark.createDataFrame(df).replace(float("nan"), None), ["rec", "subject"], s=SMALL, mode="causal")
+    kept = {r["win_idx"] for r in R.cooldown_alerts(want, None, ["rec", "subject"], SMALL, scope="full").collect()}
+    rows, layer = want.orderBy("win_idx").toPandas(), CausalRisk(SMALL)
+    out = pd.concat([layer.push(part.sample(frac=1, random_state=1)) for part in (df[a:b] for a, b in zip([0, *cuts], [*cuts, len(df)], strict=True))])
+    for c in COLUMNS:
+        np.testing.assert_allclose(out[c].to_numpy(float), rows[c].to_numpy(float), atol=1e-7, equal_nan=True, err_msg=c)
+    assert set(out["win_idx"][out["alert"].astype(bool)]) == kept
+    assert len(layer.push(df[5:8])) == 0 and layer.late == 3 and len(layer.raw) == 11 and len(layer.risks) == 15
+
+
+def test_stream_drops_late_rows_and_forgets_idle_recordings(spark, tmp_path):
+    ts = lambda d: pd.Timestamp("2024-01-01") + pd.to_timedelta(d["time"], unit="s")
+    one, two = frame(60), frame(40, 9).assign(rec=1)
+    far = frame(1).assign(rec=2, time=9e6)
+    again = frame(30, 4).assign(time=lambda d: d.time + 9e6)  # the first recording, from its first window on
+    late = one[20:25]
+    for i, part in enumerate((pd.concat([one[:40], two[:10]]), pd.concat([one[40:], late, two[10:]]), far, far.assign(win_idx=1), again)):
+        spark.createDataFrame(part.assign(ts=ts(part))).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    schema = spark.read.parquet(f"{tmp_path}/in/0").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    q = stream_risk(stream, SMALL, delay="1 second", idle=1000).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").toPandas()
+    first = got[(got.rec == 0) & (got.time < 1e6)].sort_values("win_idx")
+    assert first.win_idx.tolist() == list(range(60)) and first.late.max() == 5
+    np.testing.assert_allclose(first.risk.to_numpy(float), CausalRisk(SMALL).push(one).risk.to_numpy(float), equal_nan=True)
+    np.testing.assert_allclose(got[got.rec == 1].sort_values("win_idx").z.to_numpy(float), CausalRisk(SMALL).push(two).z.to_numpy(float), equal_nan=True, atol=1e-9)
+    anew = got[(got.rec == 0) & (got.time > 1e6)].sort_values("win_idx")
+    assert anew.win_idx.tolist() == list(range(30))
+    np.testing.assert_allclose(anew.risk.to_numpy(float), CausalRisk(SMALL).push(again).risk.to_numpy(float), equal_nan=True)
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
