@@ -15,6 +15,7 @@ from pulseloom.functions import text as X
 from pulseloom.operators import alerts as L
 from pulseloom.operators import audit as U
 from pulseloom.operators import catalog as C
+from pulseloom.operators import chunks as K
 from pulseloom.operators import risk as R
 from pulseloom.operators import sampling as S
 from pulseloom.operators import sweep as M
@@ -516,6 +517,14 @@ def spectral_windows(spark, sf_dir):
     return s.select("rec", "chunk", "b.*", "d.*")
 
 
+@query()
+def filtered_recordings(spark, sf_dir):
+    """The recordings' values, band-passed and without mains, chunk by chunk."""
+    s = _signals(spark, sf_dir).select("rec", F.col("chunk").cast("long").alias("chunk"), "x")
+    power = lambda df, name: df.select("rec", "chunk", F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v * v) / F.size("y"), 6).alias(name))
+    return power(K.band_chunks(s, ["rec"], 64.0), "band").join(power(K.notch_chunks(s, ["rec"], 64.0, 25.0), "clean"), ["rec", "chunk"])
+
+
 @query()
 def cardiac_verdicts(spark, sf_dir):
     s = _signals(spark, sf_dir, 2048).withColumn("m", V.ecg_measures("x", "fs", F.lit(-1000.0), F.lit(1000.0)))

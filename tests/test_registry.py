@@ -44,3 +44,17 @@ def test_same_rows_as_sql(spark, duck, name):
 def test_runs(spark, name):
     at = "/root/testdata/sf0.01" if name == "risk_curves" else SF  # the smallest tables have no seizure that it could follow
     assert QUERIES[name](spark, at).count() > 0
+
+
+#: Queries that may come out empty without SQL noticing it, and rows that the smallest tables give at least.
+LEAST = {"interictal_candidates": 1000, "segment_index": 1000, "lead_export_counts": 1, "interictal_picks": 100, "interictal_rejections": 3, "risk_of_one_recording": 1000, "edf_slices": 500, "bids_events": 1500}
+
+
+@pytest.mark.parametrize("name", sorted(LEAST))
+def test_gives_enough_rows(spark, name):
+    assert QUERIES[name](spark, SF).count() >= LEAST[name]
+
+
+def test_recordings_and_alerts_grow_with_the_tables(spark):
+    at = "/root/testdata/sf0.01"
+    assert QUERIES["cooldown_alerts"](spark, at).count() > 5 and QUERIES["file_alert_metrics"](spark, at).count() == 4

@@ -193,3 +193,20 @@ def test_mlp_learns(n):
     y = (x[:, 0] + x[:, 1] > 0).astype(float)
     p = forward(x, unpack(fit(x, y, n), 6))[-1][:, 0]
     assert ((p > 0.5) == y).mean() > 0.9
+
+
+def test_chunked_filters_equal_those_of_whole_signals(spark):
+    from pulseloom.operators import chunks as C
+
+    r = np.random.default_rng(5)
+    t = np.arange(5000) / 256
+    signals = {0: r.normal(3, 20, 5000) + 40 * np.sin(2 * np.pi * 50 * t), 1: r.normal(0, 1, 1203), 2: r.normal(0, 1, 300), 3: r.normal(9, 1, 1)}
+    rows = [(k, i, x[i * 400 : (i + 1) * 400].tolist()) for k, x in signals.items() for i in range(-(-len(x) // 400))]
+    df = spark.createDataFrame([*rows, (4, 0, [])], "rec long, chunk int, x array<double>").repartition(5)
+    for got, want in ((C.band_chunks(df, ["rec"], 256.0), lambda x: V.band_rows(x[None], 256.0)[0]), (C.notch_chunks(df, ["rec"], 256.0, 50.0), lambda x: V.remove_mains(x, 256.0, 50.0))):
+        found = {}
+        for row in got.orderBy("rec", "chunk").collect():
+            found.setdefault(row["rec"], []).extend(row["y"])
+        assert set(found) == set(signals)
+        for k, x in signals.items():
+            np.testing.assert_allclose(found[k], want(x), atol=1e-9)
