@@ -3,8 +3,9 @@
 1. Generalise: a host's paths form a tree of segments. Segments that are variable
    by shape (numbers, long hexadecimal, dates, mixed ids) become wildcards row by
    row; then, level by level from the root, children that are too thin among too
-   many siblings become a wildcard too. Below MAX_DEPTH levels, which are decided
-   one after the other, thin children are found for all deeper levels at once.
+   many siblings become a wildcard too, and what lies under them is pooled before
+   the next level is decided. Levels at which no host has so many different
+   segments, such as the far ends of very long paths, are passed over.
 2. Merge: the root's children are the hosts, theirs the first segments, and so on.
    At every level a branch is held against the pool of all branches of its parent:
    it merges into the pool if the templates below it are distributed alike (a
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.llm.common import stage, table
 
-MAX_DEPTH, MANY, THIN = 8, 20, 0.05
+MANY, THIN = 20, 0.05
 PRIOR_WEIGHT, PURITY, MIN_LABELS = 2.0, 0.8, 3
 NOISE, EFFECT, APART = 3.0, 0.1, 2.0
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -58,34 +59,27 @@ def shape(segment: Column) -> Column:
     return F.regexp_replace(s, r"[0-9]+", "{n}")
 
 
-def template_tree(counts: DataFrame, max_depth: int = MAX_DEPTH, many: int = MANY, thin: float = THIN) -> DataFrame:
-    """`counts(host, shaped, n, good, bad)` -> the same with `parts`, the array of the template's segments."""
+def template_tree(counts: DataFrame, many: int = MANY, thin: float = THIN) -> DataFrame:
+    """`counts(host, shaped, n, good, bad)` -> the same with `parts`, the array of the template's segments.
+
+    A round for each level at which some host has more than `many` different segments; others can hold no thin child.
+    """
     seg = F.filter(F.split("shaped", "/"), lambda s: s != "")
     tree = stage(counts.withColumn("seg", seg).withColumn("parts", F.slice(seg, 1, 0)), "tree")
-    deepest = tree.agg(F.coalesce(F.max(F.size("seg")), F.lit(0))).first()[0]
-    loose_of = lambda child, node: (
-        child.join(child.groupBy(*node).agg(F.count("*").alias("children"), F.sum("load").alias("total")).where(F.col("children") > many), node)
-        .where((F.col("load") < thin * F.col("total")) & ~F.contains("child", F.lit("{")))
-        .select(*node, "child", F.lit(True).alias("loose"))
-    )
-    for depth in range(1, min(deepest, max_depth) + 1):
-        node = ["host", "parts"]
-        child = tree.where(F.size("seg") >= depth).groupBy(*node, F.element_at("seg", F.lit(depth)).alias("child")).agg(F.sum("n").alias("load"))
-        step = tree.withColumn("child", F.try_element_at("seg", F.lit(depth))).join(loose_of(child, node), [*node, "child"], "left")
-        name = F.when(F.col("loose"), F.lit("{*}")).otherwise(F.col("child"))
-        step = step.withColumn("parts", F.when(F.col("child").isNull(), F.col("parts")).otherwise(F.concat("parts", F.array(name))))
-        tree = stage(step.drop("child", "loose"), "tree")
-    if deepest > max_depth:
-        deep = tree.where(F.size("seg") > max_depth).select("host", "shaped", "seg", "parts", "n", F.explode(F.sequence(F.lit(max_depth + 1), F.size("seg"))).alias("depth"))
-        above = F.concat("parts", F.expr(f"slice(seg, {max_depth + 1}, depth - {max_depth + 1})"))
-        node = ["host", "above"]
-        deep = deep.select("host", "shaped", "depth", above.alias("above"), F.expr("element_at(seg, depth)").alias("child"), "n")
-        found = deep.join(loose_of(deep.groupBy(*node, "child").agg(F.sum("n").alias("load")), node), [*node, "child"], "left")
+    kinds = tree.select("host", F.posexplode("seg").alias("at", "child")).distinct().groupBy("host", "at").agg(F.count("*").alias("kinds"))
+    busy = sorted(r["at"] + 1 for r in kinds.where(F.col("kinds") > many).select("at").distinct().collect())  # levels of paths
+    upto = lambda end: F.concat("parts", F.slice("seg", F.size("parts") + 1, F.greatest(end - F.size("parts"), F.lit(0))))
+    node = ["host", "parts"]
+    for depth in busy:
+        there = F.size("seg") >= depth
+        tree = tree.withColumn("parts", F.when(there, upto(F.lit(depth - 1))).otherwise(F.col("parts"))).withColumn("child", F.when(there, F.try_element_at("seg", F.lit(depth))))
+        child = tree.where(there).groupBy(*node, "child").agg(F.sum("n").alias("load"))
+        wide = child.groupBy(*node).agg(F.count("*").alias("children"), F.sum("load").alias("total")).where(F.col("children") > many)
+        loose = child.join(wide, node).where((F.col("load") < thin * F.col("total")) & ~F.contains("child", F.lit("{"))).select(*node, "child", F.lit(True).alias("loose"))
+        step = tree.join(loose, [*node, "child"], "left")
         name = F.when(F.col("loose"), F.lit("{*}")).otherwise(F.col("child"))
-        rest = found.groupBy("host", "shaped").agg(F.sort_array(F.collect_list(F.struct("depth", name.alias("name")))).alias("rest"))
-        joined = tree.join(rest, ["host", "shaped"], "left")
-        tree = stage(joined.withColumn("parts", F.when(F.col("rest").isNull(), F.col("parts")).otherwise(F.concat("parts", F.transform("rest", lambda x: x["name"])))).drop("rest"), "tree")
-    return tree.drop("seg")
+        tree = stage(step.withColumn("parts", F.when(there, F.concat("parts", F.array(name))).otherwise(F.col("parts"))).drop("child", "loose"), "tree")
+    return tree.withColumn("parts", upto(F.size("seg"))).drop("seg")
 
 
 def smoothed(bad: Column, good: Column, prior: Column | float, weight: float = PRIOR_WEIGHT) -> Column:

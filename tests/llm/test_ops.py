@@ -780,7 +780,7 @@ def templates_by_hand(urls, label):
     parts = [[] for _ in urls]
     for depth in range(max(map(len, segs), default=0)):
         load = {}
-        here = [(h, tuple(parts[i] if depth < 8 else parts[i][:8] + segs[i][8:depth])) for i, (h, _p) in enumerate(found)]
+        here = [(h, tuple(parts[i])) for i, (h, _p) in enumerate(found)]
         for i, s in enumerate(segs):
             if depth < len(s):
                 load.setdefault(here[i], Counter())[s[depth]] += 1
@@ -866,6 +866,18 @@ def test_templates_match_brute_force(spark):
     assert check_templates(spark, pages, judge_urls(df).collect()) > 0
 
 
+def test_templates_are_the_same_at_any_depth(spark):
+    names = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03d}")
+    tails = [f"x{names(i)}/y{names(i * 7 % 200)}/end" for i in range(200)]
+    found = []
+    for deep in (0, 8, 30):
+        above = "/".join("abcdefgh"[k % 8] for k in range(deep))
+        df = spark.createDataFrame([(i, f"http://h.org/{above}/{t}") for i, t in enumerate(tails)] + [(999, "http://h.org/" + "s/" * 2_000)], "page_id long, url string")
+        rows = {r["template"] for r in judge_urls(df).where("page_id < 999").collect()}
+        found.append({"/".join(t.split("/")[deep + 1 :]) for t in rows})
+    assert found == [{"{*}/{*}/end"}] * 3
+
+
 def test_templates_generalise_and_reject(spark):
     rows = [(i, f"http://h.org/user/{i}/edit") for i in range(50)] + [(100 + i, f"http://h.org/p/title-of-{'abcdefghij'[i % 10]}{'klmno'[i // 10]}") for i in range(50)] + [(200, "http://h.org/deep/" + "/".join("s" * 30))]
     labels = spark.createDataFrame([(i, True) for i in range(10)] + [(100 + i, False) for i in range(4)], "page_id long, bad boolean")
