@@ -49,6 +49,29 @@ def drop_stage(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_held: dict = {}
+
+
+def forget() -> None:
+    """Drop what a worker has kept for another operator: workers outlive stages, and their memory adds up."""
+    if _held:
+        import gc
+
+        import pyarrow as pa
+
+        _held.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
+def kept(key: tuple, build):
+    """The one large object of a worker, kept over its tasks; another one takes its place."""
+    if key not in _held:
+        forget()
+        _held[key] = build()
+    return _held[key]
+
+
 def small_batches(spark: SparkSession, rows: int = 20_000, size: str = "4m") -> None:
     """Bound Arrow batches by their bytes, as texts may be long, and by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -29,11 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseloom.llm.arrays import _U, WIDTH, mix, run_hashes, shingle_hashes, words
-from pulseloom.llm.common import map_texts, stage, table
+from pulseloom.llm.common import kept, map_texts, stage, table
 
 HASHES, THRESHOLD = 64, 0.8
 BLOCK_ITEMS, BLOCK_CHARS = 10_000, 16_000_000
-_built: dict = {}
 
 
 def _multipliers(k: int) -> np.ndarray:
@@ -105,10 +104,7 @@ class Sketches:
 
 def sketches_of(key: str, texts: list[str | None], hashes: int) -> Sketches:
     """The worker's sketches of a block, kept over its tasks."""
-    if key not in _built:
-        _built.clear()
-        _built[key] = Sketches(texts, hashes)
-    return _built[key]
+    return kept(("sketches", key), lambda: Sketches(texts, hashes))
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, hashes: int = HASHES) -> DataFrame:

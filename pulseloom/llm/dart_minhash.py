@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseloom.llm.arrays import _U, cells, mix, shingle_hashes, word_digests
-from pulseloom.llm.common import map_texts, stage, table
+from pulseloom.llm.common import forget, map_texts, stage, table
 from pulseloom.llm.components import components, extended
 
 BANDS, ROWS, THRESHOLD = 32, 5, 0.8
@@ -104,6 +104,7 @@ def signature_table(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def sign(texts, _):
         import pyarrow as pa
 
+        forget()
         s, bounds, _whole, _n = shingle_hashes(texts)
         keys = band_keys(signatures(cells(s, bounds), bounds, bands * rows), bands, rows)
         n = np.diff(bounds)
@@ -148,6 +149,7 @@ def verified(links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
         import pyarrow as pa
         import zstandard
 
+        forget()
         unpack, cache, held = zstandard.ZstdDecompressor(), {}, 0
 
         def get(node, packed):

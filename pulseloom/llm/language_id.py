@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import crc_bucket, map_texts, stage, table
+from pulseloom.llm.common import crc_bucket, kept, map_texts, stage, table
 
 REF_PASSAGES, REF_CHARS, PASSAGE = 64, 40_000, 1000
 #: Automata that a worker holds at a time, some 10 MB each.
@@ -32,7 +32,6 @@ BLOCK_LANGUAGES = 32
 SEGMENT, PAD = 1024, 255  # no UTF-8 text holds byte 255
 FEW = 12
 _QUICK = re.compile(r"[\W\d_]+")  # all but letters and rare numerals
-_built: dict = {}
 
 
 @functools.cache
@@ -213,11 +212,7 @@ def _judge(sent, at: int | None):
     """The winner and the two least costs of each text over a block of languages, and over earlier blocks, whose columns begin at `at`."""
 
     def judge(texts, batch):
-        key = hash(tuple(sent.value))
-        if key not in _built:
-            _built.clear()
-            _built[key] = [Parser(lang, t) for lang, t in sent.value]
-        models = _built[key]
+        models = kept(("automata", hash(tuple(sent.value))), lambda: [Parser(lang, t) for lang, t in sent.value])
         clean = [letters(t).encode("utf-8", "replace") for t in texts]
         size = np.array([len(c) for c in clean])
         lang, numbers = np.full(len(texts), None, object), np.full((5, len(texts)), np.nan)

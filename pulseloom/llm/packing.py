@@ -22,11 +22,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import map_texts, stage, table
+from pulseloom.llm.common import kept, map_texts, stage, table
 
 WINDOW = 4096
 END_ID = 2
-_encoders: dict = {}
 
 
 #: Fixed value: the pattern by which the known tokenizers cut texts.
@@ -116,11 +115,7 @@ class WordCache:
 
 def word_cache(spec: str) -> WordCache:
     """The worker's cache for a tokenizer, kept over its tasks (a closure's globals are copied for each task, a module's are not)."""
-    key = hash(spec)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = WordCache(spec)
-    return _encoders[key]
+    return kept(("word cache", hash(spec)), lambda: WordCache(spec))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

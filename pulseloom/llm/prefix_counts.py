@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseloom.llm.arrays import mix
-from pulseloom.llm.common import map_texts, small_batches, stage, table
+from pulseloom.llm.common import kept, map_texts, small_batches, stage, table
 from pulseloom.llm.packing import Generations
 
 LIMIT = 512
@@ -45,7 +45,6 @@ CONTRACTIONS = ("'re", "'ve", "'ll")
 #: Pieces of up to so many bytes are counted many at a time; pieces of more characters than KEPT_CHARS are not kept in the cache.
 WIDE, KEPT_CHARS, TOGETHER = 24, 2_000, 20_000
 _FAR = 1 << 60
-_counters: dict = {}
 
 
 def byte_letters() -> dict[str, int]:
@@ -284,11 +283,7 @@ class PrefixCounter:
 
 def counter_of(spec: str) -> PrefixCounter:
     """The worker's counter, kept over its tasks."""
-    key = hash(spec)
-    if key not in _counters:
-        _counters.clear()
-        _counters[key] = PrefixCounter(spec)
-    return _counters[key]
+    return kept(("prefix counter", hash(spec)), lambda: PrefixCounter(spec))
 
 
 def prefix_store(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
