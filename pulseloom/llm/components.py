@@ -11,20 +11,18 @@ from pulseloom.llm.common import stage
 def components(edges: DataFrame) -> DataFrame:
     """`edges(a, b)` of longs -> `(node, root)` with the least node of each component, for nodes that have an edge.
 
-    Every round takes the least label among neighbours, then follows the label's
-    own label, so that paths halve. Self-loops and repeated edges do no harm; an
-    empty input gives an empty result.
+    Every round takes the least label among a node's neighbours and its label's
+    own label (as if the label were a neighbour too), so that paths halve; that is
+    one join and one grouping. Self-loops and repeated edges do no harm; an empty
+    input gives an empty result.
     """
-    both = stage(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a IS NOT NULL AND b IS NOT NULL").distinct(),
-        "links",
-    )
+    both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a IS NOT NULL AND b IS NOT NULL"), "links")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        moved = labels.join(near, "node").select("node", F.least("root", "near").alias("to"), F.col("root").alias("was"))
-        hop = labels.select(F.col("node").alias("to"), F.col("root").alias("hop"))
-        step = stage(moved.join(hop, "to", "left").select("node", F.least("to", F.coalesce("hop", "to")).alias("root"), "was"), "labels")
+        # A label is never above the node it is the label of, so that of a node's label stands for the node's own.
+        asked = both.withColumn("was", F.lit(None).cast("long")).union(labels.select("node", "root", "root"))
+        told = asked.join(labels.select(F.col("node").alias("b"), "root"), "b")
+        step = stage(told.groupBy(F.col("a").alias("node")).agg(F.min("root").alias("root"), F.max("was").alias("was")), "labels")
         labels = step.select("node", "root")
         if step.where("root <> was").isEmpty():
             return labels

@@ -32,7 +32,6 @@ from pulseloom.llm.common import forget, map_texts, stage, table
 from pulseloom.llm.components import components, extended
 
 BANDS, ROWS, THRESHOLD = 32, 5, 0.8
-CACHE_BYTES = 16_000_000
 #: In mixed buckets of up to so many texts each member leads; larger ones are joined on rare cells.
 FEW = 16
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -133,44 +132,13 @@ def apart(signed: DataFrame) -> DataFrame:
         signed = stage(again.withColumn("node", node).drop("shared"), "signed")
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets of cells."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
-
-
 def verified(links: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) whose texts' similarity reaches the threshold."""
-    left = texts.select(F.col("node").alias("a"), F.col("cells").alias("na"), F.col("packed").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("cells").alias("nb"), F.col("packed").alias("tb"))
-    pairs = links.join(left, "a").join(right, "b").where((F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
-
-    def compare(batches):
-        import pyarrow as pa
-        import zstandard
-
-        forget()
-        unpack, cache, held = zstandard.ZstdDecompressor(), {}, 0
-
-        def get(node, packed):
-            nonlocal held
-            if node not in cache:
-                s, bounds, _w, _n = shingle_hashes([unpack.decompress(packed).decode()])
-                found = np.sort(cells(s, bounds))
-                if held + found.nbytes > CACHE_BYTES:
-                    cache.clear()
-                    held = 0
-                cache[node] = found
-                held += found.nbytes
-            return cache[node]
-
-        for batch in batches:
-            a, ta, b, tb = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "ta", "b", "tb"))
-            good = [similarity(get(x, tx), get(y, ty)) >= threshold for x, tx, y, ty in zip(a, ta, b, tb, strict=True)]
-            keep = pa.array(np.flatnonzero(good), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).take(keep), pa.array(b, pa.int64()).take(keep)], names=["a", "b"])
-
-    return pairs.select("a", "ta", "b", "tb").mapInArrow(compare, "a long, b long")
+    """Links (a, b) whose texts' Jaccard similarity, as sets of cells, reaches the threshold."""
+    left = texts.select(F.col("node").alias("a"), F.col("cells").alias("na"), F.col("held").alias("ta"))
+    right = texts.select(F.col("node").alias("b"), F.col("cells").alias("nb"), F.col("held").alias("tb"))
+    pairs = links.select("a", "b").join(left, "a").join(right, "b").where((F.least("na", "nb") >= threshold * F.greatest("na", "nb")))
+    both = F.size(F.array_intersect("ta", "tb"))
+    return pairs.where(both / (F.col("na") + F.col("nb") - both) >= threshold).select("a", "b")
 
 
 def mixed_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -230,39 +198,30 @@ def near_links(docs: DataFrame, signed: DataFrame, threshold: float, bands: int,
     nodes = stage(nodes, "nodes")
     spread = nodes.select("node", "cells", F.explode("bands").alias("key"))
     lead = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
-    hits = spread.join(lead, "key").select("node", "n", F.explode(F.array("lo", "hi")).alias("leader")).where("node <> leader")
-    found = hits.groupBy(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).agg(F.count("*").alias("shared"), F.max("n").alias("n"))
-    links = stage(found, "candidates")
+    hits = spread.join(lead, "key").select("node", F.explode(F.array("lo", "hi")).alias("leader")).where("node <> leader")
+    links = stage(hits.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "candidates")
 
     ids = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node")
     wanted = ids.select(F.col("rep.doc_id").alias("wanted_id"), F.col("rep.mark").alias("wanted_mark"), F.col("node").alias("wanted"))
 
-    def compress(texts, _):
+    def hold(texts, _):
         import pyarrow as pa
         import zstandard
 
-        bounds = shingle_hashes(texts)[1]
+        forget()
+        s, bounds, _whole, _n = shingle_hashes(texts)
         squeeze = zstandard.ZstdCompressor(level=3)
-        return None, [np.diff(bounds), pa.array([squeeze.compress(t.encode("utf-8", "replace")) for t in texts], pa.binary())]
+        packed = pa.array([squeeze.compress(t.encode("utf-8", "replace")) for t in texts], pa.binary())
+        return None, [np.diff(bounds), packed, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(cells(s, bounds).view(np.int64)))]
 
     # A text is fetched by the row that stands for it: by its mark too, so that null ids meet equal texts only.
     marked = docs.select("doc_id", text_mark(), "text")
     fetched = marked.join(wanted, (F.col("mark") == F.col("wanted_mark")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("text", "wanted")
-    texts = map_texts(fetched, compress, "cells long, packed binary", ["wanted"], most=1_000_000).withColumnRenamed("wanted", "node")
+    texts = map_texts(fetched, hold, "cells long, packed binary, held array<long>", ["wanted"], most=1_000_000).withColumnRenamed("wanted", "node")
     texts = stage(texts.dropDuplicates(["node"]), "texts")
 
-    # Of each text, the link that agrees in most bands first; the rest only between components.
-    best = links.select(F.col("a").alias("x"), F.struct("shared", "n", F.col("b").alias("y")).alias("l")).union(links.select("b", F.struct("shared", "n", F.col("a"))))
-    best = best.groupBy("x").agg(F.max("l").alias("l")).select(F.least("x", "l.y").alias("a"), F.greatest("x", "l.y").alias("b")).distinct()
-    first = stage(verified(best, texts, threshold), "verified")
-    roots = components(first)
-    named = links.select("a", "b")
-    for c in ("a", "b"):
-        named = named.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left")
-    open_ = named.where(~F.coalesce("ra", "a").eqNullSafe(F.coalesce("rb", "b"))).select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = stage(verified(open_, texts, threshold), "verified")
-    both = first.union(more)
-    roots = extended(roots, more)
+    both = stage(verified(links, texts, threshold), "verified")
+    roots = components(both)
 
     # Buckets of up to three texts are done: their least and largest met all others. In the others two more members lead. In
     # buckets that are still mixed then, all members lead if they are few; large ones are joined on the rare cells of their texts.
@@ -277,12 +236,11 @@ def near_links(docs: DataFrame, signed: DataFrame, threshold: float, bands: int,
         more = stage(verified(fresh, texts, threshold), "verified")
         return (both, roots) if more.isEmpty() else (both.union(more), extended(roots, more))
 
-    tested = links.select("a", "b")
-    fresh = stage(led_links(mixed, two, threshold).join(tested, ["a", "b"], "left_anti"), "fresh")
+    fresh = stage(led_links(mixed, two, threshold).join(links, ["a", "b"], "left_anti"), "fresh")
     both, roots = joined(fresh, both, roots)
     mixed = stage(mixed_buckets(mixed.drop("root"), roots), "mixed")
     last = led_links(mixed.where(few), mixed.where(few), threshold).union(rare_links(mixed.where(~few), texts, threshold)).distinct()
-    both, roots = joined(stage(last.join(tested.union(fresh), ["a", "b"], "left_anti"), "fresh"), both, roots)
+    both, roots = joined(stage(last.join(links.union(fresh), ["a", "b"], "left_anti"), "fresh"), both, roots)
     return both, roots
 
 

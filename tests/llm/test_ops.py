@@ -1009,3 +1009,16 @@ def test_pipeline_against_brute_force(spark, docs, texts):
     clean = {i for i in kept["near"] if not any(share(words(texts[i]), w) >= 0.8 for w in items if w)}
     assert kept["decontaminate"] == clean
     check_packing(P.packing(spark, every, SF).collect(), {i: texts[i] for i in clean})
+
+
+def test_links_to_all_leaders_are_verified_at_once_without_python(spark):
+    from pulseloom.llm.dart_minhash import verified
+
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words, "x"]), " ".join(["y", *words])]
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r["class_id"], r["class_size"], r["n_links"]) for r in got} == {(0, 3, 2)}
+    held = spark.createDataFrame([(1, 5, [1, 2, 3, 4, 5]), (2, 4, [2, 3, 4, 5]), (3, 4, [3, 4, 5, 6])], "node long, cells long, held array<long>")
+    found = verified(spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long"), held, 0.8)
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
+    assert "Arrow" not in found._jdf.queryExecution().executedPlan().toString()
