@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pulseloom.llm.arrays import mix
 from pulseloom.llm.common import kept, map_texts, stage, table
 
 WINDOW = 4096
@@ -69,25 +70,80 @@ def splits_at_white_space(spec: str) -> bool:
     return steps == ["NFC", "Replace", "Lowercase"] and cuts[0].get("pattern", {}).get("Regex") == SPLIT and cuts[0].get("behavior") == "Removed" and plain and t.get("post_processor") is None
 
 
+class ShortWords:
+    """Ids of words of at most 16 bytes, held in arrays: many words are looked up at once, by their bytes and size (so exactly).
+
+    `most` words are held; a full table is emptied before the next look-up.
+    """
+
+    PROBES = 8
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.bits = most, max(4, (2 * most - 1).bit_length())
+        self.lo, self.hi = np.zeros(most, np.uint64), np.zeros(most, np.uint64)
+        self.size, self.begin, self.count = np.zeros(most, np.int64), np.zeros(most, np.int64), np.zeros(most, np.int64)
+        self.pool = np.zeros(1 << 16, "<u4")
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = np.full((1 << self.bits) + self.PROBES, -1, np.int32)
+        self.held = self.used = 0
+
+    def _slot(self, lo: np.ndarray, hi: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (mix(lo ^ mix(hi + size.astype(np.uint64))) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, lo: np.ndarray, hi: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Entry of each word, or -1."""
+        out, left, slot = np.full(len(lo), -1, np.int64), np.arange(len(lo)), self._slot(lo, hi, size)
+        for _ in range(self.PROBES):
+            entry = self.slots[slot]
+            same = (entry >= 0) & (self.lo[entry] == lo) & (self.hi[entry] == hi) & (self.size[entry] == size)
+            out[left[same]] = entry[same]
+            on = ~same & (entry >= 0)
+            left, slot, lo, hi, size = left[on], slot[on] + 1, lo[on], hi[on], size[on]
+        return out
+
+    def hold(self, lo: np.ndarray, hi: np.ndarray, size: np.ndarray, begin: np.ndarray, count: np.ndarray) -> None:
+        """New words, as long as there is room; their ids are in the pool."""
+        n = min(len(lo), self.most - self.held)
+        entry = np.arange(self.held, self.held + n, dtype=np.int32)
+        for into, values in ((self.lo, lo), (self.hi, hi), (self.size, size), (self.begin, begin), (self.count, count)):
+            into[self.held : self.held + n] = values[:n]
+        self.held += n
+        slot = self._slot(lo[:n], hi[:n], size[:n])
+        for _ in range(self.PROBES):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = entry[free]
+            on = self.slots[slot] != entry
+            entry, slot = entry[on], slot[on] + 1
+
+
+#: By size, what of eight bytes belongs to a word.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
 class WordCache:
     """Ids of texts as little-endian bytes.
 
     For the tokenizers of `splits_at_white_space`, words are independent, and so
     are ids of words once encoded. They ignore the case of A-Z, so texts are
-    lower-cased first unless they may hold a special token. Words of plain
-    letters are put together from their parts, so that a word is encoded once
-    however it is punctuated; words that still hold capitals are encoded whole,
-    as PARTS knows lower-case endings only. Any other tokenizer gets whole texts.
+    lower-cased first unless they may hold a special token. Words of all texts
+    are found and looked up together. Words of plain letters that are new are put
+    together from their parts, so that a word is encoded once however it is
+    punctuated; words that still hold capitals are encoded whole, as PARTS knows
+    lower-case endings only. Any other tokenizer gets whole texts.
     """
 
-    def __init__(self, spec: str, most: int = 32_000_000):
+    def __init__(self, spec: str, most: int = 64_000_000, words: int = 1 << 21):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_str(spec), splits_at_white_space(spec)
-        self.words, self.parts = Generations(most), Generations(most)
+        self.short, self.parts = ShortWords(words), Generations(most)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,19 +154,67 @@ class WordCache:
             for p, ids in zip(new[at : at + 10_000], self._encoded(new[at : at + 10_000]), strict=True):
                 self.parts.put(p, ids)
 
+    def _spelt(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words, from their parts."""
+        cut = []
+        for w in words:
+            word = w.decode()
+            cut.append(PARTS.findall(word) if b"<|" not in w and w == w.lower() and PLAIN.fullmatch(word) else [word])
+        self._learn({p for parts in cut for p in parts})
+        return [b"".join(map(self.parts.young.__getitem__, parts)) for parts in cut]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self._encoded([t.encode("utf-8", "replace").decode() for t in texts])
         raw = [t.encode("utf-8", "replace") for t in texts]
-        split = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        cut = {}
-        for w in self.words.missing({w for ws in split for w in ws}):
-            word = w.decode()
-            cut[w] = PARTS.findall(word) if b"<|" not in w and w == w.lower() and PLAIN.fullmatch(word) else [word]
-        self._learn({p for parts in cut.values() for p in parts})
-        for w, parts in cut.items():
-            self.words.put(w, b"".join(map(self.parts.young.__getitem__, parts)))
-        return [b"".join(map(self.words.young.__getitem__, ws)) for ws in split]
+        raw = [r if b"<|" in r else r.lower() for r in raw]
+        whole = b"\n".join(raw) + b"\n" + bytes(16)
+        data = np.frombuffer(whole, np.uint8)[:-16]
+        inside = ~_IS_SPACE[data]
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if inside[0]:
+            edge = np.append(0, edge)
+        starts, ends = edge[::2], edge[1::2]
+        size = ends - starts
+        eight = np.ndarray((len(whole) - 7,), "<u8", whole, strides=(1,))
+        lo, hi = eight[starts] & _MASKS[np.minimum(size, 8)], eight[starts + 8] & _MASKS[np.clip(size - 8, 0, 8)]
+        table = self.short
+        if table.held >= table.most:
+            table.clear()
+        entry = table.find(lo, hi, size)
+        entry[size > 16] = -1
+        begin, count = table.begin[entry], table.count[entry]
+        lost = np.flatnonzero(entry < 0)
+        if len(lost):
+            words = [whole[a:b] for a, b in zip(starts[lost].tolist(), ends[lost].tolist(), strict=True)]
+            place: dict[bytes, int] = {}
+            which = np.array([place.setdefault(w, len(place)) for w in words])
+            first = np.full(len(place), len(words))
+            np.minimum.at(first, which, np.arange(len(words)))
+            fresh = sorted(place, key=lambda w: len(w) > 16)  # the ids of long words are not kept in the pool
+            spelt = self._spelt(fresh)
+            n = np.array([len(x) // 4 for x in spelt])
+            at = table.used + np.cumsum(n) - n
+            ids = np.frombuffer(b"".join(spelt), "<u4")
+            if table.used + len(ids) > len(table.pool):
+                table.pool = np.append(table.pool[: table.used], np.zeros(len(ids) + table.used, "<u4"))
+            table.pool[table.used : table.used + len(ids)] = ids
+            turn = np.array([place[w] for w in fresh])
+            of = np.empty(len(turn), np.int64)
+            of[turn] = np.arange(len(turn))
+            begin[lost], count[lost] = at[of[which]], n[of[which]]
+            kept_words = int(sum(len(w) <= 16 for w in fresh))
+            token = lost[first[turn[:kept_words]]]
+            table.hold(lo[token], hi[token], size[token], at[:kept_words], n[:kept_words])
+            pool = table.pool
+            table.used += int(n[:kept_words].sum())
+        else:
+            pool = table.pool
+        after = np.cumsum(count)
+        ids = pool[np.repeat(begin - after + count, count) + np.arange(after[-1] if len(after) else 0)]
+        at = np.cumsum([0] + [len(r) + 1 for r in raw])
+        cuts = np.append(0, after)[np.searchsorted(starts, at)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def word_cache(spec: str) -> WordCache:

@@ -1022,3 +1022,20 @@ def test_links_to_all_leaders_are_verified_at_once_without_python(spark):
     found = verified(spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long"), held, 0.8)
     assert [tuple(r) for r in found.collect()] == [(1, 2)]
     assert "Arrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word_cache_keeps_many_words_and_forgets_none_wrongly():
+    import itertools
+
+    from pulseloom.llm.packing import WordCache
+
+    with open(default_tokenizer(), encoding="utf-8") as f:
+        spec = f.read()
+    texts = [" ".join("".join(w) for w in itertools.product(a, "bcdfghjklm", "aeiouy", "nprstvwxz", "aeiou", "lmnrst.")) for a in "bcdfghklmnprst"]
+    cache, small = WordCache(spec), WordCache(spec, words=1_000)
+    first, calls = [cache.encode([t])[0] for t in texts], []
+    cache._encoded = lambda new: calls.append(new)
+    assert [cache.encode([t])[0] for t in texts] == first and not calls
+    some = [texts[0][:40_000], "a\0 a b\0\0 " + "x" * 17 + " Don'T", "", " ", "<|endoftext|> A"]
+    assert [small.encode([t]) for t in some * 2] == [WordCache(spec).encode([t]) for t in some * 2]
+    assert cache.tokenizer.encode(some[0], add_special_tokens=False).ids == list(memoryview(small.encode(some[:1])[0]).cast("I"))
