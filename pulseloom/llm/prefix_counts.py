@@ -80,7 +80,7 @@ class Lookup:
 class PrefixCounter:
     """Counts of a byte-level BPE tokenizer (its JSON) at every prefix."""
 
-    def __init__(self, spec: str, most: int = 48_000_000):
+    def __init__(self, spec: str, most: int = 128_000_000):
         from tokenizers import Tokenizer
 
         t = json.loads(spec)

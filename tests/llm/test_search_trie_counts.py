@@ -193,3 +193,17 @@ def test_integer_scores_where_doubles_are_too_small():
     exact = leaf.scores(q, np.arange(2), 0, 2)
     q.exact_in_doubles = False
     assert (leaf.scores(q, np.arange(2), 0, 2) == exact).all() and (leaf.bounds(q) >= exact.max(0)).all()
+
+
+def test_half_a_million_pieces_stay_in_the_counters_cache():
+    import public_tokenizers
+
+    from pulseloom.llm.prefix_counts import PrefixCounter
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        cache = PrefixCounter(f.read()).pieces
+    parts = [{f" word{i}" for i in range(k, k + 50_000)} for k in range(0, 500_000, 50_000)]
+    for p in parts:
+        for piece in cache.missing(p):
+            cache.put(piece, b"\1" * 10)
+    assert not any(cache.missing(p) for p in parts)
