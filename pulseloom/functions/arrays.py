@@ -27,6 +27,12 @@ def tumbling_windows(segments: DataFrame, win_s: float = 2.0, duration: str = "d
     return df.withColumn("from_sample", edge(0)).withColumn("to_sample", edge(1))
 
 
+def rounded_product(x: Column, places: int) -> Column:
+    """x to `places` places as round(x * 10^places) / 10^places, halves away from zero: the product decides, as in numpy and SQL
+    engines on doubles. `F.round` looks at the decimal digits that x prints as, and takes 8.995 (stored as 8.99499..) to 9.00."""
+    return F.round(x * 10.0**places, 0) / 10.0**places
+
+
 def signal_stats(x: Column) -> Column:
     """struct(n, min, max, std, p2p, mean, zero_share, repeat_share) of an array; null statistics if it is empty."""
     n = F.size(x).cast("double")

@@ -130,7 +130,7 @@ def other_subjects(spark, sf_dir):
 @query("WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS idx, CAST(unnest(embedding) AS DOUBLE) * 100 AS v, unnest(list_resize(embedding[1:40], 64, embedding[40])) AS c FROM embeddings) SELECT vec_id, CAST(idx AS INTEGER) AS idx, format('{:.5f}', idx * 1000 / 256.0::DOUBLE) AS timestamp, format('{:.2f}', round(round(v, 6), 2) + 0.0::DOUBLE) AS bte, format('{:.2f}', round(round(CAST(c AS DOUBLE) * 100, 6), 2) + 0.0::DOUBLE) AS cross FROM e")
 def export_rows(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings")
-    scaled = lambda c: F.transform(c, lambda v: F.round(F.round(v.cast("double") * 100, 6), 2))
+    scaled = lambda c: F.transform(c, lambda v: A.rounded_product(A.rounded_product(v.cast("double") * 100, 6), 2))
     seg = e.select(F.lit("training").alias("split"), F.lit("seizure").alias("label"), F.col("vec_id").alias("segment_id"), scaled(F.col("embedding")).alias("bte"), scaled(X.match_sample_axes(F.col("embedding"), F.slice("embedding", 1, 40))).alias("cross"))
     return K.training_rows(seg).select(F.col("segment_id").alias("vec_id"), "idx", "timestamp", "bte", "cross")
 
