@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseloom.functions import arrays as A
 from pulseloom.plans.extra import _table
 from pulseloom.plans.registry import _AUDIT, ORACLES, QUERIES, _audit, query
 from pulseloom.plans.views import view
@@ -160,7 +161,7 @@ def manifest_file(spark, sf_dir):
 @query("SELECT vec_id, CASE WHEN n = 0 THEN '' ELSE CAST(n AS VARCHAR) || ',' || first || ',' || last END AS shown FROM (SELECT vec_id, 64 AS n, format('{:.2f}', round(round(CAST(embedding[1] AS DOUBLE) * 100, 6), 2) + 0.0::DOUBLE) AS first, format('{:.2f}', round(round(CAST(embedding[64] AS DOUBLE) * 100, 6), 2) + 0.0::DOUBLE) AS last FROM embeddings)")
 def export_file_lines(spark, sf_dir):
     """The training export written to its flat names; of each file its number of samples, first and last value."""
-    scaled = F.transform("embedding", lambda v: F.round(F.round(v.cast("double") * 100, 6), 2))
+    scaled = F.transform("embedding", lambda v: A.rounded_product(A.rounded_product(v.cast("double") * 100, 6), 2))
     root = scratch(spark, "export")
     K.write_training_export(_table(spark, sf_dir, "embeddings").select(F.lit("training").alias("split"), F.lit("seizure").alias("label"), F.col("vec_id").alias("segment_id"), scaled.alias("bte"), scaled.alias("cross")), root, flat=True)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

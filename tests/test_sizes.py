@@ -29,3 +29,7 @@ def halves(spark, tmp_path):
 
 def test_export_rows_round_halves_as_sql_does(spark, halves):
     same_as_sql(spark, "export_rows", halves, "embeddings")
+
+
+def test_export_files_round_halves_as_sql_does(spark, halves):
+    same_as_sql(spark, "export_file_lines", halves, "embeddings")
