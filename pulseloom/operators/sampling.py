@@ -35,12 +35,15 @@ def take_exact(df: DataFrame, group: list[str], limits: DataFrame, seed: int, id
     tagged = df.withColumn("h_", seeded(seed, *ids)).withColumn("r_", F.shiftrightunsigned("h_", 64 - bits))
     counts = tagged.groupBy(*group, "r_").agg(F.count("*").alias("n_"))
     upto = F.sum("n_").over(Window.partitionBy(*group).orderBy("r_"))
-    plan = counts.withColumn("upto_", upto).join(limits, group).withColumn("room_", F.col("limit") - (F.col("upto_") - F.col("n_"))).where("room_ > 0")
-    plan = plan.select(*group, "r_", "room_", (F.col("room_") >= F.col("n_")).alias("whole_"))
-    near = tagged.join(plan, [*group, "r_"])
+    over = F.col("upto_") > F.col("limit")
+    cut = counts.withColumn("upto_", upto).join(limits.where("limit > 0"), group).groupBy(*group).agg(
+        F.min(F.when(over, F.col("r_"))).alias("edge_"), (F.max("limit") - F.coalesce(F.max(F.when(~over, F.col("upto_"))), F.lit(0))).alias("room_"),
+    )
+    # One row a group. Left to itself, Spark may send the rows instead, as their files are small for what they hold.
+    near = tagged.join(F.broadcast(cut), group)
     rank = F.row_number().over(Window.partitionBy(*group, "r_").orderBy("h_", *ids))
-    edge = near.where("NOT whole_").withColumn("k_", rank).where("k_ <= room_").drop("k_")
-    return near.where("whole_").unionByName(edge).select(df.columns)
+    edge = near.where("r_ = edge_").withColumn("k_", rank).where("k_ <= room_").drop("k_")
+    return near.where("edge_ IS NULL OR r_ < edge_").unionByName(edge).select(df.columns)
 
 
 def downsample_majority(df: DataFrame, label: str, ids: list[str], ratio: float = 1.0, seed: int = 0) -> DataFrame:

@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
+from pulseloom.operators import sampling as S
 from pulseloom.plans.files import ORACLES, QUERIES
+from pulseloom.sources.staging import staged
 
 #: Values at which a product with 100, in doubles, lies on the other side of a half than the printed digits do.
 HALVES = [-0.012550000101327896, 0.08995000272989273, -0.1993499994277954, 0.012550000101327896, 0.125, -0.125, -0.00001, 0.0]
@@ -33,3 +35,18 @@ def test_export_rows_round_halves_as_sql_does(spark, halves):
 
 def test_export_files_round_halves_as_sql_does(spark, halves):
     same_as_sql(spark, "export_file_lines", halves, "embeddings")
+
+
+def plan_of(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_to_sample_are_not_sent_to_the_driver(spark):
+    """Staged candidates pack into small files; the row per group is what is sent, never they."""
+    pool = staged(spark.range(20_000).selectExpr("id", "id % 3 AS g"), "pool")
+    limits = staged(spark.createDataFrame([(0, 100), (1, 0), (2, 10**9)], "g long, limit long"), "limits")
+    taken = S.take_exact(pool, ["g"], limits, 1, ["id"])
+    plan = plan_of(taken)
+    assert {r["g"]: r["count"] for r in taken.groupBy("g").count().collect()} == {0: 100, 2: 6666}
+    assert "Inner, BuildRight" in plan and "Inner, BuildLeft" not in plan
