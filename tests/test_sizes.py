@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from pulseloom.operators import catalog as C
 from pulseloom.operators import sampling as S
 from pulseloom.plans.files import ORACLES, QUERIES
 from pulseloom.sources.staging import staged
@@ -50,3 +52,11 @@ def test_rows_to_sample_are_not_sent_to_the_driver(spark):
     plan = plan_of(taken)
     assert {r["g"]: r["count"] for r in taken.groupBy("g").count().collect()} == {0: 100, 2: 6666}
     assert "Inner, BuildRight" in plan and "Inner, BuildLeft" not in plan
+
+
+def test_picks_are_not_sent_to_the_driver(spark):
+    """Rejections are told from the picks by a join that grows with the picks."""
+    c = spark.createDataFrame([("a", r, 300 + 60 * i) for r in range(4) for i in range(50)], "subject string, run int, t long")
+    need = spark.createDataFrame([("a", 20)], "subject string, need int")
+    picked, rejected = C.pick_interictal(c, need, 3, quality=lambda df: df.withColumn("reason", F.expr("CASE WHEN t % 180 = 0 THEN 'ecg' END")))
+    assert picked.count() == 20 and "SortMergeJoin [subject" in plan_of(rejected)
