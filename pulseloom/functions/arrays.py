@@ -6,17 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _last_start(win: int, inclusive: bool, n_samples: str) -> Column:
+    """The greatest sample at which a window may start; below 0 there is none."""
+    return F.col(n_samples) - win - (0 if inclusive else 1)
+
+
+def _timed(df: DataFrame, win: int, fs: str) -> DataFrame:
+    s, r = F.col("start_sample"), F.col(fs)
+    return df.withColumns({"t_start_s": s / r, "t_end_s": (s + win) / r, "t_mid_s": (s + win // 2) / r})
+
+
 def sliding_windows(recordings: DataFrame, win: int, step: int, inclusive: bool, n_samples: str = "n_samples", fs: str = "fs") -> DataFrame:
     """One row per window: win_idx, start_sample, t_start_s, t_end_s, t_mid_s.
 
     Exclusive: starts below N - win (a window that ends exactly at N is dropped).
     Inclusive: floor((N - win) / step) + 1 windows, none if N < win. No samples are copied.
     """
-    last = F.col(n_samples) - win - (0 if inclusive else 1)
+    last = _last_start(win, inclusive, n_samples)
     starts = F.posexplode(F.sequence(F.lit(0).cast("long"), last.cast("long"), F.lit(step).cast("long"))).alias("win_idx", "start_sample")
-    df = recordings.where(last >= 0).select("*", starts)
-    s, r = F.col("start_sample"), F.col(fs)
-    return df.withColumns({"t_start_s": s / r, "t_end_s": (s + win) / r, "t_mid_s": (s + win // 2) / r})
+    return _timed(recordings.where(last >= 0).select("*", starts), win, fs)
+
+
+def last_windows(recordings: DataFrame, win: int, step: int, inclusive: bool, n_samples: str = "n_samples", fs: str = "fs") -> DataFrame:
+    """The last row that `sliding_windows` gives each recording, without the rows before it: of a grid's extent, win_idx + 1 is the count."""
+    last = _last_start(win, inclusive, n_samples).cast("long")
+    start = last - last % step
+    return _timed(recordings.where(last >= 0).select("*", (start / step).cast("long").alias("win_idx"), start.alias("start_sample")), win, fs)
 
 
 def tumbling_windows(segments: DataFrame, win_s: float = 2.0, duration: str = "duration_s", fs: str = "fs") -> DataFrame:

@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pulseloom.functions import arrays as A
 from pulseloom.operators import catalog as C
 from pulseloom.operators import sampling as S
 from pulseloom.plans.files import ORACLES, QUERIES
@@ -60,3 +62,19 @@ def test_picks_are_not_sent_to_the_driver(spark):
     need = spark.createDataFrame([("a", 20)], "subject string, need int")
     picked, rejected = C.pick_interictal(c, need, 3, quality=lambda df: df.withColumn("reason", F.expr("CASE WHEN t % 180 = 0 THEN 'ecg' END")))
     assert picked.count() == 20 and "SortMergeJoin [subject" in plan_of(rejected)
+
+
+def test_last_windows_end_the_grid(spark):
+    r = spark.range(0, 1400, 7).selectExpr("id AS rec", "id AS n_samples", "256.0D AS fs")
+    for inclusive in (True, False):
+        every = A.sliding_windows(r, 512, 128, inclusive).withColumn("n", F.count("*").over(Window.partitionBy("rec")))
+        want = every.where("win_idx + 1 = n").drop("n")
+        got = A.last_windows(r, 512, 128, inclusive).select(want.columns)
+        assert want.count() > 100 and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_grids_of_long_recordings_are_not_spelled_out(spark, tmp_path):
+    """Three recordings of 4 x 10^12 windows each."""
+    spark.range(3).selectExpr("id + 70000000000000 AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    assert "Generate" not in plan_of(QUERIES["window_grids"](spark, str(tmp_path)))
+    same_as_sql(spark, "window_grids", tmp_path, "customer")
