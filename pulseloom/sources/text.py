@@ -1,7 +1,8 @@
 """Text sources: sectioned logs, BIDS tables, sidecars, inventories, header repair.
 
-Whole files become numbered lines inside Spark; sections are running counts of
-header lines per file, so a file's lines are the only rows that meet in a task.
+Files become numbered lines split by split; sections are running counts of header
+lines, made in chunks of a file's lines and added up over the chunks before. No
+file is one row or one task.
 """
 
 from __future__ import annotations
@@ -20,15 +21,35 @@ AUDIT = (
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """doc (file path), line_no from 0, line. Read as ISO-8859-1, which no byte can break."""
-    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("doc"), F.decode("content", "ISO-8859-1").alias("value"))
-    return raw.select("doc", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    """doc (file path), line_no from 0, line. Read as ISO-8859-1, which no byte can break; a line ends at LF or CR LF.
+
+    Files are read in splits, so that a file may be larger than a task's memory. A split's lines are numbered as they come,
+    and moved on by what the file's earlier splits hold.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_block_start").alias("from_"), F.monotonically_increasing_id().alias("row_"), F.col("value").cast("binary").alias("value"))
+    splits = raw.groupBy("doc", "from_").agg(F.min("row_").alias("first_"), F.count("*").alias("n_"))
+    before = F.sum("n_").over(Window.partitionBy("doc").orderBy("from_").rowsBetween(Window.unboundedPreceding, -1))
+    moves = splits.select("doc", "from_", (F.coalesce(before, F.lit(0)) - F.col("first_")).alias("move_"))
+    lines = raw.join(F.broadcast(moves), ["doc", "from_"])  # a row for each split, as many as the driver plans
+    return lines.select("doc", (F.col("row_") + F.col("move_")).alias("line_no"), F.regexp_replace(F.decode("value", "ISO-8859-1"), r"\r$", "").alias("line"))
+
+
+#: Line numbers whose headers one task counts.
+CHUNK = 1 << 16
 
 
 def block_id(lines: DataFrame, is_header: Column, doc: str = "doc") -> DataFrame:
-    """Adds `block`: how many header lines came so far in the file (0: before the first)."""
-    w = Window.partitionBy(doc).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("block", F.sum(F.when(is_header, 1).otherwise(0)).over(w))
+    """Adds `block`: how many header lines came so far in the file (0: before the first).
+
+    Headers are counted within chunks of a file's lines; those of the chunks before come in as one more row of each chunk.
+    """
+    marked = lines.withColumn("head_", F.when(is_header, 1).otherwise(0).cast("long")).withColumn("chunk_", F.floor(F.col("line_no") / CHUNK))
+    earlier = Window.partitionBy(doc).orderBy("chunk_").rowsBetween(Window.unboundedPreceding, -1)
+    carried = marked.groupBy(doc, "chunk_").agg(F.sum("head_").alias("head_")).withColumn("head_", F.sum("head_").over(earlier)).where("head_ > 0")
+    both = marked.withColumn("first_", F.lit(False)).unionByName(carried.withColumn("first_", F.lit(True)), allowMissingColumns=True)
+    w = Window.partitionBy(doc, "chunk_").orderBy(F.desc("first_"), "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("block", F.sum("head_").over(w)).where("NOT first_").select(*lines.columns, "block")
 
 
 def pair_by_position(starts: Column, ends: Column, truncate: bool) -> Column:

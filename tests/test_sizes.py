@@ -9,6 +9,7 @@ from pulseloom.functions import arrays as A
 from pulseloom.operators import catalog as C
 from pulseloom.operators import sampling as S
 from pulseloom.plans.files import ORACLES, QUERIES
+from pulseloom.sources import text as T
 from pulseloom.sources.staging import staged
 
 #: Values at which a product with 100, in doubles, lies on the other side of a half than the printed digits do.
@@ -78,3 +79,22 @@ def test_grids_of_long_recordings_are_not_spelled_out(spark, tmp_path):
     spark.range(3).selectExpr("id + 70000000000000 AS c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     assert "Generate" not in plan_of(QUERIES["window_grids"](spark, str(tmp_path)))
     same_as_sql(spark, "window_grids", tmp_path, "customer")
+
+
+def test_lists_longer_than_a_split_or_a_chunk(spark, tmp_path, monkeypatch):
+    """Lines are numbered over splits of 4 KB, and headers counted over chunks of 7 lines, as in whole files."""
+    monkeypatch.setattr(T, "CHUNK", 7, raising=False)
+    text = {"a": "".join(f"PN01-{i}.edf\r\nSeizure start time: {i % 24:02d}.00.00\n{'x' * (i % 50)}\n" for i in range(800)), "b": "Seizure end time: 01.00.00\n\nPN\xe9\nPN02-7.edf", "c": "PN03-1.edf\n" * 3}
+    for name, body in text.items():
+        (tmp_path / f"{name}.txt").write_bytes(body.encode("latin-1"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = T.numbered_lines(spark, str(tmp_path))
+        read = [r[0] for r in lines.select(F.spark_partition_id()).distinct().collect()]
+        got = sorted((r["doc"][-5], r["line_no"], r["line"]) for r in lines.collect())
+        blocks = T.seizure_list(lines).select(F.substring("doc", -5, 1), "block", "file", "starts", "ends").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(n, i, x) for n in "abc" for i, x in enumerate(text[n].removesuffix("\n").replace("\r\n", "\n").split("\n"))] and len(read) > 3
+    want = [("a", i + 1, f"PN01-{i}.edf", [i % 24 * 3600], []) for i in range(800)] + [("b", 0, None, [], [3600]), ("b", 1, "PN02-7.edf", [], [])] + [("c", i, "PN03-1.edf", [], []) for i in (1, 2, 3)]
+    assert sorted(tuple(r) for r in blocks) == want
